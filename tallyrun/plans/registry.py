@@ -25,9 +25,9 @@ class Query:
             if kind == "i":
                 c = c.cast("bigint")
             elif kind == "d":
-                c = F.round(c.cast("double"), 6)
+                c = F.floor(c.cast("double") * 1e6 + 0.5001) / 1e6
             elif kind == "e":
-                c = F.round(c.cast("double"), 3)
+                c = F.floor(c.cast("double") * 1e3 + 0.5001) / 1e3
             elif kind == "s":
                 c = c.cast("string")
             elif kind == "t":
@@ -38,7 +38,7 @@ class Query:
     def oracle(self, tables: dict[str, tuple[tuple[str, ...], str]]) -> str | None:
         if self.sql is None:
             return None
-        shape = {"i": "CAST({0} AS BIGINT)", "d": "ROUND(CAST({0} AS DOUBLE), 6)", "e": "ROUND(CAST({0} AS DOUBLE), 3)",
+        shape = {"i": "CAST({0} AS BIGINT)", "d": "FLOOR(CAST({0} AS DOUBLE) * 1e6 + 0.5001) / 1e6", "e": "FLOOR(CAST({0} AS DOUBLE) * 1e3 + 0.5001) / 1e3",
                  "s": "CAST({0} AS VARCHAR)", "t": "CAST({0} AS TIMESTAMP)", "b": "CAST({0} AS BOOLEAN)"}
         listed = ", ".join(f'{shape[k].format(chr(34) + c + chr(34))} AS "{c}"' for c, k in self.columns)
         needed = _needed(self.sql, tables)
@@ -65,6 +65,9 @@ def _needed(sql: str, tables: dict[str, tuple[tuple[str, ...], str]]) -> list[st
 
 
 def query(name: str, columns: str, build: Build, sql: str | None = None) -> Query:
-    """``columns`` lists "name:kind": i integer, d double, e double to 3 places, s text, t time, b boolean."""
+    """``columns`` lists "name:kind": i integer, d double to 6 places, e double to 3, s text, t time, b boolean.
+
+    Doubles are rounded a hair off the half, so that sums in another order cannot tip a tie.
+    """
     pairs = tuple(tuple(c.split(":")) for c in columns.split())
     return Query(name, pairs, build, sql)

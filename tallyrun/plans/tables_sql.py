@@ -1,5 +1,27 @@
 """The model tables of ``bridge`` again, as SQL over the driver's views: name to (tables it reads, select)."""
 
+
+
+def fractional(t: str, score: str) -> str:
+    """Fractional rank of ``score`` on the ladder ``t``, spelled out with list functions."""
+    first, last, n = f"{t}[1]", f"{t}[-1]", f"len({t})"
+    flat = f"(CASE WHEN {first} = 0 THEN 1 ELSE abs({first}) * 0.1 END)"
+    single = f"({first} = {last})"
+    lo = f"({first} - CASE WHEN {single} THEN {flat} ELSE list_min([u FOR u IN {t} IF u > {first}]) - {first} END)"
+    hi = f"({last} + CASE WHEN {single} THEN {flat} ELSE {last} - list_max([u FOR u IN {t} IF u < {last}]) END)"
+    i = f"len([u FOR u IN {t} IF u <= {score}])"
+    below = f"(CASE WHEN {i} = 0 THEN {lo} ELSE {t}[{i}] END)"
+    above = f"(CASE WHEN {i} = {n} THEN {hi} ELSE {t}[{i} + 1] END)"
+    return (
+        f"CASE WHEN {t} IS NULL OR {score} IS NULL THEN NULL WHEN {score} < {lo} THEN 0 WHEN {score} >= {hi} THEN {n} + 1 "
+        f"ELSE {i} + ({score} - {below}) / ({above} - {below}) END"
+    )
+
+
+def shifted_mean(x: str) -> str:
+    return f"exp(avg(ln({x} + 1))) - 1"
+
+
 TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     "m_run": ((), r"""
         SELECT user_id % 10 AS player_id, event_id AS id, 'run-' || event_id AS file_stem, k % 10 AS scenario_id,
@@ -102,4 +124,20 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN p = 1 THEN 1 ELSE 0 END AS slot_no, 'Strafe ' || (n_nationkey % 8) AS scenario_name
         FROM (SELECT *, n_nationkey // 5 AS p FROM nation)
         UNION ALL SELECT n_regionkey, 1, 2, 1, 'Strafe ' || (n_nationkey % 8) FROM nation WHERE n_nationkey // 5 = 1"""),
+    "m_tree": (("m_slot", "m_ladder"), """
+        SELECT s.*, l.thresholds, l.thresholds IS NOT NULL AS rated FROM m_slot s LEFT JOIN m_ladder l USING (benchmark_id, scenario_name)"""),
+    "m_stream": (("m_complete", "m_slot"), """
+        SELECT player_id, scenario_id, trimmed_name AS scenario_name, scenario_hash AS hash, id, started_at AS t, score FROM m_complete
+        WHERE score IS NOT NULL AND trimmed_name IN (SELECT scenario_name FROM m_slot)"""),
+    "m_event": (("m_stream", "m_ladder"), """
+        SELECT s.*, l.benchmark_id, l.thresholds, row_number() OVER (PARTITION BY player_id, benchmark_id ORDER BY t, id) AS ord,
+               max(score) OVER w AS best, quantile_cont(score, 0.5) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS form
+        FROM m_stream s JOIN m_ladder l USING (scenario_name)
+        WINDOW w AS (PARTITION BY player_id, benchmark_id, scenario_name ORDER BY t, id)"""),
+    "m_asof": (("m_event", "m_tree"), f"""
+        SELECT e.player_id, e.benchmark_id, e.ord, e.t, e.id, e.scenario_name AS run_of, n.scenario_name, x.r_pb, x.r_form
+        FROM m_event e JOIN (SELECT DISTINCT benchmark_id, scenario_name FROM m_tree WHERE rated) n ON n.benchmark_id = e.benchmark_id
+        ASOF LEFT JOIN (SELECT *, {fractional('thresholds', 'best')} AS r_pb, {fractional('thresholds', 'form')} AS r_form FROM m_event) x
+          ON x.player_id = e.player_id AND x.benchmark_id = e.benchmark_id AND x.scenario_name = n.scenario_name AND e.ord >= x.ord"""),
+    "m_picked": (("m_ladder",), "SELECT * FROM m_ladder WHERE candidate_order = 1"),
 }
