@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ladder as rank
@@ -74,16 +74,18 @@ def evaluate(nodes: DataFrame, ranks: DataFrame, mode: str, by: Sequence[str] =
         filled = filled.withColumn(value, F.coalesce(value, F.lit(0.0)))
     else:
         filled = slots.join(ranks.select(*who, "scenario_name", value), ["benchmark_id", "scenario_name"])
-    subs = filled.groupBy(*who, "cat_no", "sub_no").agg(F.avg(value).alias("value"))
-    cats = subs.groupBy(*who, "cat_no").agg(rank.shifted_mean(F.col("value")).alias("value"))
-    top = cats.groupBy(*who).agg(rank.shifted_mean(F.col("value")).alias("value"))
+    # Each level keeps the nodes below it as an array no longer than the tree, so the levels are computed once.
+    subs = filled.groupBy(*who, "cat_no", "sub_no").agg(F.avg(value).alias("v"))
+    cats = subs.groupBy(*who, "cat_no").agg(
+        rank.shifted_mean(F.col("v")).alias("v"), F.collect_list(_node("subcategory", F.col("sub_no"), F.col("v"))).alias("below")
+    )
+    every = F.concat(F.array(_node("category", F.col("cat_no"), F.col("v"))), F.col("below"))
+    top = cats.groupBy(*who).agg(rank.shifted_mean(F.col("v")).alias("v"), F.flatten(F.collect_list(every)).alias("below"))
+    return top.select(*who, F.inline(F.concat(F.array(_node("overall", F.lit(0), F.col("v"))), F.col("below"))))
 
-    def level(df: DataFrame, name: str, number) -> DataFrame:
-        return df.select(*who, F.lit(name).alias("level"), number.cast("int").alias("node_no"), "value")
 
-    return level(top, "overall", F.lit(0)).unionByName(level(cats, "category", F.col("cat_no"))).unionByName(
-        level(subs, "subcategory", F.col("sub_no"))
-    )
+def _node(level: str, number: Column, value: Column) -> Column:
+    return F.struct(F.lit(level).alias("level"), number.cast("int").alias("node_no"), value.alias("value"))
 
 
 # ---------------------------------------------------------------- the stream of rated runs
@@ -109,7 +111,13 @@ def played_stats(stream: DataFrame) -> DataFrame:
 
 
 def as_of_ranks(run_events: DataFrame, window: int = FORM_WINDOW, hot: scan.Hot | None = None) -> DataFrame:
-    """The rank of each scenario's best and of its form as they stood after each of its runs."""
+    """The rank of each scenario's best and of its form as they stood after each of its runs.
+
+    Without hot groups the runs are partitioned by player and benchmark once; every later window on a scenario,
+    subcategory, category or the whole tree is clustered by that already, so ``history`` needs no other shuffle.
+    """
+    if hot is None:
+        run_events = run_events.repartition(*WHO)
     keys, order = [*WHO, "scenario_name"], ["t", "id"]
     rolled = scan.rolling_median(run_events, keys, order, "score", window, "form", None, hot)
     best = scan.running(rolled, keys, order, hot, best=scan.highest(F.col("score")))
@@ -154,48 +162,46 @@ def history(ranks: DataFrame, nodes: DataFrame, mode: str, hot: scan.Hot | None
             members=scan.total(F.col("add")), played=scan.total(F.col("first")),
         )
         if strict:
-            summed = summed.join(sizes, ["benchmark_id", *node]).withColumn("members", F.col("size")).drop("size")
+            summed = summed.join(sizes, ["benchmark_id", *node[-1:]]).withColumn("members", F.col("size")).drop("size")
         valued = summed.withColumn("m_pb", F.col("s_pb") / F.col("members")).withColumn(
             "m_form", F.col("s_form") / F.col("members")
         )
         return valued.drop("d_pb", "d_form", "add", "s_pb", "s_form", "members")
 
     def lift(rows: DataFrame, node: list[str], up: list[str], term: bool) -> DataFrame:
-        """Changes of each node's value as changes of its parent, one row per run and parent."""
+        """Changes of each node's value as changes of its parent: one row per run and parent, the nodes kept below it."""
         value = (lambda c: F.log(F.col(c) + 1)) if term else F.col
         seen = scan.running(
             rows.withColumn("x_pb", value("m_pb")).withColumn("x_form", value("m_form")), [*WHO, *node], order, hot,
             _pb=scan.previous(F.col("x_pb")), _form=scan.previous(F.col("x_form")), _n=scan.position(),
         )
-        moved = seen.select(
-            *WHO, *up, *order, "first", (F.col("_n") == 1).cast("int").alias("add"),
-            (F.col("x_pb") - F.coalesce("_pb", zero)).alias("d_pb"),
-            (F.col("x_form") - F.coalesce("_form", zero)).alias("d_form"),
+        moved = seen.withColumn("add", (F.col("_n") == 1).cast("int")).withColumns(
+            {f"d_{c}": F.col(f"x_{c}") - F.coalesce(f"_{c}", zero) for c in ("pb", "form")}
         )
         return moved.groupBy(*WHO, *up, *order).agg(
-            F.max("first").alias("first"), F.sum("add").alias("add"), F.sum("d_pb").alias("d_pb"), F.sum("d_form").alias("d_form")
+            F.max("first").alias("first"), F.sum("add").alias("add"), F.sum("d_pb").alias("d_pb"),
+            F.sum("d_form").alias("d_form"), F.flatten(F.collect_list("nodes")).alias("below"),
         )
 
-    placed = changes.join(weights, ["benchmark_id", "scenario_name"]).select(
-        *WHO, "cat_no", "sub_no", *order, "first", (F.col("first") * F.col("w")).alias("add"),
-        (F.col("d_pb") * F.col("w")).alias("d_pb"), (F.col("d_form") * F.col("w")).alias("d_form"),
-    )
-    subs = climb(placed, ["sub_no"], size["sub_no"])
-    cats = climb(lift(subs, ["sub_no"], ["cat_no"], True), ["cat_no"], size["cat_no"])
-    top = climb(lift(cats, ["cat_no"], [], False), [], size["all"])
-
-    def rows(df: DataFrame, level: str, number, terms: bool) -> DataFrame:
+    def shown(df: DataFrame, level: str, number: Column, terms: bool) -> DataFrame:
         read = (lambda c: F.exp(F.col(c)) - 1) if terms else F.col
-        return df.select(
-            *WHO, F.lit(level).alias("level"), number.cast("int").alias("node_no"), *order,
-            read("m_pb").alias("pb"), read("m_form").alias("form"), F.col("played"),
+        own = F.array(
+            F.struct(
+                F.lit(level).alias("level"), number.cast("int").alias("node_no"),
+                read("m_pb").alias("pb"), read("m_form").alias("form"), F.col("played").cast("bigint").alias("played"),
+            )
         )
+        return df.withColumn("nodes", F.concat(own, F.col("below")) if "below" in df.columns else own)
 
-    return (
-        rows(top, "overall", F.lit(0), True)
-        .unionByName(rows(cats, "category", F.col("cat_no"), True))
-        .unionByName(rows(subs, "subcategory", F.col("sub_no"), False))
+    placed = changes.join(weights, ["benchmark_id", "scenario_name"]).select(
+        *WHO, "cat_no", "sub_no", *order, "first", (F.col("first") * F.col("w")).alias("add"),
+        (F.col("d_pb") * F.col("w")).alias("d_pb"), (F.col("d_form") * F.col("w")).alias("d_form"),
     )
+    sub, cat = ["cat_no", "sub_no"], ["cat_no"]
+    subs = shown(climb(placed, sub, size["sub_no"]), "subcategory", F.col("sub_no"), False)
+    cats = shown(climb(lift(subs, sub, cat, True), cat, size["cat_no"]), "category", F.col("cat_no"), True)
+    top = shown(climb(lift(cats, cat, [], False), [], size["all"]), "overall", F.lit(0), True)
+    return top.select(*WHO, *order, F.inline("nodes"))
 
 
 def value_at(values: DataFrame, probes: DataFrame, mode: str, hot: scan.Hot | None = None) -> DataFrame:

@@ -9,22 +9,27 @@ from . import bridge as b
 from .registry import Query, query
 
 
+@b.once
 def complete(s, d):
     return views.run_complete(b.run(s, d), b.scenario(s, d), b.game_version(s, d), b.run_perf(s, d))
 
 
+@b.once
 def progress(s, d):
     return views.run_progress(complete(s, d))
 
 
+@b.once
 def session(s, d):
     return views.run_session(b.run(s, d))
 
 
+@b.once
 def played(s, d):
     return sessions.played(session(s, d), complete(s, d))
 
 
+@b.once
 def killview(s, d):
     return views.kill_rows(b.kill(s, d), b.kill_run(s, d))
 
@@ -46,6 +51,7 @@ HISTORY = """SELECT p.*, s.session_id, c.sens_scale, c.horiz_sens, c.vert_sens,
              FROM m_progress p JOIN m_config c USING (config_id) JOIN (SELECT player_id, id, session_id FROM m_session) s USING (player_id, id)"""
 
 
+@b.once
 def history(s, d):
     return lists.history(progress(s, d), b.config(s, d), session(s, d))
 

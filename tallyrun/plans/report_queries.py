@@ -15,6 +15,7 @@ from .tables_sql import fractional, shifted_mean
 NOW = "TIMESTAMP '2024-02-15 00:00:00'"
 
 
+@b.once
 def candidates(s, d):
     return ladders.candidates(b.ladder(s, d), b.benchmark(s, d))
 
@@ -29,6 +30,7 @@ def _picks(s, d):
     )
 
 
+@b.once
 def picked(s, d, preferred=None):
     return ladders.pick(candidates(s, d), _picks(s, d), preferred)
 
@@ -40,42 +42,52 @@ PICKED = """SELECT * FROM (SELECT l.*, row_number() OVER (PARTITION BY scenario_
             WHERE NOT p.is_none OR l.benchmark_id = {0}) WHERE n = 1"""
 
 
+@b.once
 def nodes(s, d):
     return composite.tree(b.tree_slot(s, d), b.ladder(s, d))
 
 
+@b.once
 def stream(s, d):
     return lists.rank_stream(b.run(s, d), b.scenario(s, d), b.tree_slot(s, d))
 
 
+@b.once
 def events(s, d):
     return composite.events(stream(s, d), nodes(s, d))
 
 
+@b.once
 def hot(s, d):
     return scan.hot_groups(b.run(s, d).withColumnRenamed("started_at", "t"), ["player_id"], "t")
 
 
+@b.once
 def as_of(s, d):
     return composite.as_of_ranks(events(s, d), hot=hot(s, d))
 
 
+@b.once
 def values(s, d, mode):
     return composite.history(as_of(s, d), nodes(s, d), mode, hot(s, d))
 
 
+@b.once
 def bests(s, d):
     return lists.played_bests(b.run(s, d), b.scenario(s, d))
 
 
+@b.once
 def spreads(s, d):
     return composite.spread(events(s, d))
 
 
+@b.once
 def directory(s, d):
     return progression.directory_rows(lists.directory(complete(s, d)))
 
 
+@b.once
 def pb_rank_values(s, d):
     joined = bests(s, d).join(nodes(s, d).where("rated"), "scenario_name")
     r = rank.fractional_rank(F.col("thresholds"), F.col("pb")).alias("r")

@@ -70,7 +70,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
                'complete' AS kind, o_orderdate + to_seconds(o_orderkey * 37 % 86400) AS started_at,
                o_orderdate + to_seconds(o_orderkey * 37 % 86400 + 60) AS written_at,
                o_orderkey * 37 % 86400 * 1000 AS start_ms,
-               CASE WHEN o_orderkey % 29 <> 0 THEN round(o_totalprice / 1000, 2) END AS score, o_orderkey % 9 <> 0 AS has_perf
+               CASE WHEN o_orderkey % 29 <> 0 THEN floor(o_totalprice / 10) / 100 END AS score, o_orderkey % 9 <> 0 AS has_perf
         FROM orders"""),
     "m_line": ((), r"""
         SELECT *, round(sum(ttk) OVER (PARTITION BY l_orderkey ORDER BY ordinal ROWS UNBOUNDED PRECEDING) + 0.25 * (ordinal + 1), 3) AS at_s
