@@ -78,3 +78,10 @@ def interpolate(
     return answered.select(
         *keys, at, *(F.col(f"_ask.{c}").alias(c) for c in carried), *(value(v).alias(v) for v in values)
     )
+
+
+def content_join(perf: DataFrame, runs: DataFrame, window_s: int = 86_400) -> DataFrame:
+    """Matches performance files to runs by what they hold: scenario, shots and hits, within a coarse stretch of time."""
+    keys = ["player_id", "hash", "shots", "hits"]
+    apart = F.abs(F.unix_micros(F.col("written_at").cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp")))
+    return perf.join(runs, keys).where(apart <= window_s * 1_000_000).select("perf_id", "run_id")
