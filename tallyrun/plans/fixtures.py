@@ -159,11 +159,16 @@ def catalogue_index(s, d) -> DataFrame:
         F.when(n % 2 == 0, F.concat(F.lit("KovaaKsRun"), n.cast("string"))).otherwise(F.lit("MANUAL")).alias("sharecode"),
         colors.alias("rankColors"), cats.alias("categories"),
     )
+    # Collected as text: a map has no order to sort by.
     made = nation.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", difficulty.alias("d")))), lambda x: x["d"]).alias("difficulties")
+        F.array_sort(F.collect_list(F.struct("n_nationkey", F.to_json(difficulty).alias("d")))).alias("_d")
     )
+    listed = F.array_join(F.transform("_d", lambda x: x["d"]), ",")
     names = F.array(*(F.lit(x) for x in b.BENCHMARK_NAMES))
-    body = F.to_json(F.struct(F.get(names, F.col("r_regionkey")).alias("benchmarkName"), (F.col("r_regionkey") == 4).alias("hidden"), "difficulties"))
+    hidden = (F.col("r_regionkey") == 4).cast("string")
+    body = F.concat(
+        F.lit('{"benchmarkName":"'), F.get(names, F.col("r_regionkey")), F.lit('","hidden":'), hidden, F.lit(',"difficulties":['), listed, F.lit("]}")
+    )
     return region.join(made, "r_regionkey").select(F.col("r_regionkey").alias("listed"), body.alias("body"))
 
 

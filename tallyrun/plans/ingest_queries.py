@@ -58,7 +58,7 @@ def _new_folder(s, name):
 
 DOC = """SELECT *, id % 19 = 0 AS abort, id % 23 = 0 AS is_reset, id % 27 = 0 OR (id % 33 = 0 AND n > 0) AS failed,
            'Duel ' || id || CASE WHEN id % 19 = 0 THEN ' - ' ELSE ' - Challenge - ' END || strftime(written_at, '%Y.%m.%d-%H.%M.%S') AS stem
-         FROM (SELECT d.*, coalesce(k.n, 0) AS n, coalesce(k.hits, 0) AS hits, coalesce(k.shots, 0) AS shots, coalesce(k.possible, 0) AS possible FROM m_duel d LEFT JOIN
+         FROM (SELECT d.* EXCLUDE (file_stem), coalesce(k.n, 0) AS n, coalesce(k.hits, 0) AS hits, coalesce(k.shots, 0) AS shots, coalesce(k.possible, 0) AS possible FROM m_duel d LEFT JOIN
                (SELECT run_id, count(*) AS n, sum(hits) AS hits, sum(shots) AS shots, sum(damage_possible) AS possible FROM m_kill GROUP BY 1) k ON k.run_id = d.id)"""
 KEPT = f"SELECT * FROM ({DOC}) WHERE NOT failed AND NOT abort"
 LAST_SUNDAY = "(make_date(year(w), {m}, {e}) - CAST(dayofweek(make_date(year(w), {m}, {e})) AS INTEGER))"
@@ -99,7 +99,7 @@ def queries() -> list[Query]:
         "SELECT run_id AS id, ordinal AS idx, at_ms FROM m_kill")
     add("I4_sections", "id:i kills:i weapons:i kv:i",
         lambda s, d: stats_document.sections(fixtures.documents(s, d)).select("id", F.size("kill_lines").alias("kills"), F.size("weapon_lines").alias("weapons"), F.size("kv_lines").alias("kv")),
-        f"""SELECT id, n AS kills, greatest(coalesce(w, 0), 1) AS weapons, greatest(coalesce(w, 0), 1) + 45 AS kv FROM ({DOC}) LEFT JOIN
+        f"""SELECT id, n AS kills, greatest(coalesce(w, 0), 1) AS weapons, greatest(coalesce(w, 0), 1) + 44 AS kv FROM ({DOC}) LEFT JOIN
               (SELECT run_id, count(DISTINCT weapon) AS w FROM m_kill GROUP BY 1) ON run_id = id""")
     add("I5_kill_rows", "id:i idx:i index:i bot:s weapon:s ttk:d shots:i hits:i damage_done:d damage_possible:d cheated:i cells:i",
         lambda s, d: parsed(s, d).select("id", F.inline("kills")),
@@ -280,6 +280,14 @@ def queries() -> list[Query]:
     add("S7_export", "player_id:i id:i scenario_id:i score:d", _exported,
         "SELECT * FROM m_progress WHERE scenario_id IN (SELECT scenario_id FROM m_complete GROUP BY 1 HAVING count(*) >= (SELECT avg(n) FROM (SELECT count(*) AS n FROM m_complete GROUP BY scenario_id)))")
     add("T2_exactly_once", "player_id:i id:i", _once, "SELECT player_id, id FROM m_run")
+    add("T3_paired_streams", "player_id:i perf_stem:s run_id:i", _paired,
+        """SELECT p.player_id, 'perf-' || p.id AS perf_stem, r.id AS run_id FROM m_complete p JOIN m_complete r ON r.player_id = p.player_id
+           AND r.started_at < date_trunc('second', p.started_at) + INTERVAL 1 SECOND AND r.written_at > date_trunc('second', p.started_at)""")
+    add("T7_live_form", "player_id:i scenario_id:i pb:d form:d n:i", _live_form,
+        """SELECT player_id, scenario_id, max(pb) AS pb, quantile_cont(score, 0.5) FILTER (WHERE k <= 10) AS form, count(*) FILTER (WHERE k <= 10) AS n FROM (
+             SELECT *, max(score) OVER (PARTITION BY player_id, scenario_id) AS pb, row_number() OVER (PARTITION BY player_id, scenario_id ORDER BY started_at DESC, id DESC) AS k
+             FROM m_complete WHERE score IS NOT NULL) GROUP BY ALL""")
+    add("C15_stored_pace", "run_id:i idx:i accumulated:d local:d", _stored_pace, "SELECT * FROM m_pace")
     add("T4_notice", "batch:s runs:i max_id:i", _notices, """SELECT 'even' AS batch, count(*) AS runs, max(id) AS max_id FROM m_run WHERE player_id % 2 = 0
         UNION ALL SELECT 'odd', count(*), max(id) FROM m_run WHERE player_id % 2 = 1""")
     add("T6_live_sessions", "player_id:i runs:i started_at:t ended_at:t", _live_sessions,
@@ -313,9 +321,13 @@ def _stream(s, d):
     """The events table as a stream of runs."""
     raw = b.table(s, d, "events")
     fresh = s.readStream.schema(raw.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    k = F.regexp_extract("props", r"(\d+)", 1).cast("int")
+    written = F.col("ts").cast("timestamp")
     return fresh.select(
-        (F.col("user_id") % 10).alias("player_id"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("written_at"),
-        F.concat(F.lit("run-"), F.col("event_id").cast("string")).alias("file_stem"),
+        (F.col("user_id") % 10).alias("player_id"), F.col("event_id").alias("id"), written.alias("written_at"),
+        F.concat(F.lit("run-"), F.col("event_id").cast("string")).alias("file_stem"), (k % 10).alias("scenario_id"),
+        F.when(F.col("event_type") == "error", "reset").otherwise("complete").alias("kind"),
+        (written - F.expr("INTERVAL 60 SECOND")).alias("started_at"), F.when(k % 7 != 6, F.col("value")).alias("score"),
     )
 
 
@@ -354,3 +366,33 @@ def _live_latest(s, d):
     newest = _drain(s, live.latest_runs(_stream(s, d)), "latest", "complete")
     shown = newest.select("player_id", (F.col("newest.id") - (F.col("player_id") % 2 == 0).cast("int")).alias("id"))
     return live.newer_mark(newest, shown)
+
+
+def _paired(s, d):
+    runs = _stream(s, d)
+    perfs = runs.where("kind = 'complete'").select(
+        "player_id", F.concat(F.lit("perf-"), F.col("id").cast("string")).alias("perf_stem"), F.date_trunc("second", "started_at").alias("challenge_start")
+    )
+    return _drain(s, live.pair_streams(runs.select("player_id", "id", "kind", "started_at", "written_at"), perfs), "pairs", "append").where("run_id IS NOT NULL")
+
+
+def _live_form(s, d):
+    """The last state of each key; the state needs the RocksDB provider, set for this stream only."""
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(setting, None)
+    s.conf.set(setting, live.ROCKS)
+    try:
+        return _drain(s, live.live_form(_stream(s, d)), "form", "update")
+    finally:
+        if before is None:
+            s.conf.unset(setting)
+        else:
+            s.conf.set(setting, before)
+
+
+def _stored_pace(s, d):
+    from .curve_queries import pace, points
+
+    root = _new_folder(s, "curves")
+    ingest.write_batch({"curve": points(s, d), "pace": pace(s, d)}, root, 0)
+    return ingest.read_table(s, root, "pace")
