@@ -33,11 +33,12 @@ def hot(spark, data):
     spark.conf.unset(scan.HOT_ROWS)
 
 
-STEPS = {
-    "n": scan.position(), "s": scan.total(F.col("v")), "sb": scan.total(F.col("v"), "before"), "c": scan.seen(F.col("v")),
-    "hi": scan.highest(F.col("v"), "before"), "ht": scan.highest(F.col("v"), "ties"), "he": scan.highest(F.col("v"), "earlier"),
-    "lo": scan.lowest(F.col("v")), "l": scan.latest(F.col("v"), "before"), "p": scan.previous(F.col("v")), "o": scan.opening(F.col("id")),
-}
+def steps():
+    return {
+        "n": scan.position(), "s": scan.total(F.col("v")), "sb": scan.total(F.col("v"), "before"), "c": scan.seen(F.col("v")),
+        "hi": scan.highest(F.col("v"), "before"), "ht": scan.highest(F.col("v"), "ties"), "he": scan.highest(F.col("v"), "earlier"),
+        "lo": scan.lowest(F.col("v")), "l": scan.latest(F.col("v"), "before"), "p": scan.previous(F.col("v")), "o": scan.opening(F.col("id")),
+    }
 
 
 def table(df):
@@ -51,22 +52,21 @@ def test_hot_groups_are_found_and_cut(hot):
 
 @pytest.mark.parametrize("order", [["t", "id"], ["-t", "-id"], ["-t", "id"]])
 def test_running_is_the_same_split_or_not(data, hot, order):
-    plain = scan.running(data, ["k"], order, None, **STEPS)
-    split = scan.running(data, ["k"], order, hot, **STEPS)
+    plain = scan.running(data, ["k"], order, None, **steps())
+    split = scan.running(data, ["k"], order, hot, **steps())
     assert plain.columns == split.columns
     assert table(plain) == table(split)
 
 
 def test_running_under_finer_keys(data, hot):
     finer = data.withColumn("m", F.col("id") % 2)
-    steps = {"n": scan.position(), "s": scan.total(F.col("v"))}
-    assert table(scan.running(finer, ["k", "m"], ["t", "id"], None, **steps)) == table(
-        scan.running(finer, ["k", "m"], ["t", "id"], hot, **steps)
+    assert table(scan.running(finer, ["k", "m"], ["t", "id"], None, **steps())) == table(
+        scan.running(finer, ["k", "m"], ["t", "id"], hot, **steps())
     )
 
 
 def test_running_against_a_loop(data):
-    got = {(r["k"], r["id"]): r for r in scan.running(data, ["k"], ["t", "id"], None, **STEPS).collect()}
+    got = {(r["k"], r["id"]): r for r in scan.running(data, ["k"], ["t", "id"], None, **steps()).collect()}
     for k in {r[0] for r in rows()}:
         seen = []
         for key, t, i, v in sorted((r for r in rows() if r[0] == k), key=lambda r: (r[1], r[2])):
