@@ -14,22 +14,22 @@ from .registry import Query, query
 STEP_S = 0.5
 
 
-@b.once
+@b.kept_table
 def params(s, d):
     return curves.classify(b.header(s, d), b.tick(s, d), killview(s, d))
 
 
-@b.once
+@b.kept_table
 def timed_kills(s, d):
     return curves.kill_times(killview(s, d), curves.countdown(b.tick(s, d)))
 
 
-@b.once
+@b.kept_table
 def points(s, d):
     return curves.curve(params(s, d), b.tick(s, d), timed_kills(s, d))
 
 
-@b.once
+@b.kept_table
 def pace(s, d):
     return curves.pace(points(s, d))
 
@@ -39,7 +39,7 @@ def runs(s, d):
     return baseline.runs_with_params(b.header(s, d), params(s, d))
 
 
-@b.once
+@b.kept_table
 def resolved(s, d, option):
     return baseline.resolve(runs(s, d), option)
 
@@ -51,13 +51,13 @@ def pairs(s, d):
     return baseline.charted_pairs(resolved(s, d, "pb-before")).join(drawn, "run_id", "left_semi")
 
 
-@b.once
+@b.kept_table
 def recent(s, d):
     drawn = params(s, d).where("kind <> 'unsupported'").select("run_id")
     return baseline.recent(runs(s, d)).join(drawn, "run_id", "left_semi")
 
 
-@b.once
+@b.kept_table
 def engaged(s, d):
     played = b.header(s, d).where("has_perf").select("run_id")
     windows = bots.fixed_window(reports.slot_stats(killview(s, d)))
