@@ -26,7 +26,7 @@ def _text(c) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
-@b.once
+@b.kept_table
 def documents(s, d) -> DataFrame:
     """One stat document per order: player, name and content.
 
@@ -78,7 +78,9 @@ def documents(s, d) -> DataFrame:
     )
     when = F.date_format("written_at", "yyyy.MM.dd-HH.mm.ss")
     name = F.concat(F.lit("Duel "), _text(key), F.when(abort, F.lit(" - ")).otherwise(F.lit(" - Challenge - ")), when, F.lit(" Stats.csv"))
-    return runs.select("player_id", "id", name.alias("name"), F.encode(F.array_join(body, "\r\n"), "UTF-8").alias("content"))
+    # Rendered and stored in as many parts as there are cores, as a folder of files would be read.
+    spread = runs.repartition(s.sparkContext.defaultParallelism, "id")
+    return spread.select("player_id", "id", name.alias("name"), F.encode(F.array_join(body, "\r\n"), "UTF-8").alias("content"))
 
 
 def _varint(value: int) -> bytes:
@@ -115,7 +117,7 @@ def encode(scenario: str, start_ms: int, limit: float | None, bots: list[str], e
     return b"".join(out)
 
 
-@b.once
+@b.kept_table
 def performance_files(s, d) -> DataFrame:
     """One performance file per order run with lines; every seventeenth holds an event kind that has no column."""
     kinds = ["shots_fired", "shots_hit", "damage_done", "score", "kills", "overshots"]
@@ -124,6 +126,7 @@ def performance_files(s, d) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("t", "kind", "value"))).alias("events")
     )
     heads = b.header(s, d).select("player_id", "run_id", "scenario_id", "started_at", "time_limit").join(events, "run_id")
+    heads = heads.repartition(s.sparkContext.defaultParallelism, "run_id")
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

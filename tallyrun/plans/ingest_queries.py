@@ -107,7 +107,7 @@ def queries() -> list[Query]:
     weapon_sql = "SELECT run_id, weapon, sum(shots) AS shots, sum(hits) AS hits, sum(damage_done) AS damage_done, sum(damage_possible) AS damage_possible FROM m_kill GROUP BY ALL"
     add("I6_weapon_rows", "id:i weapon:s shots:i hits:i damage_done:e damage_possible:e", lambda s, d: parsed(s, d).select("id", F.inline("weapons")),
         f"SELECT run_id AS id, * EXCLUDE (run_id) FROM ({weapon_sql}) UNION ALL SELECT id, 'none', 0, 0, 0, 0 FROM ({DOC}) WHERE n = 0")
-    kv = lambda s, d: stats_document.sections(fixtures.documents(s, d)).withColumn("kv", stats_document.key_values(F.col("kv_lines")))
+    kv = lambda s, d: stats_document.key_values(stats_document.sections(fixtures.documents(s, d)))
     add("I7_key_values", "id:i keys:i deaths:s crosshair:s",
         lambda s, d: kv(s, d).select("id", F.size("kv").alias("keys"), F.col("kv")["Deaths"].alias("deaths"), F.col("kv")["Crosshair"].alias("crosshair")),
         f"SELECT id, 42 AS keys, CAST(id % 5 AS VARCHAR) AS deaths, 'plus, wide' AS crosshair FROM ({DOC})")
