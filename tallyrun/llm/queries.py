@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality
+from . import decontaminate, packing, quality
 from .common import table
 
 
@@ -17,6 +17,12 @@ def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(rows, ["doc_id", "piece", "ids_crc32"]).withColumn("sequence_id", F.xxhash64("sequence_id"))
 
 
+def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    digest = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.measure(table(spark, folder, "documents"))
 
@@ -24,5 +30,6 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_best_fit_packing": best_fit_packing,
+        "op4_benchmark_decontamination": benchmark_decontamination,
         "op10_quality_rules": quality_rules,
     }

@@ -31,5 +31,19 @@ failed AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base
 SELECT *, NOT base_failed AND 100 * dup_line_chars <= 20 * word_chars AND {verdict} AS kept FROM failed"""
 
 
+def _decontamination() -> str:
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS row_no, doc_id, {words} AS ws FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, {words} AS ws FROM benchmark),
+cut AS (SELECT DISTINCT item, least(len(ws), 10) AS size, array_to_string(ws[i : i + least(len(ws), 10) - 1], ' ') AS win FROM (SELECT item, ws, unnest(generate_series(1, greatest(len(ws) - 9, 1))) AS i FROM items WHERE len(ws) > 0)),
+seen AS (SELECT row_no, pos, size, array_to_string(ws[pos : pos + size - 1], ' ') AS win FROM (SELECT row_no, ws, size, unnest(generate_series(1, len(ws) - size + 1)) AS pos FROM docs, (SELECT DISTINCT size FROM cut) WHERE len(ws) >= size)),
+hits AS (SELECT DISTINCT row_no, pos, cut.size, item FROM seen JOIN cut ON seen.win = cut.win AND seen.size = cut.size),
+places AS (SELECT row_no, count(DISTINCT place) AS n_hit FROM (SELECT row_no, unnest(generate_series(pos, pos + size - 1)) AS place FROM hits) GROUP BY row_no),
+found AS (SELECT row_no, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row_no, item FROM hits) GROUP BY row_no)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN places USING (row_no) LEFT JOIN found USING (row_no)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": _quality()}
+    return {"op4_benchmark_decontamination": _decontamination(), "op10_quality_rules": _quality()}
