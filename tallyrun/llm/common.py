@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a task works on at a time.
@@ -21,7 +22,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_BYTES
     """Cuts record batches so that a slice holds at most ``most`` bytes of text, or one row."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(lengths)
         at = 0
         while at < batch.num_rows:
