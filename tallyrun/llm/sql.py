@@ -45,5 +45,18 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM docs LEFT JOIN places USING (row_no) LEFT JOIN found USING (row_no)"""
 
 
+def _near_duplicates() -> str:
+    return r"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 3], ' ') AS s FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 3, 1))) AS i FROM docs WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)),
+reach(node, other) AS (SELECT a, b FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other),
+least AS (SELECT node, min(other) AS low FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id))::BIGINT AS component_id, d.doc_id = least(d.doc_id, coalesce(low, d.doc_id)) AS kept
+FROM docs d LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON node = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_benchmark_decontamination": _decontamination(), "op10_quality_rules": _quality()}
+    return {"op4_benchmark_decontamination": _decontamination(), "op6_minhash_near_dedup": _near_duplicates(), "op10_quality_rules": _quality()}
