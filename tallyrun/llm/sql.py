@@ -58,5 +58,56 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(
 FROM docs d LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON node = d.doc_id"""
 
 
+def _url_filters() -> str:
+    scheme = "^[A-Za-z][A-Za-z0-9+.-]*://"
+    host = f"lower(regexp_extract(url, '{scheme}(?:[^/?#@]*@)?([^/?#:]+)', 1))"
+    path = f"regexp_extract(url, '{scheme}[^/?#]+([^?#]*)', 1)"
+    number = "('0x' || substr(md5({0}), 1, 6))::BIGINT"
+    day = "1700000000 + (n % 60 + {0}) * 86400"
+    entry = "SELECT '{1}' AS list, '{2}' AS kind, {3} AS pattern, '{4}' AS verdict, '{5}' AS action, " + day.format("{6}") + " AS moment FROM {0} WHERE {7}"
+    entries = " UNION ALL ".join(entry.format(*x) for x in (
+        ("hosts", "spam", "host", "host", "block", "add", 0, "n % 3 = 0"), ("hosts", "spam", "host", "host", "block", "remove", 60, "n % 6 = 0"), ("hosts", "spam", "host", "host", "block", "add", 90, "n % 12 = 0"),
+        ("parents", "parked", "domain", "host", "block", "add", 20, "n % 2 = 0"), ("hosts", "trusted", "path", "host || '/en/'", "allow", "add", 10, "n % 4 = 1"),
+        ("addresses", "reports", "url", "host || path", "block", "add", 5, "n % 20 = 0"), ("addresses", "reports", "url", "host || path", "block", "remove", 45, "n % 40 = 0")))
+    return rf"""
+WITH seen AS (SELECT DISTINCT {host} AS host, {path} AS path FROM pages WHERE url IS NOT NULL AND {host} <> ''),
+hosts AS (SELECT DISTINCT host, {number.format("host")} AS n FROM seen),
+parents AS (SELECT DISTINCT h AS host, {number.format("h")} AS n FROM (SELECT array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') AS h FROM hosts)),
+addresses AS (SELECT host, path, {number.format("host || path")} AS n FROM seen),
+entries AS ({entries}),
+valid AS (SELECT list, kind, pattern, verdict, moment AS low, high FROM (SELECT *, lead(moment) OVER (PARTITION BY list, kind, pattern ORDER BY moment) AS high FROM (SELECT list, kind, pattern, moment, min(verdict) AS verdict, max(action) = 'add' AS is_on FROM entries GROUP BY ALL)) WHERE is_on),
+captures AS (SELECT row_number() OVER () AS row_no, page_id, url, 1700000000 + (page_id * 7919) % 15552000 AS fetched, coalesce({host}, '') AS host, {path} AS path FROM pages),
+active AS (SELECT row_no, v.*, CASE kind WHEN 'url' THEN 0 WHEN 'path' THEN 1 WHEN 'host' THEN 2 ELSE 3 END AS rank FROM captures c JOIN valid v ON c.host <> '' AND c.fetched >= v.low AND (v.high IS NULL OR c.fetched < v.high)
+ AND CASE kind WHEN 'url' THEN c.host || c.path = pattern WHEN 'host' THEN c.host = pattern WHEN 'path' THEN starts_with(c.host || c.path || '/', pattern) ELSE c.host = pattern OR ends_with(c.host, '.' || pattern) END),
+decided AS (SELECT *, count(*) OVER (PARTITION BY row_no) AS n_active, row_number() OVER (PARTITION BY row_no ORDER BY rank, -length(pattern), verdict, list, pattern) AS place FROM active)
+SELECT page_id, c.url, fetched::BIGINT AS fetched, c.host, coalesce(verdict, 'none') AS verdict, coalesce(list || '|' || kind || '|' || pattern, '') AS decided_by, coalesce(n_active, 0)::BIGINT AS n_active
+FROM captures c LEFT JOIN decided d ON d.row_no = c.row_no AND place = 1"""
+
+
+def _secrets() -> str:
+    kinds = (
+        ("assign", r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, "v >= 8"),
+        ("access", "AKIA[A-Z0-9]+", 0, "v >= 16"), ("hex", "[0-9a-f]+", 0, "v >= 32"),
+        ("key40", "[A-Za-z0-9/+]{40,}", 0, "v = 40"), ("endpoint", "https?://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+", 0, "v >= 12"))
+    found = " UNION ALL ".join(
+        f"SELECT row_no, '{k}' AS kind, {i} AS rank, unnest(generate_series(1, len(w))) AS n, unnest(p[: len(w)]) AS gap, unnest(w) AS whole, unnest(g) AS val FROM (SELECT row_no, regexp_extract_all(text, '{p}') AS w, regexp_extract_all(text, '{p}', {g}) AS g, regexp_split_to_array(text, '{p}') AS p FROM docs WHERE regexp_matches(text, '{p}'))"
+        for i, (k, p, g, _) in enumerate(kinds))
+    fits = " OR ".join(f"(kind = '{k}' AND {f})" for k, _, _, f in kinds)
+    near = "EXISTS (SELECT 1 FROM parts b WHERE b.row_no = a.row_no AND {0} AND a.start BETWEEN b.start - 400 AND b.stop + 400)"
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({found}),
+placed AS (SELECT row_no, kind, rank, length(val) AS v, length(whole) AS size, sum(length(gap) + length(whole)) OVER (PARTITION BY row_no, kind ORDER BY n) AS stop FROM found),
+parts AS (SELECT row_no, kind, rank, (stop - size)::BIGINT AS start, stop::BIGINT AS stop FROM placed WHERE {fits}),
+keys AS (SELECT * FROM parts a WHERE kind = 'key40' AND {near.format("b.kind = 'access'")}),
+secrets AS (SELECT * FROM parts WHERE kind IN ('assign', 'hex') UNION ALL SELECT * FROM keys),
+ends AS (SELECT * FROM parts a WHERE kind = 'endpoint' AND {near.format("b.kind = 'access'")} AND {near.replace("FROM parts", "FROM secrets").format("true")}),
+spans AS (SELECT * FROM parts WHERE rank < 3 UNION ALL SELECT * FROM keys UNION ALL SELECT * FROM ends),
+listed AS (SELECT row_no, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
+ string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (WHERE rank < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM spans GROUP BY row_no)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN listed USING (row_no)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_benchmark_decontamination": _decontamination(), "op6_minhash_near_dedup": _near_duplicates(), "op10_quality_rules": _quality()}
+    return {"op3_url_filters": _url_filters(), "op7_secret_scans": _secrets(), "op4_benchmark_decontamination": _decontamination(), "op6_minhash_near_dedup": _near_duplicates(), "op10_quality_rules": _quality()}
