@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, packing, quality, secret_scan, sharding, url_filters
+from ..session import shared_folder
+from . import chat, decontaminate, html_text, near_dedup, packing, quality, secret_scan, sharding, url_filters, warc
 from .common import table
 
 
+def chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations are trees in which every message answers the one before."""
+    said = table(spark, folder, "conversations").select(F.col("conv_id").alias("tree"), "turn", "role", "text")
+    tricky = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "tree long, turn long, role string, text string")
+    rows = said.unionByName(tricky).withColumn("node", F.row_number().over(Window.partitionBy("tree").orderBy("turn", "role", "text")).cast("long"))
+    messages = rows.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
+    return chat.read_back(chat.formatted(chat.chosen_paths(messages))).drop("path").withColumnRenamed("tree", "conv_id")
+
+
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     rows = packing.pieces(table(spark, folder, "documents"))
     rows = rows.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -53,6 +64,10 @@ def url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.evaluate(captures, list_entries(pages), "page_id", "url", "fetched")
 
 
+def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.main_text(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_scan.scan(table(spark, folder, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
@@ -74,6 +89,15 @@ def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+def warc_archives(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    to = f"{shared_folder(spark).rstrip('/')}/archives-{uuid.uuid4().hex}"
+    warc.write_archives(pages, to)
+    kind = pages.schema["page_id"].dataType
+    found = warc.payloads(warc.read_archives(spark, to))
+    return found.select(F.col("key").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
 def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
 
@@ -84,11 +108,14 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_formatting": chat_formatting,
         "op2_best_fit_packing": best_fit_packing,
         "op3_url_filters": url_filter,
         "op4_benchmark_decontamination": benchmark_decontamination,
+        "op5_warc": warc_archives,
         "op6_minhash_near_dedup": minhash_near_dedup,
         "op7_secret_scans": secret_scans,
+        "op8_html_extraction": html_extraction,
         "op9_rendezvous_sharding": rendezvous_sharding,
         "op10_quality_rules": quality_rules,
     }

@@ -109,5 +109,24 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
 FROM docs LEFT JOIN listed USING (row_no)"""
 
 
+def _chat() -> str:
+    control = r"([<\[])(\\*)(\|[A-Za-z0-9_]+\|>|/?s>|</?SYS>>|/?INST\])"
+    role = f"regexp_replace(replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), '{control}', '\\1\\2\\\\\\3', 'g')"
+    return rf"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+sized AS (SELECT *, 8 + length({role}) + 1 + length(regexp_replace(text, '{control}', '\1\2\\\3', 'g')) + 8 AS size FROM said)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(size)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id"""
+
+
+def _archives() -> str:
+    return """
+WITH rows AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+sized AS (SELECT page_id, octet_length(encode(body)) AS n, sha256(body) AS digest FROM rows),
+first AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) ELSE page_id END AS of FROM sized)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = of THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> of THEN of END AS refers_to FROM first"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": _url_filters(), "op7_secret_scans": _secrets(), "op4_benchmark_decontamination": _decontamination(), "op6_minhash_near_dedup": _near_duplicates(), "op10_quality_rules": _quality()}
+    return {"op1_chat_formatting": _chat(), "op5_warc": _archives(), "op3_url_filters": _url_filters(), "op7_secret_scans": _secrets(), "op4_benchmark_decontamination": _decontamination(), "op6_minhash_near_dedup": _near_duplicates(), "op10_quality_rules": _quality()}
