@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from .common import Codes, column, mixed, slices
 
 #: The most that a text may have of its characters in repeated n-grams of a length (percent), and in repeated lines.
-NGRAM_PERCENT = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
+NGRAM_PERCENT = {5: 20, 6: 20, 7: 20, 8: 20, 9: 20, 10: 20}
 LINE_CHARS_PERCENT = 20
 #: Base rules.
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def _quality() -> str:
     lengths = (5, 6, 7, 8, 9, 10)
-    percent = (15, 14, 13, 12, 11, 10)
+    percent = (20, 20, 20, 20, 20, 20)
     grams, marks, sums = [], [], []
     for n in lengths:
         gram = " || ' ' || ".join(["word", *(f"lead(word, {i}) OVER w" for i in range(1, n))])
