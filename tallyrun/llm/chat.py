@@ -55,9 +55,9 @@ def _joined(left: DataFrame, right: DataFrame, name: str, how: str = "inner") ->
 
 
 def _jumps(nodes: DataFrame) -> list[DataFrame]:
-    """Tables (t, m, anc, score): the ancestor 1, 2, 4, ... steps up, and the scores of the messages passed on the way."""
-    there = nodes.select(F.col("tree").alias("t"), F.col("node").alias("m"))
-    step = _joined(nodes.where("parent IS NOT NULL"), there, "parent").select("tree", F.col("node").alias("m"), F.col("parent").alias("anc"), "score")
+    """Tables (t, m, anc, score): the ancestor 1, 2, 4, ... steps up, and the scores of all messages above m up to it."""
+    there = nodes.select(F.col("tree").alias("t"), F.col("node").alias("m"), F.col("score").alias("above"))
+    step = _joined(nodes.where("parent IS NOT NULL"), there, "parent").select("tree", F.col("node").alias("m"), F.col("parent").alias("anc"), F.col("above").alias("score"))
     tables, reach, count = [], 1, nodes.count()
     step = stored(step.select(F.col("tree").alias("t"), "m", "anc", "score"))
     while reach <= count and not step.isEmpty():
