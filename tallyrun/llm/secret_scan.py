@@ -40,12 +40,18 @@ def _places(text: Column, pattern: str, group: int) -> Column:
     return F.transform(zipped, lambda x: F.struct(F.length(x["a"]).alias("gap"), F.length(x["b"]).alias("length"), F.length(x["c"]).alias("value")))
 
 
-def _parts(rows: DataFrame, text: str) -> DataFrame:
-    """(row, kind, start, end) of all matches; weak ones too."""
+def found(rows: DataFrame, text: str, *carried: str) -> DataFrame:
+    """(row, carried columns, found): what every pattern matches. Rows are numbered and written in one pass, since another
+    reading of the input may number them otherwise."""
     c = F.col(f"`{text}`")
     each = [F.struct(F.lit(kind).alias("kind"), F.when(c.rlike(p), _places(c, p, group)).alias("places")) for kind, p, group, _, _ in KINDS]
-    found = stored(rows.select("row", F.filter(F.array(*each), lambda x: x["places"].isNotNull()).alias("found")).where(F.size("found") > 0))
-    one = found.select("row", F.explode("found").alias("x")).select("row", "x.kind", F.posexplode("x.places").alias("n", "p")).where("p.length IS NOT NULL")
+    number = F.col("row") if "row" in carried else F.monotonically_increasing_id().alias("row")
+    return stored(rows.select(number, *[F.col(f"`{x}`") for x in carried if x != "row"], F.filter(F.array(*each), lambda x: x["places"].isNotNull()).alias("found")))
+
+
+def _parts(matches: DataFrame) -> DataFrame:
+    """(row, kind, start, end) of all parts, weak ones too."""
+    one = matches.select("row", F.explode("found").alias("x")).select("row", "x.kind", F.posexplode("x.places").alias("n", "p")).where("p.length IS NOT NULL")
     before = Window.partitionBy("row", "kind").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     placed = one.withColumn("end", F.sum(F.col("p.gap") + F.col("p.length")).over(before))
     fits = F.lit(False)
@@ -62,9 +68,9 @@ def _in_scope(weak: DataFrame, parts: DataFrame, scope: int) -> DataFrame:
     return weak.join(near, inside, "left_semi")
 
 
-def spans(rows: DataFrame, text: str, scope: int = SCOPE) -> DataFrame:
-    """(row, kind, start, end) of everything reported in ``rows``, which have a distinct ``row`` each."""
-    parts = stored(_parts(rows, text))
+def spans(matches: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """(row, kind, start, end) of everything reported in what ``found`` returns."""
+    parts = stored(_parts(matches))
     kind = lambda *k: parts.where(F.col("kind").isin(*k))
     access = kind("access")
     keys = _in_scope(kind("key40"), access, scope)
@@ -80,14 +86,13 @@ def _listed(of: Column) -> Column:
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
     """One row per document: key, n_assign, n_access, n_hex, base (its base spans), spans (all)."""
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).withColumn("row", F.monotonically_increasing_id())
-    keys = stored(rows.select("row", "key"))
+    matches = found(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), "text", "key")
     rank = F.expr("CASE kind " + " ".join(f"WHEN '{k[0]}' THEN {i}" for i, k in enumerate(KINDS)) + " END")
     span = F.struct(F.col("start"), rank.alias("rank"), F.col("end"), F.col("kind"))
     counts = [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in BASE]
-    by_row = spans(rows, "text", scope).groupBy("row").agg(*counts, _listed(F.when(F.col("kind").isin(*BASE), span)).alias("base"), _listed(span).alias("spans"))
+    by_row = spans(matches, scope).groupBy("row").agg(*counts, _listed(F.when(F.col("kind").isin(*BASE), span)).alias("base"), _listed(span).alias("spans"))
     none = {**{f"n_{k}": F.coalesce(f"n_{k}", F.lit(0)) for k in BASE}, "base": F.coalesce("base", F.lit("")), "spans": F.coalesce("spans", F.lit(""))}
-    return keys.join(by_row, "row", "left").withColumns(none).select(F.col("key").alias(key), *none)
+    return matches.select("row", "key").join(by_row, "row", "left").withColumns(none).select(F.col("key").alias(key), *none)
 
 
 def redacted(docs: DataFrame, text: str = "text", count: str | None = None, scope: int = SCOPE, mark: str = MARK) -> DataFrame:
@@ -95,9 +100,9 @@ def redacted(docs: DataFrame, text: str = "text", count: str | None = None, scop
     columns = docs.columns
     tag = "row" if "row" not in columns else "row_" + "_".join(columns)
     rows = stored(docs.withColumn(tag, F.monotonically_increasing_id()))
-    found = spans(rows.select(F.col(f"`{tag}`").alias("row"), F.col(f"`{text}`").alias("text")), "text", scope)
+    reported = spans(found(rows.select(F.col(f"`{tag}`").alias("row"), F.col(f"`{text}`").alias("text")), "text", "row"), scope)
     order = Window.partitionBy("row").orderBy("start", "end")
-    ended = found.withColumn("before", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    ended = reported.withColumn("before", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     merged = ended.withColumn("part", F.sum(F.when(F.col("start") < F.col("before"), 0).otherwise(1)).over(order)).groupBy("row", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     cut = merged.withColumn("from", F.lag("end", 1, 0).over(Window.partitionBy("row").orderBy("start")))
     cuts = cut.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("from", "start"))).alias("cuts"), F.max("end").alias("last")).withColumnRenamed("row", tag)
