@@ -71,7 +71,7 @@ def measured(texts: list[str | None], lengths: tuple[int, ...]) -> dict[str, np.
     out["n_repeat_words"] = np.zeros(len(texts), np.int64)
     for n in range(1, max(*lengths, WINDOW) + 1):
         rolling *= np.uint64(0x100000001B3 * 2**8 + 0x6D)
-        rolling[: total - n + 1] += word[n - 1 :]
+        rolling[: max(0, total - n + 1)] += word[n - 1 :]
         if n not in lengths and n != WINDOW:
             continue
         found, later = _repeats(rolling ^ salt, left >= n)
