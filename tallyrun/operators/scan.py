@@ -1,48 +1,42 @@
-"""Running values over ordered history that stay safe when one group holds most of the rows.
+"""Running values over ordered history that stay safe when groups hold most of the rows.
 
 A plain window sends each group to one task. That is the right plan until a group is too large for a task, so every
-function here takes a ``Hot`` description of the groups that are. Rows of those groups are cut into blocks of nearly
-equal size along the leading order column; each block is windowed on its own, and one summary row per block carries
-the values of the earlier blocks forward. Groups outside ``Hot`` keep one block and need no carry.
+function here takes a ``Hot`` description of the groups that are: a table of their keys, of any length, joined like any
+other. Rows of those groups are dealt into blocks of nearly equal size by ranges of keys and the full order, so that a
+group gets as many blocks as its rows need and rows that tie on the leading column are split too. Each block is windowed on
+its own, and one summary row per block carries the values of the earlier blocks forward.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import stored
 
 HOT_ROWS = "spark.tallyrun.hotRows"
 DEFAULT_HOT_ROWS = 5_000_000
-BYTES_PER_ROW = 4
-#: Groups listed as hot. A group left out holds less than 1/1000 of the rows.
-MAX_HOT_GROUPS = 1000
-MAX_BLOCKS = 512
 
 _known: dict[tuple, "Hot | None"] = {}
 
 
 @dataclass(frozen=True)
 class Hot:
-    """Groups above the row limit with their block boundaries on the leading order column."""
+    """Groups above the row limit: a table of their keys, and how many blocks all their rows make."""
 
     keys: tuple[str, ...]
-    table: DataFrame  # keys + _splits array<double>; at most MAX_HOT_GROUPS rows
-
-    def tag(self, df: DataFrame, lead: str) -> DataFrame:
-        """Adds ``_block``: 0 outside hot groups, else the number of boundaries at or below the row."""
-        at = F.col(lead).cast("timestamp").cast("double") if _is_time(df, lead) else F.col(lead).cast("double")
-        block = F.size(F.filter("_splits", lambda s: s <= F.col("_at")))
-        return (
-            df.join(F.broadcast(self.table), list(self.keys), "left")
-            .withColumn("_at", at)
-            .withColumn("_block", F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(block))
-            .drop("_splits", "_at")
-        )
+    table: DataFrame  # keys + _n
+    blocks: int
+
+    def mark(self, df: DataFrame) -> DataFrame:
+        """Adds ``_hot``: true for rows of these groups, else null."""
+        listed = self.table.select(*(F.col(k).alias(f"_hot_{k}") for k in self.keys), F.lit(True).alias("_hot"))
+        same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in self.keys))
+        return df.join(listed, same, "left").drop(*(f"_hot_{k}" for k in self.keys))
 
 
 def _is_time(df: DataFrame, name: str) -> bool:
@@ -61,56 +55,23 @@ def hot_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(HOT_ROWS, str(DEFAULT_HOT_ROWS)))
 
 
-def _leaf_bytes(df: DataFrame) -> int:
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
-    sizes = {}
-    while leaves.hasNext():
-        leaf = leaves.next()
-        sizes[leaf.canonicalized().hashCode()] = int(str(leaf.stats().sizeInBytes()))
-    return sum(sizes.values())
-
-
-def hot_groups(df: DataFrame, keys: Sequence[str], lead: str) -> Hot | None:
-    """Looks for groups above the row limit.
+def hot_groups(df: DataFrame, keys: Sequence[str], lead: str | None = None) -> Hot | None:
+    """Looks for groups above the row limit by one pre-aggregated count over the key columns.
 
-    Nothing is run while the files read are too small to hold a group that large. Otherwise one pre-aggregated count
-    per key finds them; the answer holds at most ``MAX_HOT_GROUPS`` rows and is remembered per plan. The check decides
-    only how the work is split, never the result.
+    What is found is remembered per plan. It decides only how the work is split, never the result. ``lead`` is not needed.
     """
-    limit = hot_rows(df)
-    if not keys or _leaf_bytes(df) < limit * BYTES_PER_ROW:
+    if not keys:
         return None
-    known = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys), lead, limit)
+    known = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(keys), hot_rows(df))
     if known not in _known:
-        _known[known] = _measure(df, tuple(keys), lead, limit)
+        _known[known] = _measure(df, tuple(keys), hot_rows(df))
     return _known[known]
 
 
-def _measure(df: DataFrame, keys: tuple[str, ...], lead: str, limit: int) -> Hot | None:
-    large = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > limit)
-        .orderBy(F.col("_n").desc())
-        .limit(MAX_HOT_GROUPS)
-        .collect()
-    )
-    if not large:
-        return None
-    spark = df.sparkSession
-    blocks = min(MAX_BLOCKS, max(2, -(-max(r["_n"] for r in large) // limit) * 2))
-    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    listed = spark.createDataFrame([tuple(r[k] for k in keys) for r in large], schema)
-    at = F.col(lead).cast("timestamp").cast("double") if _is_time(df, lead) else F.col(lead).cast("double")
-    cuts = F.percentile_approx(at, [i / blocks for i in range(1, blocks)], 10_000)
-    rows = (
-        df.join(F.broadcast(listed), list(keys))
-        .groupBy(*keys)
-        .agg(F.array_distinct(cuts).alias("_splits"))
-        .collect()
-    )
-    table = spark.createDataFrame([tuple(r) for r in rows], schema + ", _splits array<double>")
-    return Hot(keys, table)
+def _measure(df: DataFrame, keys: tuple[str, ...], limit: int) -> Hot | None:
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    rows = large.agg(F.sum("_n")).first()[0]
+    return None if rows is None else Hot(keys, stored(large), max(2, -(-2 * rows // limit)))
 
 
 # ---------------------------------------------------------------- running values
@@ -211,11 +172,44 @@ def running(
     if hot is None:
         out = df.withColumns({name: _within(step, keys, order, micros) for name, step in steps.items()})
         return out.withColumns({n: F.col(f"`{n}`.v") for n, s in steps.items() if s.kind in boxed} or {})
+    marked = hot.mark(df)
+    plain = running(marked.where("_hot IS NULL").drop("_hot"), keys, order, None, **steps)
+    large = _split(marked.where("_hot").drop("_hot"), keys, order, hot, steps)
+    return plain.unionByName(large.select(*df.columns, *(F.col(n).cast(plain.schema[n].dataType).alias(n) for n in steps)))
+
+
+def _split(df: DataFrame, keys: list[str], order: list[str], hot: Hot, steps: dict[str, Step]) -> DataFrame:
+    """``running`` for rows of hot groups only."""
+    tied = {n: s for n, s in steps.items() if s.upto in ("ties", "earlier")}
+    rest = {n: s for n, s in steps.items() if n not in tied}
+    out = _blockwise(df, keys, order, hot, rest) if rest else df
+    if not tied:
+        return out
+    # values up to all or before any of the tied rows: aggregate each value of the leading column, then walk those
+    lead, gather = _bare(order[0]), {**_AGGREGATE, "latest": None}
+    each = df.groupBy(*keys, lead).agg(*(gather[s.kind](s.value).alias(f"_{n}") for n, s in tied.items()))
+    walk = {n: Step("total" if s.kind == "seen" else s.kind, F.col(f"_{n}"), "current" if s.upto == "ties" else "before") for n, s in tied.items()}
+    walked = _blockwise(each, keys, order[:1], hot, walk)
+    walked = walked.select(*(F.col(k).alias(f"_k_{k}") for k in (*keys, lead)), *(F.coalesce(n, F.lit(0)).alias(n) if s.kind == "seen" else F.col(n) for n, s in tied.items()))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in (*keys, lead)))
+    return out.join(walked, same, "left").drop(*(f"_k_{k}" for k in (*keys, lead)))
+
+
+_MERGE = {
+    "position": F.sum,
+    "total": F.sum,
+    "seen": F.sum,
+    "highest": F.max,
+    "lowest": F.min,
+    "latest": lambda c: F.last(c, ignorenulls=True),
+    "previous": F.last,
+    "opening": lambda c: F.first(c, ignorenulls=True),
+}
+
 
+def _blockwise(df: DataFrame, keys: list[str], order: list[str], hot: Hot, steps: dict[str, Step]) -> DataFrame:
     inner = [*keys, "_block"]
-    whole = Window.partitionBy(*inner).orderBy(*_sort(order)).rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
+    whole = Window.partitionBy(*inner).orderBy(*_sort(order)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
     def summary(step: Step) -> Column:
         if step.kind == "position":
@@ -226,34 +220,18 @@ def running(
             return F.first(F.struct(step.value.alias("v"))).over(whole)
         return _AGGREGATE[step.kind](step.value).over(whole)
 
-    tagged = hot.tag(df, _bare(order[0]))
-    local = tagged.withColumns(
-        {name: _within(step, inner, order, micros) for name, step in steps.items()}
+    dealt = df.repartitionByRange(hot.blocks, *keys, *_sort(order)).withColumn("_block", F.spark_partition_id())
+    local = dealt.withColumns(
+        {name: _within(step, inner, order, False) for name, step in steps.items()}
         | {f"_all_{name}": summary(step) for name, step in steps.items()}
         | {"_first": F.row_number().over(Window.partitionBy(*inner).orderBy(*_sort(order)))}
     )
-    local = cut(local)
-    names = [f"_all_{n}" for n in steps]
-    direction = F.col("_block").desc() if order[0].startswith("-") else F.col("_block").asc()
-    ahead = Window.partitionBy(*keys).orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
-    merge = {
-        "position": F.sum,
-        "total": F.sum,
-        "seen": F.sum,
-        "highest": F.max,
-        "lowest": F.min,
-        "latest": lambda c: F.last(c, ignorenulls=True),
-        "previous": F.last,
-        "opening": lambda c: F.first(c, ignorenulls=True),
-    }
-    carried = (
-        local.where("_first = 1")
-        .join(F.broadcast(hot.table.drop("_splits")), list(hot.keys), "left_semi")
-        .select(*inner, *names)
-        .withColumns({f"_pre_{n}": merge[s.kind](F.col(f"_all_{n}")).over(ahead) for n, s in steps.items()})
-        .drop(*names)
-    )
-    joined = local.drop(*names, "_first").join(carried, inner, "left")
+    local = stored(local)
+    ahead = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = local.where("_first = 1").select(
+        *(F.col(k).alias(f"_k_{k}") for k in inner), *(_MERGE[s.kind](F.col(f"_all_{n}")).over(ahead).alias(f"_pre_{n}") for n, s in steps.items()))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in inner))
+    joined = local.join(carried, same, "left")
 
     def combine(name: str, step: Step) -> Column:
         here, before = F.col(f"`{name}`"), F.col(f"_pre_{name}")
@@ -271,8 +249,7 @@ def running(
             return F.coalesce(here, before)["v"]
         return F.coalesce(before, here)["v"]
 
-    out = joined.withColumns({n: combine(n, s) for n, s in steps.items()})
-    return out.select(*df.columns, *steps)
+    return joined.select(*df.columns, *(combine(n, s).alias(n) for n, s in steps.items()))
 
 
 # ---------------------------------------------------------------- rolling median
@@ -301,9 +278,7 @@ def rolling_median(
     if hot is not None:
         chunk = max(hot_rows(df), window)
         numbered = running(flagged, groups, order, hot, _pos=position())
-        marked = numbered.join(
-            F.broadcast(hot.table.select(*hot.keys, F.lit(True).alias("_hot"))), list(hot.keys), "left"
-        ).withColumn("_home", F.when(F.col("_hot"), F.floor((F.col("_pos") - 1) / chunk)).otherwise(F.lit(0)))
+        marked = hot.mark(numbered).withColumn("_home", F.when(F.col("_hot"), F.floor((F.col("_pos") - 1) / chunk)).otherwise(F.lit(0)))
         tail = F.col("_hot") & (F.col("_pos") > (F.col("_home") + 1) * chunk - (window - 1))
         flagged = marked.withColumn(
             "_chunk",
@@ -339,11 +314,9 @@ def percentiles(
     exact = {n: F.percentile(F.col(value), F.lit(p)).alias(n) for n, p in points.items()}
     if hot is None:
         return df.groupBy(*keys).agg(*exact.values(), *(c.alias(n) for n, c in extra.items()))
-    listed = F.broadcast(hot.table.drop("_splits"))
-    normal = df.join(listed, list(hot.keys), "left_anti").groupBy(*keys).agg(
-        *exact.values(), *(c.alias(n) for n, c in extra.items())
-    )
-    large = df.join(listed, list(hot.keys), "left_semi")
+    marked = hot.mark(df)
+    normal = marked.where("_hot IS NULL").groupBy(*keys).agg(*exact.values(), *(c.alias(n) for n, c in extra.items()))
+    large = marked.where("_hot").drop("_hot")
     picked = counted_percentiles(
         large.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")),
         keys, value, "_n", points, hot,

@@ -28,7 +28,7 @@ def data(spark):
 @pytest.fixture
 def hot(spark, data):
     spark.conf.set(scan.HOT_ROWS, "100")
-    found = scan._measure(data, ("k",), "t", 100)
+    found = scan._measure(data, ("k",), 100)
     yield found
     spark.conf.unset(scan.HOT_ROWS)
 
@@ -46,8 +46,33 @@ def table(df):
 
 
 def test_hot_groups_are_found_and_cut(hot):
-    got = {r["k"]: len(r["_splits"]) for r in hot.table.collect()}
-    assert 1 in got and got[1] > 3
+    assert 1 in {r["k"] for r in hot.table.collect()} and hot.blocks > 10
+
+
+def blocks_of(spark, monkeypatch, df, keys, order, limit):
+    """Rows of each (group, block) of the tables that running values store."""
+    kept = []
+    monkeypatch.setattr(scan, "stored", lambda x, real=scan.stored: kept.append(real(x)) or kept[-1])
+    spark.conf.set(scan.HOT_ROWS, str(limit))
+    try:
+        out = scan.running(df, keys, order, "auto", n=scan.position(), e=scan.highest(F.col("v"), "earlier"))
+        plain = scan.running(df, keys, order, None, n=scan.position(), e=scan.highest(F.col("v"), "earlier"))
+        assert out.exceptAll(plain).isEmpty() and plain.exceptAll(out).isEmpty()
+    finally:
+        spark.conf.unset(scan.HOT_ROWS)
+    return [max(r["count"] for r in k.groupBy(*keys, "_block").count().collect()) for k in kept if "_block" in k.columns], kept
+
+
+def test_more_than_a_thousand_hot_groups(spark, monkeypatch):
+    df = spark.range(30_000).select((F.col("id") % 1500).alias("k"), F.col("id").alias("t"), F.col("id").alias("id"), (F.hash("id") % 50).cast("double").alias("v"))
+    most, kept = blocks_of(spark, monkeypatch, df, ["k"], ["t", "id"], 15)
+    assert kept[0].count() == 1500 and most and max(most) <= 20
+
+
+def test_tied_rows_are_split(spark, monkeypatch):
+    df = spark.range(20_000).select(F.lit(1).alias("k"), F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(7).alias("t"), F.col("id").alias("id"), F.col("id").cast("double").alias("v"))
+    most, _ = blocks_of(spark, monkeypatch, df, ["k"], ["t", "id"], 1000)
+    assert most and max(most) <= 1500
 
 
 @pytest.mark.parametrize("order", [["t", "id"], ["-t", "-id"], ["-t", "id"]])
@@ -98,7 +123,7 @@ def test_rolling_median_split_or_not_and_against_a_loop(data, hot):
 def test_percentiles_split_or_not(data, spark):
     spark.conf.set(scan.HOT_ROWS, "100")
     try:
-        hot = scan._measure(data.where("v IS NOT NULL"), ("k",), "v", 100)
+        hot = scan._measure(data.where("v IS NOT NULL"), ("k",), 100)
         points = {"a": 0.1, "b": 0.5, "c": 0.9, "d": 1.0}
         args = (data, ["k"], "v", points)
         plain = scan.percentiles(*args, hot=None, n=F.count(F.lit(1)))
@@ -108,6 +133,12 @@ def test_percentiles_split_or_not(data, spark):
         spark.conf.unset(scan.HOT_ROWS)
 
 
-def test_check_runs_no_job_on_small_files(spark):
+def test_null_keys_are_split_too(spark, monkeypatch):
+    df = spark.range(4000).select(F.lit(None).cast("int").alias("k"), F.col("id").alias("t"), F.col("id").alias("id"), F.col("id").cast("double").alias("v"))
+    most, _ = blocks_of(spark, monkeypatch, df, ["k"], ["t", "id"], 500)
+    assert most and max(most) <= 600
+
+
+def test_small_groups_make_no_list(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert scan.hot_groups(df, ["user_id"], "ts") is None
