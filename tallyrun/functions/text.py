@@ -46,10 +46,15 @@ def number(raw: Column) -> Column:
 def natural_key(name: Column) -> Column:
     """A sort key in which digit runs order by value and case does not matter.
 
-    Approximates a locale collation: every run of digits is padded to 20 places.
+    Approximates a locale collation: every run of digits is led by its number of places, without leading zeros.
     """
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")
+
+    def keyed(part: Column) -> Column:
+        digits = F.regexp_replace(part, r"^0+(?=\d)", "")
+        return F.when(part.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(part)
+
+    return F.array_join(F.transform(parts, keyed), "")
 
 
 def words(query: str) -> list[str]:

@@ -11,7 +11,6 @@ from .history_queries import killview
 from .curve_sql import FITS, PB, RECENT, at_sql, resolve_sql, sample_sql
 from .registry import Query, query
 
-STEP_S = 0.5
 
 
 @b.kept_table
@@ -87,7 +86,7 @@ def tab_series(s, d):
 @b.once
 def chart(s, d):
     ranged = curves.recent_range(points(s, d), recent(s, d))
-    return series.chart_data(pace(s, d), resolved(s, d, "pb-before"), ranged, params(s, d), points(s, d), STEP_S)
+    return series.chart_data(pace(s, d), resolved(s, d, "pb-before"), ranged, params(s, d), points(s, d))
 
 
 def _probes(s, d):
@@ -204,12 +203,17 @@ def queries() -> list[Query]:
     # ------------------------------------------------------------ sampled series
     add("G1_union_grid", "run_id:i x:d", lambda s, d: series.union_grid(points(s, d), curves.of_pairs(pairs(s, d), points(s, d), "other_id")),
         "SELECT DISTINCT run_id, x FROM (SELECT run_id, x FROM m_curve UNION ALL SELECT p.run_id, c.x FROM m_pairs p JOIN m_curve c ON c.run_id = p.other_id)")
-    add("G2_scrub_grid", "run_id:i k:i x:d", lambda s, d: series.scrub_grid(points(s, d), STEP_S),
-        at_sql("""SELECT run_id, k, CAST(k AS DOUBLE) / 2 AS t FROM (SELECT run_id, unnest(range(0, CAST(floor(e * 2 + 1e-9) AS BIGINT) + 1)) AS k
-                     FROM (SELECT run_id, max(t) AS e FROM m_curve GROUP BY 1))""", "t", ["x"]))
+    grid_sql = at_sql("""SELECT run_id, k, CAST(k AS DOUBLE) / 100 AS t FROM (SELECT run_id, unnest(range(0, CAST(floor(e * 100 + 1e-9) AS BIGINT) + 1)) AS k
+                     FROM (SELECT run_id, max(t) AS e FROM m_curve GROUP BY 1))""", "t", ["x"])
+    add("G2_scrub_grid", "run_id:i steps:i last_k:i low:d high:d mean:d",
+        lambda s, d: series.scrub_grid(points(s, d)).groupBy("run_id").agg(
+            F.count("*").alias("steps"), F.max("k").alias("last_k"), F.min("x").alias("low"), F.max("x").alias("high"), F.avg("x").alias("mean")),
+        f"SELECT run_id, count(*) AS steps, max(k) AS last_k, min(x) AS low, max(x) AS high, avg(x) AS mean FROM ({grid_sql}) GROUP BY run_id")
     add("G3_sampled", "run_id:i x:d accumulated:d local:d",
         lambda s, d: series.sample(pace(s, d), _probes(s, d), ["accumulated", "local"]), sample_sql(probes, "m_pace", ["accumulated", "local"]))
-    add("G4_chart_data", "run_id:i x:d display:d accumulated:d local:d base_accumulated:d base_local:d recent_mean:d recent_low:d recent_high:d", chart, None)
+    drawn = ["display", "accumulated", "local", "base_accumulated", "base_local", "recent_mean", "recent_low", "recent_high"]
+    add("G4_chart_data", "run_id:i points:i " + " ".join(f"{c}:d" for c in drawn),
+        lambda s, d: chart(s, d).groupBy("run_id").agg(F.count("*").alias("points"), *(F.avg(c).alias(c) for c in drawn)), None)
     add("G5_display_units", "run_id:i idx:i display:d", lambda s, d: points(s, d).withColumn(
         "display", numbers.display_x(F.col("kind"), F.col("duration_s"), F.col("x"))),
         "SELECT run_id, idx, CASE WHEN kind = 'clock' THEN x * duration_s ELSE x * 100 END AS display FROM m_curve")

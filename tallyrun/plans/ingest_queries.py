@@ -182,25 +182,32 @@ def queries() -> list[Query]:
         f"SELECT player_id, stem AS file_stem, written_at + INTERVAL 999 MILLISECOND AS written_at, n AS kills FROM ({DOC}) WHERE NOT failed AND abort")
     ids = lambda s, d: staged(s, d)["run"].select(ingest.key_id("player_id", "file_stem").alias("run_id"), "file_stem")
     add("I27_run_weapon", "file_stem:s name:s shots:i hits:i damage_done:e damage_possible:e",
-        lambda s, d: ingest.weapon_totals(staged(s, d)).join(ids(s, d), "run_id").join(ingest.dimensions(staged(s, d))["weapon"], "weapon_id"),
+        lambda s, d: ingest.weapon_totals(staged(s, d)).join(ids(s, d), ["run_id", "file_stem"]).join(ingest.dimensions(staged(s, d))["weapon"], "weapon_id"),
         f"""SELECT r.stem AS file_stem, w.weapon AS name, w.* EXCLUDE (weapon, run_id) FROM ({weapon_sql}) w JOIN ({KEPT}) r ON r.id = w.run_id
             UNION ALL SELECT stem, 'none', 0, 0, 0, 0 FROM ({KEPT}) WHERE n = 0""")
     add("I28_kill_series", "file_stem:s place:i idx:i at_ms:i ttk:d shots:i",
-        lambda s, d: ingest.kill_series(staged(s, d)).join(ids(s, d), "run_id").select("file_stem", F.posexplode("kills").alias("place", "k")).select("file_stem", "place", "k.*"),
+        lambda s, d: ingest.kill_series(staged(s, d)).join(ids(s, d), ["run_id", "file_stem"]).select("file_stem", F.posexplode("kills").alias("place", "k")).select("file_stem", "place", "k.*"),
         f"SELECT r.stem AS file_stem, k.ordinal AS place, k.ordinal AS idx, k.at_ms, k.ttk, k.shots FROM m_kill k JOIN ({KEPT}) r ON r.id = k.run_id")
-    add("I31_json_lists", "player_id:i place:i score:d",
-        lambda s, d: complete(s, d).groupBy("player_id").agg(F.to_json(F.slice(F.sort_array(F.collect_set("score")), 1, 5)).alias("j")).select(
-            "player_id", F.posexplode(ingest.list_array(F.col("j"), "double")).alias("place", "score")),
-        """SELECT player_id, place, score FROM (SELECT player_id, score, row_number() OVER (PARTITION BY player_id ORDER BY score) - 1 AS place FROM (
-             SELECT DISTINCT player_id, score FROM m_complete WHERE score IS NOT NULL)) WHERE place < 5""")
+    series_sql = f"SELECT r.stem AS file_stem, k.ordinal AS place, k.ordinal AS idx, k.at_ms, k.ttk, k.shots FROM m_kill k JOIN ({KEPT}) r ON r.id = k.run_id"
+    twice = lambda s, d: ingest.stage(classified(s, d).unionByName(classified(s, d)))
+    add("I25_files_listed_twice", "player_id:i file_stem:s score:d", lambda s, d: ingest.run_rows(twice(s, d)), f"SELECT player_id, stem AS file_stem, coalesce(score, 0) AS score FROM ({KEPT})")
+    add("I28_files_listed_twice", "file_stem:s place:i idx:i at_ms:i ttk:d shots:i",
+        lambda s, d: ingest.kill_series(twice(s, d)).select("file_stem", F.posexplode("kills").alias("place", "k")).select("file_stem", "place", "k.*"), series_sql)
+    add("I29_files_listed_twice", "file_stem:s bots:i kills:i shots:i",
+        lambda s, d: ingest.run_bot(twice(s, d)).groupBy("file_stem").agg(F.count("*").alias("bots"), F.sum("kills").alias("kills"), F.sum("shots").alias("shots")),
+        f"SELECT r.stem AS file_stem, count(DISTINCT k.bot) AS bots, count(*) AS kills, sum(k.shots) AS shots FROM m_kill k JOIN ({KEPT}) r ON r.id = k.run_id GROUP BY 1")
+    add("I30_attached_once", "player_id:i perf_stem:s candidates:i", lambda s, d: ingest.attached(matches(s, d)), f"SELECT player_id, perf_stem, count(*) AS candidates FROM ({MATCHES}) GROUP BY ALL")
+    add("I31_json_lists", "file_stem:s place:i ttk:d",
+        lambda s, d: staged_kills(s, d).select("file_stem", F.to_json(F.transform("kills", lambda k: k["ttk"])).alias("j")).select(
+            "file_stem", F.posexplode(ingest.list_array(F.col("j"), "double")).alias("place", "ttk")), f"SELECT file_stem, place, ttk FROM ({series_sql})")
     add("F10_json_payload", "player_id:i file_stem:s hash:s",
         lambda s, d: staged(s, d)["unattributed_file"].withColumn("hash", F.from_json("payload", "settings struct<hash:string>")["settings"]["hash"]),
         f"SELECT player_id, stem AS file_stem, '' AS hash FROM ({DOC}) WHERE NOT failed AND abort")
     add("I33_pending_perf", "player_id:i perf_stem:s", lambda s, d: ingest.pending(perf_file(s, d), matches(s, d)),
         f"SELECT * FROM ({FILES}) WHERE perf_stem NOT IN (SELECT perf_stem FROM ({MATCHES}))")
     add("I34_ingest_report", "scanned:i todo:i skipped:i runs:i aborts:i failures:i matched:i ambiguous:i orphans:i",
-        lambda s, d: ingest.report(names(s, d), names(s, d).where("player_id % 2 = 0"), classified(s, d), matches(s, d), perf_file(s, d)),
-        f"""SELECT count(*) AS scanned, count(*) FILTER (WHERE player_id % 2 = 0) AS todo, count(*) FILTER (WHERE player_id % 2 = 1) AS skipped,
+        lambda s, d: ingest.report(names(s, d).unionByName(names(s, d).where("player_id % 2 = 1")), names(s, d), classified(s, d), matches(s, d), perf_file(s, d)),
+        f"""SELECT count(*) + count(*) FILTER (WHERE player_id % 2 = 1) AS scanned, count(*) AS todo, count(*) FILTER (WHERE player_id % 2 = 1) AS skipped,
               count(*) FILTER (WHERE NOT failed AND NOT abort) AS runs, count(*) FILTER (WHERE NOT failed AND abort) AS aborts, count(*) FILTER (WHERE failed) AS failures,
               (SELECT count(*) FROM (SELECT perf_stem FROM ({MATCHES}) GROUP BY 1 HAVING count(*) = 1)) AS matched,
               (SELECT count(*) FROM (SELECT perf_stem FROM ({MATCHES}) GROUP BY 1 HAVING count(*) > 1)) AS ambiguous,
@@ -297,6 +304,10 @@ def queries() -> list[Query]:
     return q
 
 
+def staged_kills(s, d):
+    return ingest.kill_series(staged(s, d))
+
+
 def _written(s, d):
     root = _new_folder(s, "tables")
     ingest.write_batch(ingest.tables(staged(s, d)), root, 0)

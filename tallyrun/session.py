@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +25,16 @@ def build(app: str, master: str | None = None, **extra: str) -> SparkSession:
         builder = builder.master(master)
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return shipped(builder.getOrCreate())
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """Sends this package to the Python workers, which need not run where it lies or have it installed."""
+    here = Path(__file__).resolve().parent
+    if not any(f.endswith(f"/{here.name}.zip") for f in spark.sparkContext.listFiles):
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='tallyrun-code-')}/{here.name}", "zip", here.parent, here.name)
+        spark.sparkContext.addPyFile(archive)
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:

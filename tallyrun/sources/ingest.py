@@ -18,8 +18,11 @@ TABLES = ["scenario", "game_version", "bot", "weapon", "config", "run", "run_wea
 
 
 def key_id(*columns: str) -> Column:
-    """A row's id from its natural key, the same on every retry and every machine."""
-    return F.xxhash64(*columns)
+    """A row's id from its natural key, the same on every retry and every machine; a null part counts as such.
+
+    Ids name rows; tables that belong to a run also carry its natural key and are grouped and joined by that.
+    """
+    return F.xxhash64(*(part for c in columns for part in (F.col(c).isNull(), F.col(c))))
 
 
 def extra(kind: Column) -> Column:
@@ -37,8 +40,8 @@ def extra(kind: Column) -> Column:
 
 
 def stage(classified: DataFrame, owner: str = "player_id") -> dict[str, DataFrame]:
-    """Good documents as staged rows that name their dimensions by natural key."""
-    fine = stats_document.good(classified)
+    """Good documents as staged rows that name their dimensions by natural key. A file listed twice counts once."""
+    fine = stats_document.good(classified).dropDuplicates([owner, "file_stem"])
     runs = fine.where("kind <> 'abort'")
     total = lambda c: F.aggregate("weapons", F.lit(0.0), lambda a, w: a + w[c])
     spine = runs.select(
@@ -98,7 +101,6 @@ def run_rows(staged: dict[str, DataFrame], owner: str = "player_id") -> DataFram
         .withColumn("scenario_id", key_id("hash"))
         .withColumn("game_version_id", key_id("game_version"))
         .withColumn("config_id", key_id(*CONFIG))
-        .dropDuplicates([owner, "file_stem"])
         .drop("hash", "scenario_name", "game_version", *CONFIG)
     )
 
@@ -116,19 +118,19 @@ def check_config(run: DataFrame, staged_run: DataFrame, config: DataFrame, owner
 def weapon_totals(staged: dict[str, DataFrame], owner: str = "player_id") -> DataFrame:
     w = staged["weapon"]
     return w.select(
-        owner, key_id(owner, "file_stem").alias("run_id"), F.xxhash64("weapon").alias("weapon_id"), "shots", "hits", "damage_done", "damage_possible"
+        owner, "file_stem", key_id(owner, "file_stem").alias("run_id"), key_id("weapon").alias("weapon_id"), "shots", "hits", "damage_done", "damage_possible"
     )
 
 
 def kill_series(staged: dict[str, DataFrame], owner: str = "player_id") -> DataFrame:
     """Each run's kills as one array of structs, in file order."""
-    k = staged["kill"].withColumn("bot_id", F.xxhash64("bot")).withColumn("weapon_id", F.xxhash64("weapon"))
+    k = staged["kill"].withColumn("bot_id", key_id("bot")).withColumn("weapon_id", key_id("weapon"))
     fields = ["idx", "at_ms", "bot_id", "weapon_id", "ttk", "shots", "hits", "damage_done", "damage_possible", "overshots", "cheated"]
-    return k.groupBy(owner, key_id(owner, "file_stem").alias("run_id")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("kills"))
+    return k.groupBy(owner, "file_stem", key_id(owner, "file_stem").alias("run_id")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("kills"))
 
 
 def run_bot(staged: dict[str, DataFrame], owner: str = "player_id") -> DataFrame:
-    return staged["kill"].groupBy(owner, key_id(owner, "file_stem").alias("run_id"), F.xxhash64("bot").alias("bot_id")).agg(
+    return staged["kill"].groupBy(owner, "file_stem", key_id(owner, "file_stem").alias("run_id"), key_id("bot").alias("bot_id")).agg(
         F.count(F.lit(1)).alias("kills"), F.avg("ttk").alias("avg_ttk"),
         *(F.sum(c).alias(c) for c in ("shots", "hits", "damage_done", "damage_possible", "overshots")),
     )
@@ -147,6 +149,11 @@ def perf_matches(perf: DataFrame, run: DataFrame, owner: str = "player_id") -> D
     return overlap_join(perf, done, [owner], "challenge_start", "started_at", "written_at").drop("started_at", "written_at")
 
 
+def attached(matches: DataFrame, owner: str = "player_id") -> DataFrame:
+    """One run per performance file: of several the one with the smallest id. ``candidates`` tells how many there were."""
+    return matches.groupBy(owner, "perf_stem").agg(F.min("run_id").alias("run_id"), F.count(F.lit(1)).alias("candidates"))
+
+
 def pending(perf: DataFrame, run_perf: DataFrame, owner: str = "player_id") -> DataFrame:
     """Performance files not attached yet, to be tried again when more runs are there."""
     return perf.join(run_perf.select(owner, "perf_stem"), [owner, "perf_stem"], "left_anti")

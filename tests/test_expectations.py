@@ -108,7 +108,7 @@ def test_history_equals_evaluation_and_does_not_depend_on_splitting(spark, small
     runs = composite.events(stream, small_tree)
     ranks = composite.as_of_ranks(runs, 5)
     plain = composite.history(ranks, small_tree, mode).cache()
-    hot = scan._measure(stream, ("player_id",), "t", 40)
+    hot = scan._measure(stream, ("player_id",), 40)
     split = composite.history(composite.as_of_ranks(runs, 5, hot), small_tree, mode, hot)
     key = lambda r: (r["level"], r["node_no"], r["id"])
     a = {key(r): (r["pb"], r["form"], r["played"]) for r in plain.collect()}
