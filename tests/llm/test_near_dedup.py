@@ -53,13 +53,13 @@ def test_links_beyond_the_hub(spark):
 
 def test_tiles_split_a_bucket(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "TILE", 4)
-    rows = [(5, 1, 12, i, i // 2, [i] * 16, [i if i < 10 else 3, 5]) for i in range(12)]
-    members = spark.createDataFrame(rows, "bucket long, band int, size long, rep long, component long, sketch array<long>, bands array<long>")
+    rows = [(5, 1, 12, i, i // 2, [i] * 16, 100_000, [i if i < 10 else 3, 5]) for i in range(12)]
+    members = spark.createDataFrame(rows, "bucket long, band int, size long, rep long, component long, sketch array<long>, n long, bands array<long>")
     same_band_before = {(3, 10), (3, 11), (10, 11)}
-    got = sorted((r["a"], r["b"]) for r in near_dedup._ordered(near_dedup._tiles(members, 1000, False)).collect())
+    got = sorted((r["a"], r["b"]) for r in near_dedup._ordered(near_dedup._tiles(members, 1000, 80, False)).collect())
     assert got == [(a, b) for a in range(12) for b in range(a + 1, 12) if a // 2 != b // 2 and (a, b) not in same_band_before]
-    assert near_dedup._tiles(members, 1000, False).count() == len(got)
-    near = {r["a"]: r["bits"] for r in near_dedup._tiles(members, 1000, True).groupBy("a").agg({"bits": "min"}).withColumnRenamed("min(bits)", "bits").collect()}
+    assert near_dedup._tiles(members, 1000, 80, False).count() == len(got)
+    near = {r["a"]: r["bits"] for r in near_dedup._tiles(members, 1000, 80, True).groupBy("a").agg({"bits": "min"}).withColumnRenamed("min(bits)", "bits").collect()}
     assert near == {i: min(16 * (i ^ j).bit_count() for j in range(12) if j // 2 != i // 2) for i in range(12)}
 
 
@@ -76,6 +76,21 @@ def test_sketches_bound_similarity():
     assert (np.bitwise_count(far[1:] ^ far[:-1]).sum(axis=1) > most).all()
 
 
+def test_full_sketches_never_reject_similar_sets():
+    rng = np.random.default_rng(9)
+    for n in (1, 9, 40, 300, 3000, 30_000):
+        whole = np.unique(rng.integers(0, 2**63, 2 * n).astype(np.uint64))
+        for share in (0.5, 0.7, 0.79, 0.8, 0.81, 0.95, 1.0):
+            cut = round(n * 2 * share / (1 + share))
+            a, b = whole[:n], whole[n - cut : 2 * n - cut]
+            both = len(np.intersect1d(a, b))
+            x, y = near_dedup.full_sketches([a, b], 4096).view(np.uint64)
+            bits = int(np.bitwise_count(x ^ y).sum())
+            assert bits <= len(a) + len(b) - 2 * both
+            if 100 * both >= 80 * (len(a) + len(b) - both):
+                assert bits * 180 <= (len(a) + len(b)) * 20
+
+
 def test_cases(spark):
     got = near_dedup.near_duplicates(documents(spark))
     rows = sorted((tuple(r) for r in got.collect()), key=str)
