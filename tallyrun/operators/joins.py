@@ -81,7 +81,14 @@ def interpolate(
 
 
 def content_join(perf: DataFrame, runs: DataFrame, window_s: int = 86_400) -> DataFrame:
-    """Matches performance files to runs by what they hold: scenario, shots and hits, within a coarse stretch of time."""
-    keys = ["player_id", "hash", "shots", "hits"]
-    apart = F.abs(F.unix_micros(F.col("written_at").cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp")))
-    return perf.join(runs, keys).where(apart <= window_s * 1_000_000).select("perf_id", "run_id")
+    """Matches performance files to runs by what they hold: scenario, shots and hits, within a coarse stretch of time.
+
+    Time is cut into cells as long as the stretch and joined with the content, a file with its own cell and the two beside
+    it, so that runs with the same sums at other times never meet.
+    """
+    keys = ["player_id", "hash", "shots", "hits", "_cell"]
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    cell = lambda c: F.floor(micros(c) / F.lit(window_s * 1_000_000))
+    left = perf.withColumn("_cell", F.explode(F.array(cell("at") - 1, cell("at"), cell("at") + 1)))
+    apart = F.abs(micros("written_at") - micros("at"))
+    return left.join(runs.withColumn("_cell", cell("written_at")), keys).where(apart <= window_s * 1_000_000).select("perf_id", "run_id")
