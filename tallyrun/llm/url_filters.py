@@ -3,9 +3,9 @@
 A list's dated entries (added or removed) become validity intervals of each pattern. A capture has a bounded number of
 candidate patterns: its address, its path's prefixes, its host and the host's parent domains. Candidates that no list ever
 held are dropped; the others meet their list's states in an as-of join: states are carried to the start of every time
-bucket, captures and states of one list, pattern, bucket and salt stand in one ordered group, and each capture takes the
-last state at or before its fetch time. Time buckets and salts split a host however many captures it has; the states of
-a pattern are few and are copied to each salt.
+bucket in which their pattern is asked for, captures and states of one list, pattern, bucket and salt stand in one ordered
+group, and each capture takes the last state at or before its fetch time. Time buckets split a host however many captures
+it has; a bucket with very many gets as many salts as it needs, and its states are copied to each.
 
 Patterns: ``url`` (host and path, equal), ``path`` (host and a path prefix that ends at /), ``host`` (equal), ``domain``
 (the host or any of its subdomains). The most specific active entry decides; among equals "allow" goes before "block".
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 
-BUCKET_SECONDS, SALTS = 7 * 86_400, 16
+BUCKET_SECONDS = 7 * 86_400
+#: Captures of one pattern and bucket that stand in one group.
+GROUP_ROWS = 200_000
 #: From the most specific to the least.
 KINDS = ("url", "path", "host", "domain")
 
@@ -52,20 +54,21 @@ def intervals(entries: DataFrame) -> DataFrame:
     return at_once.withColumn("high", nxt).where("on").select("list", "kind", "pattern", "verdict", F.col("at").alias("low"), "high")
 
 
-def evaluate(captures: DataFrame, entries: DataFrame, key: str, url: str, at: str, bucket: int = BUCKET_SECONDS, salts: int = SALTS) -> DataFrame:
+def evaluate(captures: DataFrame, entries: DataFrame, key: str, url: str, at: str, bucket: int = BUCKET_SECONDS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(key, url, at, host, verdict, decided_by, n_active): one row per capture. ``at`` is in seconds."""
     rows = captures.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("url"), F.col(f"`{at}`").cast("long").alias("at"))
     rows = stored(rows.withColumn("host", F.coalesce(host(F.col("url")), F.lit(""))))
     valid = stored(intervals(entries))
-    last = rows.agg(F.max("at")).first()[0]
+    first, last = rows.agg(F.min("at"), F.max("at")).first()
+    pattern, group = ["list", "kind", "pattern"], ["list", "kind", "pattern", "bucket"]
     asked = rows.where("at IS NOT NULL").select("row", "at", F.explode(candidates(F.col("host"), path(F.col("url")))).alias("c")).select("row", "at", "c.kind", "c.pattern")
-    asked = asked.join(valid.select("list", "kind", "pattern").distinct(), ["kind", "pattern"])
-    asked = asked.select("list", "kind", "pattern", F.floor(F.col("at") / bucket).alias("bucket"), F.pmod(F.xxhash64("row"), F.lit(salts)).alias("salt"), "at", F.lit(1).alias("asks"), "row",
-                         F.lit(None).cast("struct<verdict:string,high:bigint>").alias("state"))
-    ends = F.least(F.coalesce(F.col("high") - 1, F.lit(last)), F.lit(last))
-    carried = valid.where(F.col("low") <= ends).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("low") / bucket), F.floor(ends / bucket))))
-    carried = carried.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    states = carried.select("list", "kind", "pattern", "bucket", "salt", F.greatest("low", F.col("bucket") * bucket).alias("at"), F.lit(0).alias("asks"), F.lit(None).cast("long").alias("row"), F.struct("verdict", "high").alias("state"))
+    asked = asked.join(valid.select(*pattern).distinct(), ["kind", "pattern"]).withColumn("bucket", F.floor(F.col("at") / bucket))
+    groups = stored(asked.groupBy(*group).agg(F.ceil(F.count("*") / group_rows).alias("salts")))
+    asked = asked.join(groups, group).select(*group, F.pmod(F.xxhash64("row"), F.col("salts")).alias("salt"), "at", F.lit(1).alias("asks"), "row", F.lit(None).cast("struct<verdict:string,high:bigint>").alias("state"))
+    begins, ends = F.greatest("low", F.lit(first)), F.least(F.coalesce(F.col("high") - 1, F.lit(last)), F.lit(last))
+    carried = valid.join(groups.select(*pattern).distinct(), pattern, "left_semi").where(begins <= ends).withColumn("bucket", F.explode(F.sequence(F.floor(begins / bucket), F.floor(ends / bucket))))
+    carried = carried.join(groups, group).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    states = carried.select(*group, "salt", F.greatest("low", F.col("bucket") * bucket).alias("at"), F.lit(0).alias("asks"), F.lit(None).cast("long").alias("row"), F.struct("verdict", "high").alias("state"))
     order = Window.partitionBy("list", "kind", "pattern", "bucket", "salt").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
     met = asked.unionByName(states).withColumn("state", F.last("state", True).over(order))
     active = met.where("asks = 1 AND state IS NOT NULL AND (state.high IS NULL OR at < state.high)")

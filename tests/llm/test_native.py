@@ -97,7 +97,9 @@ def test_url_filters_at_fetch_time(spark):
              (6, "http://a.example.com/q", 10_000_000), (7, "http://sub.example.org/x", 50), (8, "http://b.example.org/x?q", 70), (9, "http://notexample.org/", 70), (10, "http://c.example.net/", 20), (11, None, 5), (12, "nonsense", 5),
              (13, "http://a.example.com/q", None), (14, "http://sub.example.org", 49), (2, "http://a.example.com/q", 100), (None, "http://a.example.com/q", 100)]
     captures = spark.createDataFrame([(*a, "k") for a in asked], "id long, url string, at long, kind string")
-    got = sorted(((r["id"], r["verdict"], r["decided_by"], r["n_active"]) for r in url_filters.evaluate(captures, entries, "id", "url", "at").collect()), key=str)
+    answer = lambda **how: sorted(((r["id"], r["verdict"], r["decided_by"], r["n_active"]) for r in url_filters.evaluate(captures, entries, "id", "url", "at", **how).collect()), key=str)
+    got = answer()
+    assert answer(bucket=30, group_rows=1) == got
     spam, parked = ("block", "spam|host|a.example.com", 1), ("block", "parked|domain|example.org", 1)
     no = ("none", "", 0)
     wanted = {1: no, 3: ("allow", "good|path|a.example.com/en/", 2), 4: ("allow", "good|path|a.example.com/en/", 2), 5: no, 6: spam, 7: parked, 8: ("allow", "one|url|b.example.org/x", 2), 9: no, 10: no, 11: no, 12: no, 13: no, 14: no}
