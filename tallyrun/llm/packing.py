@@ -146,26 +146,27 @@ def repacked(lengths: np.ndarray, at: np.ndarray, gap: np.ndarray, capacity: int
 
 
 def pack(rows: DataFrame, order: list[str], length: str = "length", capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to pieces. ``order`` names columns that tell pieces apart.
+    """Adds ``sequence_id`` (a number) and ``offset`` to pieces. ``order`` names columns that tell pieces apart.
 
-    Rows that are equal in all of them change places freely. A round reads what the one before has written.
+    Rows that are equal in all of them change places freely. A round reads what the one before has written, and deals its
+    rows by their place there, so that equal rows make no large group. ``group`` is below half a million.
     """
     columns = rows.columns
     rows = stored(rows)
-    full = rows.where(F.col(length) >= capacity).withColumns({"sequence_id": F.concat(F.lit("f"), F.monotonically_increasing_id().cast("string")), "offset": F.lit(0).cast("long")})
+    full = rows.where(F.col(length) >= capacity).withColumns({"sequence_id": F.monotonically_increasing_id() * 4, "offset": F.lit(0).cast("long")})
     loose = rows.where(F.col(length) < capacity)
-    first = _round(loose, order, length, capacity, group, "a", last=False)
-    second = _round(first.where(F.col("open")).select(*columns), order, length, capacity, group, "b", last=True)
+    first = _round(loose, order, length, capacity, group, 1, last=False)
+    second = _round(first.where(F.col("open")).select(*columns), order, length, capacity, group, 2, last=True)
     out = full.select(*columns, "sequence_id", "offset")
     for part in (first.where(~F.col("open")), second):
         out = out.unionByName(part.select(*columns, "sequence_id", "offset"))
     return out
 
 
-def _round(rows: DataFrame, order: list[str], length: str, capacity: int, group: int, mark: str, last: bool) -> DataFrame:
+def _round(rows: DataFrame, order: list[str], length: str, capacity: int, group: int, mark: int, last: bool) -> DataFrame:
     groups = max(1, -(-rows.count() // group))
-    dealt = rows.withColumn("dealt", F.pmod(F.xxhash64(F.lit(mark), *order), F.lit(groups)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id string, offset long, open boolean"
+    dealt = rows.withColumn("dealt", F.pmod(F.xxhash64(F.lit(mark), F.monotonically_increasing_id()), F.lit(groups)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id long, offset long, open boolean"
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches).drop_columns(["dealt"])
@@ -181,7 +182,7 @@ def _round(rows: DataFrame, order: list[str], length: str, capacity: int, group:
         starts = np.r_[True, at[inside][1:] != at[inside][:-1]]
         offset = np.empty(len(sizes), np.int64)
         offset[inside] = before - np.maximum.accumulate(np.where(starts, before, 0))
-        names = pa.array([f"{mark}{key[0].as_py()}-{b}" for b in at.tolist()])
+        names = pa.array(((key[0].as_py() << 20) + np.unique(at, return_inverse=True)[1]) * 4 + mark)
         open_ = np.zeros(len(sizes), bool) if last else gap[at] > 0
         out = table.append_column("sequence_id", names).append_column("offset", pa.array(offset)).append_column("open", pa.array(open_))
         yield from out.combine_chunks().to_batches()

@@ -25,7 +25,7 @@ def chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     rows = packing.pieces(table(spark, folder, "documents"))
     rows = rows.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return packing.pack(rows, ["doc_id", "piece", "ids_crc32"]).withColumn("sequence_id", F.xxhash64("sequence_id"))
+    return packing.pack(rows, ["doc_id", "piece", "ids_crc32"])
 
 
 #: The captures' first fetch time, and the days over which they spread.

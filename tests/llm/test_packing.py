@@ -91,5 +91,12 @@ def test_few_sequences(spark, group):
     assert placed.select("sequence_id").distinct().count() <= 1.02 * least + 2
 
 
+def test_equal_rows_make_no_large_group(spark):
+    rows = packing.pack(spark.createDataFrame([(None, 0, 3)] * 3000, "doc_id long, piece int, length long"), ["doc_id", "piece"], group=100)
+    assert rows.count() == 3000 and rows.schema["sequence_id"].dataType.simpleString() == "bigint"
+    assert rows.select("sequence_id").distinct().count() <= 40
+    assert rows.select("sequence_id", "offset").distinct().count() == 3000
+
+
 def test_empty(spark):
     assert packing.pack(packing.pieces(documents(spark, [])), ["doc_id", "piece"]).count() == 0
