@@ -4,10 +4,14 @@ Every text's set of word shingles is sampled by MinHash. Bands of samples give c
 into a parity bitmap (an odd sketch), and the number of bits in which two bitmaps differ bounds how similar two sets can
 be, so that only plausible candidates are confirmed on the full sets. Equal texts are one representative throughout.
 
-A bucket links its members to its smallest one only. Once these links are confirmed and components are known, buckets
-whose other members lie in different components compare those members' sketches in tiles of a bounded size; plausible
-pairs are confirmed too. A pair is thus lost only if it shares no band, or if its samples differ by more than five
-standard deviations from what the threshold expects (about three in a million each at the threshold, fewer above it).
+Candidates are confirmed in rounds, and components of confirmed links are taken after each, since pairs inside a
+component need no confirmation. First every member of a bucket tries the closest of its buckets' smallest members, then
+twice the closest member of another component in any of its buckets. What is still in different components, mostly the
+fringe of large groups, is compared pair by pair inside tiles of a bounded size, each pair in the first band that it
+shares, by odd sketches of the full sets: every bit in which these differ is a differing shingle, so they never reject a
+similar pair, and what they leave is confirmed. A pair is thus lost only if it shares no band (about three in a million at
+the threshold, fewer above it); links among one bucket's smallest members also need their samples to stay within five
+standard deviations of what the threshold expects.
 
 Defined cases: a null, empty or blank text has no shingles and is linked with nothing; fewer words than a shingle make
 one shingle; texts of any length are read whole; repeated rows are one representative and all get its component; an empty
@@ -32,8 +36,12 @@ from .graph import components
 
 SHINGLE, PERCENT = 4, 80
 BANDS, ROWS, BITS = 24, 4, 1024
-#: Members of a bucket that are compared with as many others in one tile.
-TILE = 1024
+#: Bits of the sketches of full sets.
+FULL_BITS = 4096
+#: Members of a bucket that are compared with as many others in one tile, and members that a task holds at a time.
+TILE, HELD = 1024, 10_000
+#: Rounds in which members try their closest one.
+ROUNDS = 2
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -47,7 +55,7 @@ def shingles(texts: list[str | None], size: int) -> list[np.ndarray]:
     rolling = np.zeros(len(word), np.uint64)
     for i in range(size):
         rolling = rolling * np.uint64(0x9FB21C651E98DF25)
-        rolling[: len(word) - i] += word[i:]
+        rolling[: max(0, len(word) - i)] += word[i:]
     rolling, out, at = mixed(rolling), [], 0
     for ws in words:
         n = len(ws)
@@ -100,7 +108,7 @@ def signatures(docs: DataFrame, key: str, text: str, size: int, bands: int, rows
             band = (least.reshape(len(sets), bands, rows) * mix).sum(axis=2, dtype=np.uint64)
             band = mixed(band + mixed(np.arange(bands) + 991)).view(np.int64)
             sketch = odd_sketches(least, bits)
-            digest = [xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "surrogatepass").translate(LOWER).split())) for t in texts]
+            digest = [_digest(t) for t in texts]
             listed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays(
                 [column(batch, key), pa.array(digest, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), listed(band), listed(sketch)], ["key", "digest", "n_shingles", "bands", "sketch"])
@@ -112,79 +120,160 @@ def _differing(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def _plausible(pairs: DataFrame, reps: DataFrame, most: int) -> DataFrame:
-    one = pairs.join(reps.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a")
-    two = one.join(reps.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
-    return two.where(_differing("sa", "sb") <= most).select("a", "b")
+def _closer(pairs: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
+    """(a, b, bits) of pairs whose sketches differ in few bits."""
+    one = pairs.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a")
+    two = one.join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
+    return two.select("a", "b", _differing("sa", "sb").alias("bits")).where(F.col("bits") <= most)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("xb")), "b")
-    shared = both.select("a", "b", F.size(F.array_intersect("xa", "xb")).alias("n"), (F.size("xa") + F.size("xb")).alias("total"))
-    return shared.where(F.col("n") * 100 >= (F.col("total") - F.col("n")) * percent).select("a", "b")
+def _digest(text: str | None) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join((text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()))
 
 
-def _sets(docs: DataFrame, key: str, text: str, pairs: DataFrame, size: int, reps: DataFrame) -> DataFrame:
-    """(rep, set): the full shingle sets of the documents in pairs."""
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    picked = docs.select(F.col(f"`{key}`").alias("rep"), F.col(f"`{text}`").alias("text")).join(wanted, "rep", "left_semi")
+def _texts(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
+    """(rep, digest, text) of the representatives in ``wanted`` (rep, digest). Rows under a representative's key with
+    another text stay here, and are left out by their digest where texts are read."""
+    rows = docs.select(F.col(f"`{key}`").alias("rep"), F.col(f"`{text}`").alias("text"))
+    return stored(rows.join(wanted, "rep").groupBy("rep", F.xxhash64("text").alias("raw")).agg(F.first("digest").alias("digest"), F.first("text").alias("text")).drop("raw"))
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs that are similar on their full sets."""
+    kind = pairs.schema["a"].dataType.simpleString()
+    of = lambda n: texts.select(F.col("rep").alias(n), F.col("digest").alias(f"d{n}"), F.col("text").alias(f"t{n}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "da", "db", "ta", "tb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in slices(batches, "ta"):
+            for batch in slices([whole], "tb"):
+                rows = {c: column(batch, c).to_pylist() for c in ("a", "b", "da", "db", "ta", "tb")}
+                texts = {(k, d): t for c in "ab" for k, d, t in zip(rows[c], rows[f"d{c}"], rows[f"t{c}"]) if _digest(t) == d}
+                sets = dict(zip(texts, shingles(list(texts.values()), size)))
+                similar = []
+                for a, da, b, db, ta, tb in zip(*(rows[c] for c in ("a", "da", "b", "db", "ta", "tb"))):
+                    x, y = sets.get((a, da)), sets.get((b, db))
+                    n = 0 if x is None or y is None or texts[a, da] != ta or texts[b, db] != tb else len(np.intersect1d(x, y, assume_unique=True))
+                    similar.append(n > 0 and 100 * n >= percent * (len(x) + len(y) - n))
+                yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], ["a", "b"]).filter(pa.array(similar))
+
+    return stored(both.mapInArrow(run, f"a {kind}, b {kind}").distinct())
+
+
+def full_sketches(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """Parity bitmaps of whole sets, as rows of 64-bit numbers."""
+    doc = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    bit = (np.concatenate([*sets, np.zeros(0, np.uint64)]) % np.uint64(bits)).astype(np.int64)
+    flips = np.bincount(doc * bits + bit, minlength=len(sets) * bits).reshape(len(sets), bits) & 1
+    return np.packbits(flips.astype(np.uint8), axis=1, bitorder="little").view("<i8")
+
+
+def _full_sketches(texts: DataFrame, size: int) -> DataFrame:
+    """(rep, n, sketch) of full sets; n is their size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            texts = column(batch, "text").to_pylist()
-            digest = [xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "surrogatepass").translate(LOWER).split())) for t in texts]
-            sets = [s.view(np.int64) for s in shingles(texts, size)]
-            yield pa.RecordBatch.from_arrays([column(batch, "rep"), pa.array(digest, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["rep", "digest", "set"])
+            batch = batch.filter(pa.array([_digest(t) == d for t, d in zip(column(batch, "text").to_pylist(), column(batch, "digest").to_pylist())]))
+            sets = shingles(column(batch, "text").to_pylist(), size)
+            rows = pa.array(list(full_sketches(sets, FULL_BITS)), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([column(batch, "rep"), pa.array([len(x) for x in sets], pa.int64()), rows], ["rep", "n", "sketch"])
 
-    found = picked.mapInArrow(run, f"rep {picked.schema['rep'].dataType.simpleString()}, digest binary, set array<long>")
-    return stored(found.join(reps.select("rep", "digest"), ["rep", "digest"], "left_semi").dropDuplicates(["rep"]).select("rep", "set"))
+    return texts.mapInArrow(run, f"rep {texts.schema['rep'].dataType.simpleString()}, n long, sketch array<long>").dropDuplicates(["rep"])
 
 
-def _tiles(members: DataFrame, most: int, kind: str) -> DataFrame:
-    """Plausible pairs of members of one bucket that lie in different components. ``members``: bucket, size, rep, component, sketch."""
+def _tiles(members: DataFrame, most: int, percent: int, closest: bool) -> DataFrame:
+    """(a, b, bits) of members of a bucket that lie in different components and may be similar.
+
+    ``members``: bucket, band, size, rep, component, sketch, n, bands. ``closest``: for each member a only the closest b whose
+    sketch differs in at most ``most`` bits; else all pairs whose sketches of full sets allow the similarity.
+    """
+    kind = members.schema["rep"].dataType.simpleString()
     parts = F.ceil(F.col("size") / TILE).cast("long")
     dealt = members.withColumn("part", F.pmod(F.xxhash64("rep"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    dealt = dealt.select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "rep", "component", "sketch")
+    dealt = dealt.select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "band", "rep", "component", "sketch", "n", "bands")
+    tasks = max(1, members.count() // HELD)
+    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("bucket", "low", "high"), F.lit(tasks)))
 
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(batches).combine_chunks()
-        rep, component, part = (rows.column(c).to_numpy() for c in ("rep", "component", "part"))
-        sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(rep), -1)
-        low, high = key[1].as_py(), key[2].as_py()
-        right = np.flatnonzero(part == high)
-        for i in np.flatnonzero(part == low):
-            js = right[(component[right] != component[i]) & ((rep[right] > rep[i]) | (low != high))]
-            js = js[np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=1) <= most]
-            if len(js):
-                a, b = np.minimum(rep[js], rep[i]), np.maximum(rep[js], rep[i])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return dealt.groupBy("bucket", "low", "high").applyInArrow(run, f"a {kind}, b {kind}")
+        bucket, low, high, part, band, rep, component, n = (rows.column(c).to_numpy() for c in ("bucket", "low", "high", "part", "band", "rep", "component", "n"))
+        sketch, bands = (rows.column(c).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(rep), -1) for c in ("sketch", "bands"))
+        order = np.lexsort((rep, high, low, bucket))
+        new = (np.diff(bucket[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
+        for tile in np.split(order, np.flatnonzero(new) + 1):
+            left, right = tile[part[tile] == low[tile[0]]], tile[part[tile] == high[tile[0]]]
+            for i in tile if closest else left:
+                js = tile if closest else right
+                js = js[component[js] != component[i]]
+                if not closest:
+                    js = js[(rep[js] > rep[i]) | (low[i] != high[i])]
+                    js = js[(bands[js, : band[i]] != bands[i, : band[i]]).all(axis=1)]
+                bits = np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+                some = bits <= most if closest else bits * (100 + percent) <= (n[js] + n[i]) * (100 - percent)
+                js, bits = js[some], bits[some]
+                if len(js) and closest:
+                    js, bits = js[[np.argmin(bits)]], bits[[np.argmin(bits)]]
+                if len(js):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(js), rep[i])), pa.array(rep[js]), pa.array(bits)], ["a", "b", "bits"])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(run(batches))
+        if found:
+            yield from pa.Table.from_batches(found).combine_chunks().to_batches()
+
+    return dealt.groupBy("task").applyInArrow(gathered, f"a {kind}, b {kind}, bits long")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose ends lie in different components."""
+    for n in "ab":
+        pairs = pairs.join(labels.select(F.col("node").alias(n), F.col("component").alias(f"c{n}")), n, "left")
+    return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, bits: int = BITS) -> DataFrame:
     """One row per document: key, n_shingles, component_id (the smallest key reachable), kept. Keys are whole numbers."""
-    kind = docs.schema[key].dataType.simpleString()
     found = signatures(docs, key, text, size, bands, rows, bits)
     reps = stored(found.where("n_shingles > 0").groupBy("digest").agg(F.min("key").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     keyed = reps.where(F.col("rep").isNotNull())
     most = most_bits(percent, bands, rows, bits)
 
-    placed = keyed.select("rep", F.explode("bands").alias("bucket"))
+    placed = keyed.select("rep", F.posexplode("bands").alias("band", "bucket"))
     buckets = placed.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    stars = stored(placed.join(buckets, "bucket").where("rep <> hub"))
-    pairs = stored(_plausible(stars.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), keyed, most))
-    sets = _sets(docs, key, text, pairs, size, keyed)
-    edges = stored(_confirmed(pairs, sets, percent))
+    members = stored(placed.join(buckets, "bucket"))
+    stars = stored(_closer(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), keyed, most))
+    crowded = members.where("size > 2").select("rep").union(stars.select("a")).union(stars.select("b")).distinct()
+    texts = _texts(docs, key, text, keyed.select("rep", "digest").join(crowded, "rep", "left_semi"))
+
+    pairs = _ordered(stars.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a")))
+    tested = stored(pairs)
+    edges = _confirmed(tested, texts, size, percent)
     labels = stored(components(edges))
-
-    named = stars.where("size > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    split = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    members = named.join(split, "bucket", "left_semi").join(keyed.select("rep", "sketch"), "rep").select("bucket", "size", "rep", "component", "sketch")
-    across = stored(_tiles(members, most, kind).distinct().join(pairs, ["a", "b"], "left_anti"))
-    if not across.isEmpty():
-        more = _confirmed(across, _sets(docs, key, text, across, size, keyed), percent)
-        edges = stored(edges.unionByName(more))
+    for turn in range(ROUNDS + 1):
+        last = turn == ROUNDS
+        named = members.where("size > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        mixed_ = named.where("rep <> hub").groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+        open_ = stored(named.join(mixed_, "bucket", "left_semi").select("bucket", "band", "size", "rep", "component"))
+        if last:
+            sketches = _full_sketches(texts.join(open_.select("rep").distinct(), "rep", "left_semi"), size).join(keyed.select("rep", "bands"), "rep")
+        else:
+            sketches = keyed.select("rep", "sketch", F.lit(0).cast("long").alias("n"), F.array(F.lit(0).cast("long")).alias("bands"))
+        close = _tiles(open_.join(sketches, "rep"), most, percent, not last)
+        direct = _apart(stars, labels)
+        if last:
+            pairs = close.select("a", "b").unionByName(direct.select("a", "b"))
+        else:
+            both = close.unionByName(direct).unionByName(direct.select(F.col("b").alias("a"), F.col("a").alias("b"), "bits"))
+            pairs = both.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"))
+        pairs = stored(_ordered(pairs).join(tested, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            continue
+        tested = tested.unionByName(pairs)
+        edges = stored(edges.unionByName(_confirmed(pairs, texts, size, percent)))
         labels = stored(components(edges))
 
     named = reps.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
