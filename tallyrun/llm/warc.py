@@ -27,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .common import column
 
 MIN_BYTES = 100
 DATE = "2024-01-01T00:00:00Z"
-LEVEL = 3
+LEVEL = 6
 #: Bytes that the decompressor gets at a time, and of payloads that the reader gathers.
 FEED, GATHERED = 1 << 14, 1 << 23
 
@@ -58,38 +59,66 @@ def record(headers: list[tuple[str, str | None]], block: bytes) -> bytes:
     return VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in named if v is not None).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
+def page_record(row: int, key: str | None, url: str | None, digest: str, size: int, payload: bytes | None, of: int | None = None) -> bytes:
+    """A response with its payload, or a revisit of the page in row ``of``."""
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    about = [
+        ("WARC-Type", "response" if of is None else "revisit"), ("WARC-Record-ID", record_id(row, digest)), ("WARC-Date", DATE),
+        ("WARC-Target-URI", None if url is None else quote(url, safe="%:/?#[]@!$&'()*+,;=~-._")), ("Record-Key", key), ("WARC-Payload-Digest", "sha256:" + digest),
+        ("WARC-Refers-To", None if of is None else record_id(of, digest)), ("WARC-Profile", None if of is None else PROFILE), ("Content-Type", "application/http;msgtype=response")]
+    return record(about, head + (payload or b""))
+
+
+def _gathered(batch: pa.RecordBatch, names: list[str], make, kinds: list[pa.DataType], out: list[str], first: list[tuple] = ()) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    """What ``make`` returns for each row, in batches of a bounded size; the last item of a row counts for it."""
+    rows, size = list(first), 0
+    batch_of = lambda: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], out)
+    columns = [column(batch, c) for c in names]
+    for i in range(batch.num_rows):
+        rows.append(make(*(c[i].as_py() for c in columns)))
+        size += len(rows[-1][-1])
+        if size > GATHERED:
+            yield batch_of()
+            rows, size = [], 0
+    yield batch_of()
+
+
 def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = MIN_BYTES) -> None:
-    """Writes one archive per task to ``folder``."""
+    """Writes one archive per task to ``folder``.
+
+    Every page becomes a finished response member first, so that only compressed members are kept and shuffled; a page that
+    turns out to be a copy gets a revisit member in its place.
+    """
     body = F.coalesce(F.col(f"`{payload}`"), F.lit("")).cast("binary")
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("url"), body.alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("shared", F.when(F.octet_length("payload") >= min_bytes, F.col("digest")))
-    first = rows.where("shared IS NOT NULL").groupBy("shared").agg(F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key"), F.col("row"))).alias("first"))
-    told = rows.join(first, "shared", "left").select("row", F.col("key").cast("string").alias("key"), "url", "digest", "payload", F.when(F.col("first.row") != F.col("row"), F.col("first.row")).alias("of"))
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").cast("string").alias("name"), F.col(f"`{url}`").alias("url"), body.alias("payload"))
+    kept = ["row", "name", "url", "digest", "size", "member"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = True
+    def pack(row: int, name: str, address: str, data: bytes) -> tuple:
+        digest = hashlib.sha256(data)
+        return row, name, address, digest.digest(), len(data), member(page_record(row, name, address, digest.hexdigest(), len(data), data))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, size = [], 0
-            if start:
-                info = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")]
-                out.append(member(record(info, b"format: WARC file version 1.1\r\n")))
-                start = False
-            columns = [column(batch, c) for c in ("row", "key", "url", "digest", "payload", "of")]
-            for i in range(batch.num_rows):
-                row, name, address, digest, data, of = (c[i].as_py() for c in columns)
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(data)}\r\n\r\n".encode()
-                about = [
-                    ("WARC-Type", "response" if of is None else "revisit"), ("WARC-Record-ID", record_id(row, digest)), ("WARC-Date", DATE),
-                    ("WARC-Target-URI", None if address is None else quote(address, safe="%:/?#[]@!$&'()*+,;=~-._")), ("Record-Key", name), ("WARC-Payload-Digest", "sha256:" + digest),
-                    ("WARC-Refers-To", None if of is None else record_id(of, digest)), ("WARC-Profile", None if of is None else PROFILE), ("Content-Type", "application/http;msgtype=response")]
-                out.append(member(record(about, head + (data if of is None else b""))))
-                size += len(out[-1])
-                if size > GATHERED:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
-                    out, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
-
-    told.mapInArrow(run, "record binary").select(F.col("record").cast("string")).write.option("lineSep", "\0").text(folder)
+            yield from _gathered(batch, ["row", "name", "url", "payload"], pack, [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.binary()], kept)
+
+    # one pass, since another reading of the input may number its rows otherwise
+    made = stored(rows.mapInArrow(packed, "row long, name string, url string, digest binary, size long, member binary"))
+    typed = F.col("name").cast(pages.schema[key].dataType)
+    first = made.where(F.col("size") >= min_bytes).groupBy(F.col("digest").alias("shared")).agg(F.min(F.struct(typed.isNull().alias("none"), typed.alias("key"), F.col("row"))).alias("first"))
+    told = made.join(first, F.when(F.col("size") >= min_bytes, F.col("digest")) == F.col("shared"), "left").withColumn("of", F.when(F.col("first.row") != F.col("row"), F.col("first.row")))
+    told = told.select(*kept[:-1], F.when(F.col("of").isNull(), F.col("member")).alias("member"), "of")
+
+    def final(row: int, name: str, address: str, digest: bytes, size: int, ready: bytes | None, of: int | None) -> tuple:
+        return (ready if of is None else member(page_record(row, name, address, digest.hex(), size, None, of)),)
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        info = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")]
+        begin = [(member(record(info, b"format: WARC file version 1.1\r\n")),)]
+        for batch in batches:
+            yield from _gathered(batch, [*kept, "of"], final, [pa.binary()], ["record"], begin)
+            begin = []
+
+    told.mapInArrow(written, "record binary").select(F.col("record").cast("string")).write.option("lineSep", "\0").text(folder)
 
 
 @dataclass
