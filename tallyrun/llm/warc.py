@@ -55,13 +55,13 @@ def member(data: bytes) -> bytes:
 
 
 def record(headers: list[tuple[str, str | None]], block: bytes) -> bytes:
-    named = [*headers, ("WARC-Block-Digest", "sha256:" + hashlib.sha256(block).hexdigest()), ("Content-Length", str(len(block)))]
+    named = [*headers, ("WARC-Block-Digest", "md5:" + hashlib.md5(block).hexdigest()), ("Content-Length", str(len(block)))]
     return VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in named if v is not None).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def page_record(row: int, key: str | None, url: str | None, digest: str, size: int, payload: bytes | None, of: int | None = None) -> bytes:
+def page_record(row: int, key: str | None, url: str | None, digest: str, payload: bytes | None, of: int | None = None) -> bytes:
     """A response with its payload, or a revisit of the page in row ``of``."""
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     about = [
         ("WARC-Type", "response" if of is None else "revisit"), ("WARC-Record-ID", record_id(row, digest)), ("WARC-Date", DATE),
         ("WARC-Target-URI", None if url is None else quote(url, safe="%:/?#[]@!$&'()*+,;=~-._")), ("Record-Key", key), ("WARC-Payload-Digest", "sha256:" + digest),
@@ -95,7 +95,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
 
     def pack(row: int, name: str, address: str, data: bytes) -> tuple:
         digest = hashlib.sha256(data)
-        return row, name, address, digest.digest(), len(data), member(page_record(row, name, address, digest.hexdigest(), len(data), data))
+        return row, name, address, digest.digest(), len(data), member(page_record(row, name, address, digest.hexdigest(), data))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,7 +109,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     told = told.select(*kept[:-1], F.when(F.col("of").isNull(), F.col("member")).alias("member"), "of")
 
     def final(row: int, name: str, address: str, digest: bytes, size: int, ready: bytes | None, of: int | None) -> tuple:
-        return (ready if of is None else member(page_record(row, name, address, digest.hex(), size, None, of)),)
+        return (ready if of is None else member(page_record(row, name, address, digest.hex(), None, of)),)
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         info = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")]
@@ -165,8 +165,8 @@ def _parsed(data: bytes, at: int, start: int, end: int | None) -> Record | str:
     block = data[stop + 4 : upto]
     if data[upto : upto + 4] != b"\r\n\r\n" or (end is not None and len(data) != upto + 4):
         return "length does not fit"
-    digest = headers.get("warc-block-digest", "")
-    if digest.startswith("sha256:") and digest[7:] != hashlib.sha256(block).hexdigest():
+    kind, _, digest = headers.get("warc-block-digest", "").partition(":")
+    if kind in ("md5", "sha256") and digest != hashlib.new(kind, block).hexdigest():
         return "block digest does not fit"
     return Record(start, upto + 4 if end is None else end, headers, block)
 
@@ -250,9 +250,10 @@ def payloads(records: DataFrame) -> DataFrame:
     A revisit whose response is lost has its stated digest and no length.
     """
     known = records.where("problem IS NULL AND record_type IN ('response', 'revisit')")
-    size, digest = F.octet_length("payload").cast("long"), F.sha2("payload", 256)
+    size, digest = F.octet_length("payload").cast("long"), F.unhex(F.sha2("payload", 256))
     responses = known.where("record_type = 'response'").select("record_id", "key", size.alias("payload_bytes"), digest.alias("payload_digest"))
     revisits = known.where("record_type = 'revisit'").select("key", F.col("refers_to").alias("record_id"), "stated_digest")
     of = responses.select("record_id", F.col("key").alias("of"), "payload_bytes", "payload_digest")
-    told = revisits.join(of, "record_id", "left").select("key", "payload_bytes", F.coalesce("payload_digest", "stated_digest").alias("payload_digest"), F.lit("revisit").alias("record_type"), F.col("of").alias("refers_to"))
-    return responses.select("key", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("string").alias("refers_to")).unionByName(told)
+    told = revisits.join(of, "record_id", "left").select("key", "payload_bytes", F.coalesce("payload_digest", F.unhex("stated_digest")).alias("payload_digest"), F.lit("revisit").alias("record_type"), F.col("of").alias("refers_to"))
+    both = responses.select("key", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("string").alias("refers_to")).unionByName(told)
+    return both.withColumn("payload_digest", F.lower(F.hex("payload_digest")))
