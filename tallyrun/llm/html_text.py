@@ -2,13 +2,14 @@
 
 Pages are parsed once, without regard to well-formedness, into blocks of text and hashed element subtrees. Elements that
 are boilerplate by what they are (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-comments) lose their text at once. Of what is left the article or main element is the text, where there is one; nothing
-inside it is taken for template, since articles of a site may repeat passages. In pages without one, subtrees that recur
-on many pages of the same host are deleted: all pages' subtrees are counted per host in Spark, once a page, and a page's
-blocks inside a recurring subtree go. Only pages that need the counts are shuffled, by page, never by host.
+comments) lose their text at once. Of what is left the article or main element is the text, where there is one. Then, in
+every page and inside articles too, subtrees that recur on many pages of the same host are deleted: all pages' subtrees
+are counted per host in Spark, once for each distinct text of a page, so that copies of a page are no template, and a
+page's blocks inside a recurring subtree go. Inside an article, cells, rows, items, headings and bare paragraphs of a few
+words are no template by themselves, only with what is around them. Pages are shuffled by row, never by host.
 
 Defined cases: null or empty html gives an empty text; unclosed and stray tags are tolerated; equal pages are each
-answered and each counted; a null or unreadable address has no host and no template; an empty table gives an empty
+answered and counted once; a null or unreadable address has no host and no template; an empty table gives an empty
 result; other columns are not looked at.
 """
 
@@ -44,6 +45,9 @@ WORDS = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 OUTSIDE = frozenset("header footer".split())
 MAIN = frozenset("article main".split())
+PARTS = frozenset("li dt dd tr td th thead tbody tfoot caption h1 h2 h3 h4 h5 h6".split())
+#: Words that a bare paragraph of an article must have to be taken for template by itself.
+PROSE_WORDS = 3
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*)>""", re.S)
 NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -58,11 +62,12 @@ class Element:
     dropped: bool
     main: bool
     number: int
+    block: Element | None
     parts: list[str] = field(default_factory=list)
 
 
 class Page:
-    """Blocks (text, whether in the main part, numbers of the elements around it) and the digests of elements outside it."""
+    """Blocks (text, whether in the main part, numbers of the elements around it) and the digests of elements."""
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, bool, list[int]]] = []
@@ -98,8 +103,8 @@ class Page:
     def _text(self, text: str) -> None:
         if not (self.stack and self.stack[-1].dropped):
             self.pending.append(text)
-        elif self.stack[-1].number >= 0:
-            self.stack[-1].parts.append(text)
+        elif self.stack[-1].block:
+            self.stack[-1].block.parts.append(text)
 
     def _flush(self) -> None:
         if not self.pending:
@@ -108,8 +113,8 @@ class Page:
         self.pending = []
         if text:
             self.blocks.append((text, any(e.main for e in self.stack), [e.number for e in self.stack if e.number >= 0]))
-            if self.stack and self.stack[-1].number >= 0:
-                self.stack[-1].parts.append(text)
+            if self.stack and self.stack[-1].block:
+                self.stack[-1].block.parts.append(text)
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag not in INLINE:
@@ -128,10 +133,12 @@ class Page:
         main = inside or (tag in MAIN and not dropped)
         self.has_main |= main
         number = -1
-        if not main and tag not in INLINE and tag not in ("html", "body"):
+        if tag not in INLINE and tag not in MAIN and tag not in ("html", "body") and not (main and tag in PARTS):
             number = len(self.digests)
             self.digests.append(None)
-        self.stack.append(Element(tag, attributes, dropped, main, number))
+        self.stack.append(Element(tag, attributes, dropped, main, number, above.block if above else None))
+        if tag not in INLINE:
+            self.stack[-1].block = self.stack[-1]
 
     @staticmethod
     def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
@@ -172,47 +179,51 @@ class Page:
         if self.stack[-1].tag not in INLINE:
             self._flush()
         e = self.stack.pop()
-        if e.number >= 0:
-            digest = xxhash.xxh3_64_intdigest("\0".join([e.tag, e.attributes.strip(), *e.parts]).encode("utf-8", "surrogatepass")) - 2**63
+        if e.tag in INLINE:
+            return
+        above = self.stack[-1].block if self.stack else None
+        e.block = None
+        digest = xxhash.xxh3_64_intdigest("\0".join([e.tag, e.attributes.strip(), *e.parts]).encode("utf-8", "surrogatepass")) - 2**63
+        few = e.main and e.tag == "p" and not e.attributes.strip() and len(" ".join(e.parts).split()) < PROSE_WORDS
+        if e.number >= 0 and not few:
             self.digests[e.number] = digest
-            if self.stack and self.stack[-1].number >= 0:
-                self.stack[-1].parts.append(f"\1{digest}")
+        if above:
+            above.parts.append(f"\1{digest}")
 
 
 def parsed(pages: DataFrame, key: str, url: str, source: str) -> DataFrame:
-    """(row, key, url, host, text, subtrees, blocks): ``text`` where it needs no counts, else ``blocks`` (text, subtrees around it)."""
+    """(row, key, url, host, content, subtrees, blocks): a digest of the page's text, digests of its subtrees by number, and
+    its blocks (text, numbers of the subtrees around it)."""
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("url"), F.col(f"`{source}`").alias("source"))
-    block = pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))])
+    block = pa.struct([("text", pa.string()), ("around", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "source"):
-            texts, subtrees, blocks, hosts = [], [], [], []
+            contents, subtrees, blocks, hosts = [], [], [], []
             for address, s in zip(column(batch, "url").to_pylist(), column(batch, "source").to_pylist()):
                 page, host = Page(s or ""), HOST.match(address or "")
                 hosts.append(host[1].lower() if host else "")
-                subtrees.append(list(set(page.digests)) if host else [])
-                kept = [(t, [page.digests[n] for n in around]) for t, main, around in page.blocks if main or not page.has_main]
-                plain = page.has_main or not host or not any(a for _, a in kept)
-                texts.append("\n".join(t for t, _ in kept) if plain else None)
-                blocks.append(None if plain else [{"text": t, "around": a} for t, a in kept])
+                subtrees.append(page.digests if host else [])
+                kept = [(t, around) for t, main, around in page.blocks if main or not page.has_main]
+                contents.append(xxhash.xxh3_64_intdigest("\n".join(t for t, _ in kept).encode("utf-8", "surrogatepass")) - 2**63)
+                blocks.append([{"text": t, "around": a} for t, a in kept])
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "row"), column(batch, "key"), column(batch, "url"), pa.array(hosts), pa.array(texts, pa.string()), pa.array(subtrees, pa.list_(pa.int64())), pa.array(blocks, pa.list_(block))],
-                ["row", "key", "url", "host", "text", "subtrees", "blocks"])
+                [column(batch, "row"), column(batch, "key"), column(batch, "url"), pa.array(hosts), pa.array(contents, pa.int64()), pa.array(subtrees, pa.list_(pa.int64())), pa.array(blocks, pa.list_(block))],
+                ["row", "key", "url", "host", "content", "subtrees", "blocks"])
 
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("key", "url")}
-    return stored(rows.mapInArrow(run, f"row long, key {kinds['key']}, url {kinds['url']}, host string, text string, subtrees array<long>, blocks array<struct<text:string,around:array<long>>>"))
+    return stored(rows.mapInArrow(run, f"row long, key {kinds['key']}, url {kinds['url']}, host string, content long, subtrees array<long>, blocks array<struct<text:string,around:array<int>>>"))
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html", min_pages: int = MIN_PAGES, min_percent: int = MIN_PERCENT) -> DataFrame:
     """(key, url, text) of every page."""
     read = parsed(pages, key, url, source)
-    plain = read.where("text IS NOT NULL").select("key", "url", "text")
-    open_ = read.where("text IS NULL")
-    on_host = read.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"))
-    counts = read.where("host <> ''").select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    hosted = read.where("host <> ''")
+    on_host = hosted.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    counts = hosted.select("host", "content", F.explode("subtrees").alias("subtree")).where("subtree IS NOT NULL").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     template = counts.join(on_host, "host").where(F.col("n") * 100 >= F.col("pages") * min_percent).select("host", "subtree")
-    own = open_.select("row", "host", F.explode("subtrees").alias("subtree")).join(template, ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("template"))
-    left = open_.join(own, "row", "left").withColumn("template", F.coalesce("template", F.array().cast("array<bigint>")))
+    own = hosted.select("row", "host", F.posexplode("subtrees").alias("number", "subtree")).join(template, ["host", "subtree"]).groupBy("row").agg(F.collect_set("number").alias("template"))
+    left = read.join(own, "row", "left").withColumn("template", F.coalesce("template", F.array().cast("array<int>")))
     kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["around"], F.col("template")))
-    cleaned = left.select("key", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))
-    return plain.unionByName(cleaned).select(F.col("key").alias(key), F.col("url").alias(url), "text")
+    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
+    return left.select(F.col("key").alias(key), F.col("url").alias(url), text.alias("text"))
