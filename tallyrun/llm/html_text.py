@@ -22,14 +22,16 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
 from .common import column, slices
 
-#: A subtree is template if it is on at least so many pages of its host, and on at least this part of them (percent).
-MIN_PAGES, MIN_PERCENT = 8, 10
+#: A subtree is template if it is on at least so many distinct pages of its host, and on at least this part of them
+#: (percent). Hosts of few pages need half of them, and no fewer than FEW_PAGES; above MANY_PAGES the number that is needed
+#: grows with the root of the host's pages only, so that the template of a section is found.
+MIN_PAGES, MIN_PERCENT, FEW_PAGES, MANY_PAGES = 8, 10, 3, 2000
 
 # Fixed lists: names of elements and of classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -215,13 +217,20 @@ def parsed(pages: DataFrame, key: str, url: str, source: str) -> DataFrame:
     return stored(rows.mapInArrow(run, f"row long, key {kinds['key']}, url {kinds['url']}, host string, content long, subtrees array<long>, blocks array<struct<text:string,around:array<int>>>"))
 
 
+def _least(pages: Column, min_pages: int, min_percent: int) -> Column:
+    """On how many of a host's distinct pages a subtree must be to be template."""
+    half = F.greatest(F.lit(min(FEW_PAGES, min_pages)), F.ceil(pages / 2))
+    part = F.least(pages, F.sqrt(pages * MANY_PAGES)) * min_percent / 100
+    return F.greatest(F.least(F.lit(min_pages), half), part)
+
+
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html", min_pages: int = MIN_PAGES, min_percent: int = MIN_PERCENT) -> DataFrame:
     """(key, url, text) of every page."""
     read = parsed(pages, key, url, source)
     hosted = read.where("host <> ''")
     on_host = hosted.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    counts = hosted.select("host", "content", F.explode("subtrees").alias("subtree")).where("subtree IS NOT NULL").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    template = counts.join(on_host, "host").where(F.col("n") * 100 >= F.col("pages") * min_percent).select("host", "subtree")
+    counts = hosted.select("host", "content", F.explode("subtrees").alias("subtree")).where("subtree IS NOT NULL").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min(FEW_PAGES, min_pages))
+    template = counts.join(on_host, "host").where(F.col("n") >= _least(F.col("pages"), min_pages, min_percent)).select("host", "subtree")
     own = hosted.select("row", "host", F.posexplode("subtrees").alias("number", "subtree")).join(template, ["host", "subtree"]).groupBy("row").agg(F.collect_set("number").alias("template"))
     left = read.join(own, "row", "left").withColumn("template", F.coalesce("template", F.array().cast("array<int>")))
     kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["around"], F.col("template")))

@@ -61,3 +61,14 @@ def test_template_inside_articles(spark):
     got = {r["page_id"]: r["text"] for r in html_text.main_text(pages(spark, rows)).collect()}
     assert got[5] == "Notes\nTitle 5\nown text 5\nYes.\n0\n5"
     assert got[105] == "Follow the site\nevery day\nThe same passage"
+
+
+def test_copies_and_sizes_of_hosts(spark):
+    box = '<div class="x1"><p>Follow the site</p><p>every day</p></div>'
+    rows = [(i, "http://a.example/p", f"<body><div><p>One story</p><p>told often</p></div></body><!-- {i} -->") for i in range(20)]
+    rows += [(100 + i, "http://a.example/p", f"<body><div><p>own text {i}</p></div></body>") for i in range(60)]
+    rows += [(200 + i, "http://small.example/p", f"<body>{box}<p>own text {i}</p></body>") for i in range(4)]
+    rows += [(1000 + i, "http://hot.example/p", f"<body>{box if i % 20 == 0 else ''}<p>own text {i}</p></body>") for i in range(10_000)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(pages(spark, rows)).collect()}
+    assert {got[i] for i in range(20)} == {"One story\ntold often"} and got[105] == "own text 5"
+    assert got[202] == "own text 2" and got[1040] == "own text 40" and got[1041] == "own text 41"
