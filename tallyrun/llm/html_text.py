@@ -6,7 +6,8 @@ comments) lose their text at once. Of what is left the article or main element i
 every page and inside articles too, subtrees that recur on many pages of the same host are deleted: all pages' subtrees
 are counted per host in Spark, once for each distinct text of a page, so that copies of a page are no template, and a
 page's blocks inside a recurring subtree go. Inside an article, cells, rows, items, headings and bare paragraphs of a few
-words are no template by themselves, only with what is around them. Pages are shuffled by row, never by host.
+words are no template by themselves, only with what is around them. Only where much template is found
+are pages shuffled, by row, never by host.
 
 Defined cases: null or empty html gives an empty text; unclosed and stray tags are tolerated; equal pages are each
 answered and counted once; a null or unreadable address has no host and no template; an empty table gives an empty
@@ -135,7 +136,7 @@ class Page:
         main = inside or (tag in MAIN and not dropped)
         self.has_main |= main
         number = -1
-        if tag not in INLINE and tag not in MAIN and tag not in ("html", "body") and not (main and tag in PARTS):
+        if not dropped and tag not in INLINE and tag not in MAIN and tag not in ("html", "body") and not (main and tag in PARTS):
             number = len(self.digests)
             self.digests.append(None)
         self.stack.append(Element(tag, attributes, dropped, main, number, above.block if above else None))
@@ -230,8 +231,9 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", source:
     hosted = read.where("host <> ''")
     on_host = hosted.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     counts = hosted.select("host", "content", F.explode("subtrees").alias("subtree")).where("subtree IS NOT NULL").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min(FEW_PAGES, min_pages))
-    template = counts.join(on_host, "host").where(F.col("n") >= _least(F.col("pages"), min_pages, min_percent)).select("host", "subtree")
-    own = hosted.select("row", "host", F.posexplode("subtrees").alias("number", "subtree")).join(template, ["host", "subtree"]).groupBy("row").agg(F.collect_set("number").alias("template"))
+    template = stored(counts.join(on_host, "host").where(F.col("n") >= _least(F.col("pages"), min_pages, min_percent)).select("host", "subtree"))
+    # Template and the rows that have some are written, so that their sizes are known and small ones need no shuffle of pages.
+    own = stored(hosted.select("row", "host", F.posexplode("subtrees").alias("number", "subtree")).join(template, ["host", "subtree"]).groupBy("row").agg(F.collect_set("number").alias("template")))
     left = read.join(own, "row", "left").withColumn("template", F.coalesce("template", F.array().cast("array<int>")))
     kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["around"], F.col("template")))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
