@@ -5,9 +5,9 @@ are boilerplate by what they are (menus, page headers, footers, sidebars, notice
 comments) lose their text at once. Of what is left the article or main element is the text, where there is one. Then, in
 every page and inside articles too, subtrees that recur on many pages of the same host are deleted: all pages' subtrees
 are counted per host in Spark, once for each distinct text of a page, so that copies of a page are no template, and a
-page's blocks inside a recurring subtree go. Inside an article, cells, rows, items, headings and bare paragraphs of a few
-words are no template by themselves, only with what is around them. Only where much template is found
-are pages shuffled, by row, never by host.
+page's blocks inside a recurring subtree go. Inside an article, cells, rows, items, headings and paragraphs, lists
+and tables without attributes are no template by themselves, since articles of a site repeat passages, only with what is
+around them. Only where much template is found are pages shuffled, by row, never by host.
 
 Defined cases: null or empty html gives an empty text; unclosed and stray tags are tolerated; equal pages are each
 answered and counted once; a null or unreadable address has no host and no template; an empty table gives an empty
@@ -49,8 +49,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 OUTSIDE = frozenset("header footer".split())
 MAIN = frozenset("article main".split())
 PARTS = frozenset("li dt dd tr td th thead tbody tfoot caption h1 h2 h3 h4 h5 h6".split())
-#: Words that a bare paragraph of an article must have to be taken for template by itself.
-PROSE_WORDS = 3
+PROSE = frozenset("p blockquote pre ul ol dl table figure".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*)>""", re.S)
 NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -136,7 +135,7 @@ class Page:
         main = inside or (tag in MAIN and not dropped)
         self.has_main |= main
         number = -1
-        if not dropped and tag not in INLINE and tag not in MAIN and tag not in ("html", "body") and not (main and tag in PARTS):
+        if not dropped and tag not in INLINE and tag not in MAIN and tag not in ("html", "body") and not (main and (tag in PARTS or (tag in PROSE and not attributes.strip()))):
             number = len(self.digests)
             self.digests.append(None)
         self.stack.append(Element(tag, attributes, dropped, main, number, above.block if above else None))
@@ -187,8 +186,7 @@ class Page:
         above = self.stack[-1].block if self.stack else None
         e.block = None
         digest = xxhash.xxh3_64_intdigest("\0".join([e.tag, e.attributes.strip(), *e.parts]).encode("utf-8", "surrogatepass")) - 2**63
-        few = e.main and e.tag == "p" and not e.attributes.strip() and len(" ".join(e.parts).split()) < PROSE_WORDS
-        if e.number >= 0 and not few:
+        if e.number >= 0:
             self.digests[e.number] = digest
         if above:
             above.parts.append(f"\1{digest}")

@@ -55,11 +55,11 @@ def test_long_page(spark):
 
 def test_template_inside_articles(spark):
     box = '<div class="x1"><p>Follow the site</p><p>every day</p></div>'
-    page = lambda i: f'<div id="wrap"><article><h2>Notes</h2><p><b>Title {i}<p>own text {i}</p><p>Yes.</p><ul><li>item</ul>{box}<table><tr><td>0<td>{i}</table></article><p>out</p></div>'
+    page = lambda i: f'<div id="wrap"><article><h2>Notes</h2><p><b>Title {i}<p>own text {i}</p><p>The saying of the site, told again</p><ul><li>item</ul>{box}<p class="z9">Write to us</p><table><tr><td>0<td>{i}</table></article><p>out</p></div>'
     rows = [(i, "http://a.example/p", page(i)) for i in range(12)]
     rows += [(100 + i, "http://b.example/p", f'<article>{box}<p>The same passage</p></article><footer>{i}</footer>') for i in range(12)]
     got = {r["page_id"]: r["text"] for r in html_text.main_text(pages(spark, rows)).collect()}
-    assert got[5] == "Notes\nTitle 5\nown text 5\nYes.\n0\n5"
+    assert got[5] == "Notes\nTitle 5\nown text 5\nThe saying of the site, told again\nitem\n0\n5"
     assert got[105] == "Follow the site\nevery day\nThe same passage"
 
 
