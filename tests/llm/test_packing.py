@@ -32,6 +32,14 @@ def test_special_token():
     assert [*np.frombuffer(packing.tokens("byte_bpe_50k.json", "byte_bpe_50k.tiktoken").of(test), "<u4").tolist(), 0] == ids_of(test)
 
 
+@pytest.mark.parametrize("blank", [" ", "\t", "\n", " \n"])
+def test_long_runs_of_blanks(blank):
+    test = "ab" + blank * (2_000_000 // len(blank)) + "x"
+    known = packing.tokens("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+    assert [*np.frombuffer(known.of(test), "<u4").tolist(), 0] == ids_of(test)
+    assert known._fast(test) == known._whole(test)
+
+
 def test_pieces_and_places(spark):
     rows = packing.pack(packing.pieces(documents(spark)).withColumn("crc", F.crc32("ids")), ["doc_id", "piece", "crc"]).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
