@@ -38,8 +38,9 @@ SHINGLE, PERCENT = 4, 80
 BANDS, ROWS, BITS = 24, 4, 1024
 #: Bits of the sketches of full sets.
 FULL_BITS = 4096
-#: Members of a bucket that are compared with as many others in one tile, and members that a task holds at a time.
-TILE, HELD = 1024, 10_000
+#: Members of a bucket that are compared with as many others in one tile, copies of members that a task holds at a time, and
+#: pairs that it gives out at a time.
+TILE, HELD, GIVEN = 1024, 10_000, 100_000
 #: Rounds in which members try their closest one.
 ROUNDS = 2
 
@@ -181,18 +182,42 @@ def _full_sketches(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, f"rep {texts.schema['rep'].dataType.simpleString()}, n long, sketch array<long>").dropDuplicates(["rep"])
 
 
-def _tiles(members: DataFrame, most: int, percent: int, closest: bool) -> DataFrame:
+def _dealt(members: DataFrame) -> tuple[DataFrame, int]:
+    """Adds part, copies and parts to members of buckets, and says in how many tasks all their copies are.
+
+    A bucket's members outside its largest component come first in the numbers of parts, ``parts`` of them, and meet every
+    part. Those of the largest component meet only these, since pairs inside a component need no comparison.
+    """
+    named = members.groupBy("bucket", "component").agg(F.count("*").alias("n_component"))
+    sizes = named.groupBy("bucket").agg(F.max(F.struct("n_component", "component")).alias("top"), F.sum("n_component").alias("n_all"))
+    most, rest = F.col("top.n_component"), F.col("n_all") - F.col("top.n_component")
+    sizes = sizes.where(rest > 0).select("bucket", F.col("top.component").alias("largest"), F.ceil(rest / TILE).cast("long").alias("parts"), F.ceil(most / TILE).cast("long").alias("large"))
+    inside, number = F.col("component") == F.col("largest"), F.xxhash64("rep")
+    placed = members.join(sizes, "bucket").withColumns({
+        "part": F.when(inside, F.col("parts") + F.pmod(number, F.col("large"))).otherwise(F.pmod(number, F.col("parts"))),
+        "copies": F.when(inside, F.col("parts")).otherwise(F.col("parts") + F.col("large"))})
+    return placed.drop("largest", "large"), max(1, -(-(placed.agg(F.sum("copies")).first()[0] or 0) // HELD))
+
+
+def _copied(placed: DataFrame, tasks: int) -> DataFrame:
+    """A copy of each member for every tile that it is in, and the tile's task."""
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    dealt = dealt.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    return dealt.withColumn("task", F.pmod(F.xxhash64("bucket", "low", "high"), F.lit(tasks)))
+
+
+def _tiles(members: DataFrame, most: int, percent: int, closest: bool, sketches: DataFrame | None = None) -> DataFrame:
     """(a, b, bits) of members of a bucket that lie in different components and may be similar.
 
-    ``members``: bucket, band, size, rep, component, sketch, n, bands. ``closest``: for each member a only the closest b whose
-    sketch differs in at most ``most`` bits; else all pairs whose sketches of full sets allow the similarity.
+    ``members``: bucket, band, size, rep, component, and sketch, n, bands unless ``sketches`` has these by rep. ``closest``: for
+    each member a only the closest b whose sketch differs in at most ``most`` bits; else all pairs whose sketches of full
+    sets allow the similarity.
     """
     kind = members.schema["rep"].dataType.simpleString()
-    parts = F.ceil(F.col("size") / TILE).cast("long")
-    dealt = members.withColumn("part", F.pmod(F.xxhash64("rep"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    dealt = dealt.select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "band", "rep", "component", "sketch", "n", "bands")
-    tasks = max(1, members.count() // HELD)
-    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("bucket", "low", "high"), F.lit(tasks)))
+    placed, tasks = _dealt(members)
+    if sketches is not None:
+        placed = placed.join(sketches, "rep")
+    dealt = _copied(placed, tasks).select("bucket", "low", "high", "part", "band", "rep", "component", "sketch", "n", "bands", "task")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(batches).combine_chunks()
@@ -217,7 +242,13 @@ def _tiles(members: DataFrame, most: int, percent: int, closest: bool) -> DataFr
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(js), rep[i])), pa.array(rep[js]), pa.array(bits)], ["a", "b", "bits"])
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = list(run(batches))
+        found, held = [], 0
+        for batch in run(batches):
+            found.append(batch)
+            held += batch.num_rows
+            if held >= GIVEN:
+                yield from pa.Table.from_batches(found).combine_chunks().to_batches()
+                found, held = [], 0
         if found:
             yield from pa.Table.from_batches(found).combine_chunks().to_batches()
 
@@ -262,7 +293,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             sketches = _full_sketches(texts.join(open_.select("rep").distinct(), "rep", "left_semi"), size).join(keyed.select("rep", "bands"), "rep")
         else:
             sketches = keyed.select("rep", "sketch", F.lit(0).cast("long").alias("n"), F.array(F.lit(0).cast("long")).alias("bands"))
-        close = _tiles(open_.join(sketches, "rep"), most, percent, not last)
+        close = _tiles(open_, most, percent, not last, sketches)
         direct = _apart(stars, labels)
         if last:
             pairs = close.select("a", "b").unionByName(direct.select("a", "b"))

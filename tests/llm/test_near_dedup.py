@@ -63,6 +63,16 @@ def test_tiles_split_a_bucket(spark, monkeypatch):
     assert near == {i: min(16 * (i ^ j).bit_count() for j in range(12) if j // 2 != i // 2) for i in range(12)}
 
 
+@pytest.mark.parametrize("stragglers", [1, 200])
+def test_tasks_hold_few_copies(spark, monkeypatch, stragglers):
+    monkeypatch.setattr(near_dedup, "TILE", 4)
+    monkeypatch.setattr(near_dedup, "HELD", 50)
+    members = spark.createDataFrame([(5, i, max(0, i - 200 + stragglers)) for i in range(201)], "bucket long, rep long, component long")
+    held = [r["count"] for r in near_dedup._copied(*near_dedup._dealt(members)).groupBy("task").count().collect()]
+    assert max(held) < 200
+    assert stragglers > 1 or sum(held) == 200 + 1 + 50
+
+
 def test_sketches_bound_similarity():
     rng = np.random.default_rng(4)
     factors = near_dedup._factors(24, 4)
