@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from . import chat, decontaminate, html_text, near_dedup, packing, quality, secret_scan, sharding, url_filters, warc
+from . import bpe, chat, decontaminate, html_text, near_dedup, packing, quality, secret_scan, sharding, url_filters, warc
 from .common import table
 
 
@@ -106,6 +106,10 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.measure(table(spark, folder, "documents"))
 
 
+def byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": chat_formatting,
@@ -118,4 +122,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extraction": html_extraction,
         "op9_rendezvous_sharding": rendezvous_sharding,
         "op10_quality_rules": quality_rules,
+        "op13_byte_level_bpe": byte_level_bpe,
     }
