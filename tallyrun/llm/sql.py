@@ -128,5 +128,27 @@ first AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY dige
 SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = of THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> of THEN of END AS refers_to FROM first"""
 
 
+def _filter_audit() -> str:
+    names = "ABCDE"
+    bits = ", ".join(f"('{c}', {1 << i})" for i, c in enumerate(names))
+    count = lambda what, when: f"coalesce(sum({what}) FILTER (WHERE {when}), 0)::BIGINT"
+    here = "mask & o.before = 0 AND mask & o.bit > 0"
+    return rf"""
+WITH RECURSIVE bits(name, bit) AS (VALUES {bits}),
+docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+words AS (SELECT *, regexp_extract_all(text, '[^ 	-]+') AS ws, min(doc_id) OVER (PARTITION BY text) AS low FROM docs),
+masks AS (SELECT doc_id, part, (len(ws) < 100)::INT + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::INT + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text))::INT
+ + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * (doc_id IS NOT NULL AND low < doc_id)::INT AS mask FROM words),
+marks AS (SELECT doc_id, max((quality IS NOT NULL AND quality = 1)::INT) AS good, max((toxic IS NOT NULL AND toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+cells AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM masks LEFT JOIN marks USING (doc_id) GROUP BY part, mask),
+orders(filter_order, used, step, before, bit) AS (SELECT name, bit, 1, 0, bit FROM bits UNION ALL SELECT filter_order || name, used | b.bit, step + 1, used, b.bit FROM orders, bits b WHERE used & b.bit = 0),
+full_orders AS (SELECT filter_order FROM orders WHERE step = 5),
+places AS (SELECT f.filter_order, o.step, o.before, o.bit FROM full_orders f JOIN orders o ON starts_with(f.filter_order, o.filter_order)),
+found AS (SELECT part, o.filter_order, o.step, o.bit, {count("n", "mask & (o.before | o.bit) = 0")} AS kept, {count("n", here)} AS removed, {count("n", "mask & o.before > 0 AND mask & o.bit > 0")} AS redundant,
+ {count("n", "mask = o.bit")} AS unique_fails, {count("good", here)} AS good_lost, {count("toxic", here)} AS toxic_lost FROM cells, places o GROUP BY part, o.filter_order, o.step, o.bit)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM found"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": _chat(), "op5_warc": _archives(), "op3_url_filters": _url_filters(), "op7_secret_scans": _secrets(), "op4_benchmark_decontamination": _decontamination(), "op6_minhash_near_dedup": _near_duplicates(), "op10_quality_rules": _quality()}
+    return {"op1_chat_formatting": _chat(), "op5_warc": _archives(), "op3_url_filters": _url_filters(), "op7_secret_scans": _secrets(), "op4_benchmark_decontamination": _decontamination(), "op6_minhash_near_dedup": _near_duplicates(), "op10_quality_rules": _quality(),
+            "op12_filter_interaction_audit": _filter_audit()}
