@@ -54,11 +54,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
     """Writes a table that many queries read to the shared folder, once, and reads it back.
 
-    Unlike a checkpoint it keeps column pruning, filters and size estimates for the queries that follow.
+    Unlike a checkpoint it keeps column pruning, filters and size estimates for the queries that follow. ``by`` names a
+    column of few values that gets a folder for each.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/tallyrun/table-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
