@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from . import bpe, chat, decontaminate, filter_audit, html_text, near_dedup, packing, quality, secret_scan, sharding, url_filters, warc
+from . import bpe, chat, decontaminate, filter_audit, html_text, near_dedup, packing, phrases, quality, secret_scan, sharding, url_filters, warc
 from .common import table
 
 
@@ -106,6 +106,10 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.measure(table(spark, folder, "documents"))
 
 
+def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(phrases.frequent_phrases(table(spark, folder, "documents")))
+
+
 def filter_interactions(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -126,6 +130,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extraction": html_extraction,
         "op9_rendezvous_sharding": rendezvous_sharding,
         "op10_quality_rules": quality_rules,
+        "op11_phrase_collocation_mining": phrase_collocations,
         "op12_filter_interaction_audit": filter_interactions,
         "op13_byte_level_bpe": byte_level_bpe,
     }

@@ -128,6 +128,24 @@ first AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY dige
 SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = of THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> of THEN of END AS refers_to FROM first"""
 
 
+def _phrases() -> str:
+    grams = " UNION ALL ".join(f"SELECT lang, {k} AS k, array_to_string(ws[i : i + {k - 1}], ' ') AS phrase FROM (SELECT lang, ws, unnest(generate_series(1, len(ws) - {k - 1})) AS i FROM pieces)" for k in range(1, 6))
+    return rf"""
+WITH texts AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?
+-]')) AS piece FROM texts)),
+grams AS ({grams}),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT * FROM f WHERE k > 1 AND a >= 100),
+inside AS (SELECT lang, array_to_string(w[i : i + s - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT lang, a, k, string_split(phrase, ' ') AS w, unnest(generate_series(1, k)) AS i FROM candidates WHERE k > 2), (SELECT unnest(generate_series(2, 4)) AS s) WHERE s < k AND i + s - 1 <= k GROUP BY ALL),
+kept AS (SELECT c.* FROM candidates c LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR longer < c.a),
+cuts AS (SELECT lang, phrase, a, cut, array_to_string(w[: cut], ' ') AS head, array_to_string(w[cut + 1 :], ' ') AS rest FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(generate_series(1, k - 1)) AS cut FROM kept)),
+scored AS (SELECT c.lang, c.phrase, c.a, cut, l.a AS l, r.a AS r, n, (1000::HUGEINT * c.a * n) // (l.a::HUGEINT * r.a) AS score FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = head JOIN f r ON r.lang = c.lang AND r.phrase = rest JOIN totals t ON t.lang = c.lang),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM least QUALIFY rank <= 2000"""
+
+
 def _filter_audit() -> str:
     names = "ABCDE"
     bits = ", ".join(f"('{c}', {1 << i})" for i, c in enumerate(names))
@@ -136,7 +154,8 @@ def _filter_audit() -> str:
     return rf"""
 WITH RECURSIVE bits(name, bit) AS (VALUES {bits}),
 docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
-words AS (SELECT *, regexp_extract_all(text, '[^ 	-]+') AS ws, min(doc_id) OVER (PARTITION BY text) AS low FROM docs),
+words AS (SELECT *, regexp_extract_all(text, '[^ 	-
+]+') AS ws, min(doc_id) OVER (PARTITION BY text) AS low FROM docs),
 masks AS (SELECT doc_id, part, (len(ws) < 100)::INT + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::INT + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text))::INT
  + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * (doc_id IS NOT NULL AND low < doc_id)::INT AS mask FROM words),
 marks AS (SELECT doc_id, max((quality IS NOT NULL AND quality = 1)::INT) AS good, max((toxic IS NOT NULL AND toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
@@ -151,4 +170,4 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_chat_formatting": _chat(), "op5_warc": _archives(), "op3_url_filters": _url_filters(), "op7_secret_scans": _secrets(), "op4_benchmark_decontamination": _decontamination(), "op6_minhash_near_dedup": _near_duplicates(), "op10_quality_rules": _quality(),
-            "op12_filter_interaction_audit": _filter_audit()}
+            "op11_phrase_collocation_mining": _phrases(), "op12_filter_interaction_audit": _filter_audit()}
