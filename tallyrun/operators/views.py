@@ -12,7 +12,7 @@ HISTORY = ["player_id", "scenario_id"]
 GAP = "INTERVAL 30 MINUTES"
 
 
-def series(ticks: DataFrame, metrics: list[str], key: str = "run_id") -> DataFrame:
+def series(ticks: DataFrame, metrics: list[str], key: str | list[str] = "run_id") -> DataFrame:
     """One row per run: its ticks as an ordered array, and which metrics were reported at all.
 
     A struct array keeps every tick's nulls, which a plain ``collect_list`` of one metric would drop.

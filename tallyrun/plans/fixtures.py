@@ -117,6 +117,29 @@ def encode(scenario: str, start_ms: int, limit: float | None, bots: list[str], e
     return b"".join(out)
 
 
+def land(files: DataFrame, folder: str) -> None:
+    """Writes files (player_id, name, content) under ``player=<id>`` of a folder that any file system may hold, from tasks.
+
+    A file appears whole: it is written beside and moved into place, so that a watcher never sees half of one.
+    """
+
+    def run(rows: Iterator) -> None:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        made = set()
+        for r in rows:
+            to, beside = f"{root}/player={r['player_id']}", f"{root}-beside"
+            for new in {to, beside} - made:
+                store.create_dir(new, recursive=True)
+                made.add(new)
+            with store.open_output_stream(f"{beside}/{r['player_id']}-{r['name']}") as out:
+                out.write(bytes(r["content"]))
+            store.move(f"{beside}/{r['player_id']}-{r['name']}", f"{to}/{r['name']}")
+
+    files.select("player_id", "name", "content").foreachPartition(run)
+
+
 @b.kept_table
 def performance_files(s, d) -> DataFrame:
     """One performance file per order run with lines; every seventeenth holds an event kind that has no column."""

@@ -286,6 +286,36 @@ def queries() -> list[Query]:
         f"SELECT player_id, stem AS file_stem, CASE WHEN is_reset THEN 'reset' ELSE 'complete' END AS kind FROM ({KEPT})")
     add("S7_export", "player_id:i id:i scenario_id:i score:d", _exported,
         "SELECT * FROM m_progress WHERE scenario_id IN (SELECT scenario_id FROM m_complete GROUP BY 1 HAVING count(*) >= (SELECT avg(n) FROM (SELECT count(*) AS n FROM m_complete GROUP BY scenario_id)))")
+    batches = f"""SELECT *, id % 3 AS batch, (id + 1) % 3 AS perf_batch, id % 17 = 0 AS perf_failed FROM ({DOC})"""
+    have = "SELECT run_id FROM m_tick GROUP BY 1"
+    add("S3_noticed_files", "batch:i file_stem:s is_perf:b outcome:s attempts:i", lambda s, d: ingested(s, d, "ingest_file"),
+        f"""WITH files AS (SELECT stem, false AS is_perf, batch, failed, CASE WHEN abort THEN 'abort' WHEN is_reset THEN 'reset' ELSE 'complete' END AS good FROM ({batches})
+              UNION ALL SELECT stem, true, perf_batch, perf_failed, 'perf' FROM ({batches}) WHERE id IN ({have}))
+            SELECT t.batch, stem AS file_stem, is_perf, CASE WHEN failed THEN 'failed' ELSE good END AS outcome, t.batch - f.batch + 1 AS attempts FROM files f JOIN (VALUES (0), (1), (2)) t(batch) ON t.batch = f.batch OR (failed AND t.batch > f.batch)""")
+    add("T1_ingested_runs", "player_id:i file_stem:s kind:s batch:i", lambda s, d: ingested(s, d, "run"),
+        f"SELECT player_id, stem AS file_stem, CASE WHEN is_reset THEN 'reset' ELSE 'complete' END AS kind, batch FROM ({batches}) WHERE NOT failed AND NOT abort")
+    add("T1_failures", "player_id:i file_stem:s is_perf:b attempts:i", lambda s, d: live.failures(s, streamed(s, d)),
+        f"SELECT player_id, stem AS file_stem, false AS is_perf, 3 - batch AS attempts FROM ({batches}) WHERE failed UNION ALL SELECT player_id, stem, true, 3 - perf_batch FROM ({batches}) WHERE perf_failed AND id IN ({have})")
+    # The first batch that holds a file and a run it overlaps decides; runs of later ones come too late.
+    pairs = f"""SELECT p.player_id, p.stem AS perf_stem, p.perf_batch, p.id AS perf_of, r.id AS run_of, greatest(p.perf_batch, r.batch) AS batch FROM ({batches}) p JOIN ({batches}) r ON r.player_id = p.player_id AND NOT r.failed AND NOT r.abort
+                  AND NOT r.is_reset AND r.written_at - INTERVAL 60 SECOND < p.started_at + INTERVAL 1 SECOND AND r.written_at + INTERVAL 999 MILLISECOND > p.started_at WHERE NOT p.perf_failed AND p.id IN ({have})"""
+    attached = f"SELECT player_id, perf_stem, batch, count(*) AS candidates FROM (SELECT * FROM ({pairs}) QUALIFY batch = min(batch) OVER (PARTITION BY player_id, perf_stem)) GROUP BY ALL"
+    add("I33_attached_as_they_come", "player_id:i perf_stem:s batch:i candidates:i", lambda s, d: ingested(s, d, "run_perf"), attached)
+    add("I33_orphans", "player_id:i perf_stem:s", lambda s, d: live.orphans(s, streamed(s, d)),
+        f"SELECT player_id, stem AS perf_stem FROM ({batches}) WHERE NOT perf_failed AND id IN ({have}) AND (player_id, stem) NOT IN (SELECT (player_id, perf_stem) FROM ({pairs}))")
+    add("T1_tick_series", "perf_stem:s ticks:i has_score:b has_overshots:b has_deaths:b", _streamed_series,
+        f"""SELECT perf_stem, count(*) AS ticks, count(m_tick.score) > 0 AS has_score, count(m_tick.overshots) > 0 AS has_overshots, false AS has_deaths FROM
+              (SELECT * FROM ({pairs}) QUALIFY count(*) OVER (PARTITION BY perf_of) = 1 AND count(*) OVER (PARTITION BY run_of) = 1) JOIN m_tick ON run_id = perf_of GROUP BY 1""")
+    add("T1_reports", "batch:i files:i runs:i aborts:i perfs:i failures:i retried:i matched:i ambiguous:i", lambda s, d: ingested(s, d, "ingest_report"),
+        f"""WITH stats AS (SELECT * FROM ({batches})), perfs AS (SELECT * FROM ({batches}) WHERE id IN ({have})), found AS ({attached}), t(batch) AS (VALUES (0), (1), (2))
+            SELECT batch, runs + aborts + perfs + failures AS files, * EXCLUDE (batch) FROM (SELECT t.batch,
+              (SELECT count(*) FROM stats s WHERE s.batch = t.batch AND NOT failed AND NOT abort) AS runs, (SELECT count(*) FROM stats s WHERE s.batch = t.batch AND NOT failed AND abort) AS aborts,
+              (SELECT count(*) FROM perfs p WHERE perf_batch = t.batch AND NOT perf_failed) AS perfs,
+              (SELECT count(*) FROM stats s WHERE s.batch <= t.batch AND failed) + (SELECT count(*) FROM perfs p WHERE perf_batch <= t.batch AND perf_failed) AS failures,
+              (SELECT count(*) FROM stats s WHERE s.batch < t.batch AND failed) + (SELECT count(*) FROM perfs p WHERE perf_batch < t.batch AND perf_failed) AS retried,
+              (SELECT count(*) FROM found f WHERE f.batch = t.batch) AS matched, (SELECT count(*) FROM found f WHERE f.batch = t.batch AND candidates > 1) AS ambiguous FROM t)""")
+    add("T5_refreshed", "batch:i runs:i", _refreshed,
+        f"SELECT t.batch, (SELECT count(*) FROM ({batches}) r WHERE r.batch <= t.batch AND NOT failed AND NOT abort) AS runs FROM (VALUES (0), (1), (2)) t(batch)")
     add("T2_exactly_once", "player_id:i id:i", _once, "SELECT player_id, id FROM m_run")
     add("T3_paired_streams", "player_id:i perf_stem:s run_id:i", _paired,
         """SELECT p.player_id, 'perf-' || p.id AS perf_stem, r.id AS run_id FROM m_complete p JOIN m_complete r ON r.player_id = p.player_id
@@ -308,6 +338,50 @@ def staged_kills(s, d):
     return ingest.kill_series(staged(s, d))
 
 
+@b.once
+def streamed(s, d):
+    """The root of tables that a folder watch has kept over four passes, each a new start of the stream.
+
+    Files land in three portions, a performance file one portion away from its run, before or after it. The last portion
+    holds only copies of files that are known by then. Every refresh notes how many runs it saw.
+    """
+    source, root = (_new_folder(s, n) for n in ("landing", "watched"))
+    stats = fixtures.documents(s, d)
+    named = stats.select(F.col("id").alias("run_id"), F.regexp_replace("name", " Stats.csv$", " Performance.perf").alias("name"))
+    perfs = fixtures.performance_files(s, d).join(named, "run_id")
+
+    def refresh(n):
+        ingest.read_table(s, root, "run").agg(F.lit(n).alias("batch"), F.count("*").alias("runs")).write.mode("overwrite").parquet(f"{root}/refreshed/part={n}")
+
+    for n in range(4):
+        if n < 3:
+            fixtures.land(stats.where(F.col("id") % 3 == n), f"{source}/{n}")
+            fixtures.land(perfs.where((F.col("run_id") + 1) % 3 == n), f"{source}/{n}")
+        else:
+            fixtures.land(ingest.read_table(s, root, "run").join(stats.withColumn("file_stem", clock.file_stem(F.col("name"))), ["player_id", "file_stem"]), f"{source}/{n}")
+        live.watch(s, source, root, once=True, refresh=refresh).awaitTermination()
+    return root
+
+
+def ingested(s, d, table):
+    """A table of the watched folder with the batch that wrote each row."""
+    root = streamed(s, d)
+    return ingest.read_table(s, root, table, keep_batch=True).withColumn("batch", F.col("batch_id").cast("int"))
+
+
+def _streamed_series(s, d):
+    """Series of runs that one file overlaps which overlaps no other run."""
+    read = lambda name: ingest.read_table(s, streamed(s, d), name)
+    pairs = ingest.perf_matches(read("perf_start"), read("run"))
+    once = lambda key: pairs.groupBy("player_id", key).agg(F.count("*").alias("n")).where("n = 1").drop("n")
+    alone = pairs.select("player_id", "perf_stem", "run_id").join(once("perf_stem"), ["player_id", "perf_stem"]).join(once("run_id"), ["player_id", "run_id"])
+    return read("run_series").join(alone, ["player_id", "run_id"]).withColumn("ticks", F.size("ticks"))
+
+
+def _refreshed(s, d):
+    return s.read.parquet(f"{streamed(s, d)}/refreshed")
+
+
 def _written(s, d):
     root = _new_folder(s, "tables")
     ingest.write_batch(ingest.tables(staged(s, d)), root, 0)

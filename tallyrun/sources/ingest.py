@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import js_trim
 from ..operators.joins import overlap_join
@@ -149,9 +154,10 @@ def perf_matches(perf: DataFrame, run: DataFrame, owner: str = "player_id") -> D
     return overlap_join(perf, done, [owner], "challenge_start", "started_at", "written_at").drop("started_at", "written_at")
 
 
-def attached(matches: DataFrame, owner: str = "player_id") -> DataFrame:
-    """One run per performance file: of several the one with the smallest id. ``candidates`` tells how many there were."""
-    return matches.groupBy(owner, "perf_stem").agg(F.min("run_id").alias("run_id"), F.count(F.lit(1)).alias("candidates"))
+def attached(matches: DataFrame, also: Sequence[str] = (), owner: str = "player_id") -> DataFrame:
+    """One run per performance file: of several the one with the smallest id. ``candidates`` tells how many there were;
+    ``also`` names columns of the file that are kept."""
+    return matches.groupBy(owner, "perf_stem", *also).agg(F.min("run_id").alias("run_id"), F.count(F.lit(1)).alias("candidates"))
 
 
 def pending(perf: DataFrame, run_perf: DataFrame, owner: str = "player_id") -> DataFrame:
@@ -193,24 +199,77 @@ def report(listing: DataFrame, todo: DataFrame, classified: DataFrame, matches:
 # ---------------------------------------------------------------- batches on storage
 
 
+PERIOD = "period"
+#: Tables of a batch that are written at a time.
+WRITERS = 8
+#: Days of a period, the partition of tables that a batch looks into.
+PERIOD_DAYS = 32
+
+
+def period(day: Column) -> Column:
+    """The number of a date's period; 0 where there is no date."""
+    return F.coalesce(F.floor(F.unix_date(day) / PERIOD_DAYS).cast("int"), F.lit(0))
+
+
+def periods_around(days: Iterable[int], before: int, after: int) -> list[int]:
+    """The periods that hold the days from ``before`` days before each of ``days`` to ``after`` days after it."""
+    return sorted({(day + more) // PERIOD_DAYS for day in days for more in range(-before, after + 1)} | {0})
+
+
 def write_batch(outputs: dict[str, DataFrame], root: str, batch_id: int | str) -> None:
     """Writes a batch so that it shows whole or not at all.
 
-    Every table gets the folder of this batch, overwritten if the batch is tried again. The commit row comes last, and
-    ``read_table`` shows only committed batches; no rename is needed, which object stores do not have.
+    Every table gets the folder of this batch, overwritten if the batch is tried again; one with a column ``period`` is
+    partitioned by it. The commit row comes last, and ``read_table`` shows only committed batches; no rename is needed,
+    which object stores do not have.
     """
     spark = next(iter(outputs.values())).sparkSession
-    for name, df in outputs.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}/batch_id={batch_id}")
-    done = spark.range(1).select(F.lit(str(batch_id)).alias("batch_id"), F.current_timestamp().alias("committed_at"))
+
+    def write(name: str) -> None:
+        apart = PERIOD in outputs[name].columns
+        rows = outputs[name].hint("rebalance", F.col(PERIOD)) if apart else outputs[name]
+        rows.write.mode("overwrite").parquet(f"{root}/{name}/batch_id={batch_id}", partitionBy=PERIOD if apart else None)
+
+    with ThreadPoolExecutor(WRITERS) as pool:  # small tables do not wait for each other
+        list(pool.map(write, outputs))
+    shapes = F.create_map(*(F.lit(x) for name, df in outputs.items() for x in (name, df.schema.json())))
+    done = spark.range(1).select(F.lit(str(batch_id)).alias("batch_id"), F.current_timestamp().alias("committed_at"), shapes.alias("shapes"))
     done.write.mode("overwrite").parquet(f"{root}/_commits/part={batch_id}")
 
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    """A table's committed batches, or None before the first."""
+def commits(spark: SparkSession, root: str) -> DataFrame | None:
+    """One row per committed batch: its id, and the schema of every table that it has written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_commits")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
-    rows = spark.read.parquet(f"{root}/{name}").withColumn("batch_id", F.col("batch_id").cast("string"))
-    commits = spark.read.parquet(f"{root}/_commits").select("batch_id")
-    return rows.join(commits, "batch_id", "left_semi").drop("batch_id")
+    return spark.read.schema("batch_id string, committed_at timestamp, shapes map<string,string>").parquet(f"{root}/_commits")
+
+
+def _shape(done: DataFrame, name: str) -> StructType | None:
+    """The table's columns as last written; an empty partitioned table has no file that could tell."""
+    newest = done.where(F.element_at("shapes", name).isNotNull()).agg(F.max_by(F.element_at("shapes", name), F.struct("committed_at", "batch_id"))).first()[0]
+    return None if newest is None else StructType.fromJson(json.loads(newest))
+
+
+def read_table(spark: SparkSession, root: str, name: str, periods: list[int] | None = None, keep_batch: bool = False) -> DataFrame | None:
+    """A table's committed batches, or None before the first. With ``periods``, only these partitions are read; with
+    ``keep_batch``, the column ``batch_id`` stays."""
+    done = commits(spark, root)
+    shape = None if done is None else _shape(done, name)
+    if shape is None:
+        return None
+    rows = spark.read.schema(shape.add("batch_id", "string")).parquet(f"{root}/{name}")
+    if periods is not None and PERIOD in rows.columns:
+        rows = rows.where(F.col(PERIOD).isin(periods))
+    shown = rows.join(done.select("batch_id"), "batch_id", "left_semi")
+    return shown if keep_batch else shown.drop("batch_id")
+
+
+def last_batch(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """What the newest committed batch has written of a table that every batch writes whole."""
+    done = commits(spark, root)
+    shape = None if done is None else _shape(done, name)
+    if shape is None:
+        return None
+    newest = done.agg(F.max(F.col("batch_id").cast("long"))).first()[0]
+    return spark.read.schema(shape).parquet(f"{root}/{name}/batch_id={newest}")
