@@ -317,9 +317,12 @@ def queries() -> list[Query]:
     add("T5_refreshed", "batch:i runs:i", _refreshed,
         f"SELECT t.batch, (SELECT count(*) FROM ({batches}) r WHERE r.batch <= t.batch AND NOT failed AND NOT abort) AS runs FROM (VALUES (0), (1), (2)) t(batch)")
     add("T2_exactly_once", "player_id:i id:i", _once, "SELECT player_id, id FROM m_run")
+    meets = """SELECT p.player_id, 'perf-' || p.id AS perf_stem, r.id AS run_id FROM m_run p JOIN m_complete r ON r.player_id = p.player_id
+           AND r.written_at - INTERVAL 60 SECOND < date_trunc('second', p.written_at - INTERVAL 60 SECOND) + INTERVAL 1 SECOND AND r.written_at > date_trunc('second', p.written_at - INTERVAL 60 SECOND)"""
+    # Files that met no run by the watermark, ten minutes before the newest run, three hours after their start.
     add("T3_paired_streams", "player_id:i perf_stem:s run_id:i", _paired,
-        """SELECT p.player_id, 'perf-' || p.id AS perf_stem, r.id AS run_id FROM m_complete p JOIN m_complete r ON r.player_id = p.player_id
-           AND r.started_at < date_trunc('second', p.started_at) + INTERVAL 1 SECOND AND r.written_at > date_trunc('second', p.started_at)""")
+        f"""{meets} UNION ALL SELECT player_id, 'perf-' || id, NULL FROM m_run p WHERE 'perf-' || id NOT IN (SELECT perf_stem FROM ({meets}))
+            AND date_trunc('second', written_at - INTERVAL 60 SECOND) + INTERVAL 3 HOUR <= (SELECT max(written_at) FROM m_run) - INTERVAL 10 MINUTE""")
     add("T7_live_form", "player_id:i scenario_id:i pb:d form:d n:i", _live_form,
         """SELECT player_id, scenario_id, max(pb) AS pb, quantile_cont(score, 0.5) FILTER (WHERE k <= 10) AS form, count(*) FILTER (WHERE k <= 10) AS n FROM (
              SELECT *, max(score) OVER (PARTITION BY player_id, scenario_id) AS pb, row_number() OVER (PARTITION BY player_id, scenario_id ORDER BY started_at DESC, id DESC) AS k
@@ -328,7 +331,8 @@ def queries() -> list[Query]:
     add("T4_notice", "batch:s runs:i max_id:i", _notices, """SELECT 'even' AS batch, count(*) AS runs, max(id) AS max_id FROM m_run WHERE player_id % 2 = 0
         UNION ALL SELECT 'odd', count(*), max(id) FROM m_run WHERE player_id % 2 = 1""")
     add("T6_live_sessions", "player_id:i runs:i started_at:t ended_at:t", _live_sessions,
-        "SELECT player_id, count(*) AS runs, min(written_at) AS started_at, max(written_at) AS ended_at FROM m_session GROUP BY player_id, session_id")
+        """SELECT player_id, count(*) AS runs, min(written_at) AS started_at, max(written_at) AS ended_at FROM m_session GROUP BY player_id, session_id
+           HAVING max(written_at) + INTERVAL 30 MINUTE <= (SELECT max(written_at) FROM m_run) - INTERVAL 1 HOUR""")
     add("T8_latest_run", "player_id:i latest_id:i newer:b", _live_latest,
         "SELECT player_id, arg_max(id, struct_pack(a := written_at, b := id)) AS latest_id, player_id % 2 = 0 AS newer FROM m_run GROUP BY 1")
     return q
@@ -402,10 +406,27 @@ def _exported(s, d):
     return s.read.parquet(f"{root}/progress")
 
 
+#: Portions of the events in time order, each a micro-batch of its own.
+PORTIONS = 3
+
+
+@b.once
+def _portions(s, d):
+    """The folder of the events in as many portions, cut by their times and written one after another."""
+    raw, root = b.table(s, d, "events"), _new_folder(s, "portions")
+    cuts = raw.agg(*(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), i / PORTIONS, 1000).alias(f"c{i}") for i in range(1, PORTIONS))).first()
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    edges = [None, *cuts, None]
+    for i, (low, high) in enumerate(zip(edges, edges[1:])):
+        part = raw.where((at >= low if low is not None else F.lit(True)) & (at < high if high is not None else F.lit(True)))
+        part.coalesce(1).write.mode("append").parquet(f"{root}/{i}")
+    return root
+
+
 def _stream(s, d):
-    """The events table as a stream of runs."""
+    """The events table as a stream of runs, a portion a batch."""
     raw = b.table(s, d, "events")
-    fresh = s.readStream.schema(raw.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    fresh = s.readStream.schema(raw.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", "1").parquet(_portions(s, d))
     k = F.regexp_extract("props", r"(\d+)", 1).cast("int")
     written = F.col("ts").cast("timestamp")
     return fresh.select(
@@ -416,16 +437,35 @@ def _stream(s, d):
     )
 
 
-def _drain(s, stream, name, mode):
-    """Runs a stream over what is there now and returns what it wrote last."""
+def _drain(s, stream, name, mode, keys=None):
+    """Runs a stream over what is there now, stops it after a batch and starts it again; returns what it wrote.
+
+    In update mode the sink merges by ``keys``. Streams with an own state need the RocksDB provider, set for them only.
+    """
     root = _new_folder(s, name)
 
-    def keep(df, n):
-        df.write.mode("overwrite").parquet(f"{root}/out/part={n if mode == 'append' else 0}")
+    def append(df, n):
+        ingest.write_batch({name: df}, root, n)
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").foreachBatch(keep).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return s.read.option("basePath", f"{root}/out").parquet(f"{root}/out").drop("part")
+    sink = append if keys is None else live.merged_by_key(root, name, keys)
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(setting, None)
+    s.conf.set(setting, live.ROCKS)
+    try:
+        def start():
+            return stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").foreachBatch(sink)
+
+        first = start().trigger(processingTime="1 hour").start()
+        while first.isActive and ingest.commits(s, root) is None:
+            first.awaitTermination(0.2)
+        first.stop()
+        start().trigger(availableNow=True).start().awaitTermination()
+    finally:
+        if before is None:
+            s.conf.unset(setting)
+        else:
+            s.conf.set(setting, before)
+    return ingest.read_table(s, root, name) if keys is None else live.newest_by_key(s, root, name, keys)
 
 
 def _once(s, d):
@@ -444,35 +484,25 @@ def _notices(s, d):
 
 
 def _live_sessions(s, d):
-    return _drain(s, live.live_sessions(_stream(s, d)), "sessions", "complete")
+    """Sessions that have closed by the watermark, which ends an hour before the newest run."""
+    return _drain(s, live.live_sessions(_stream(s, d)), "sessions", "append")
 
 
 def _live_latest(s, d):
-    newest = _drain(s, live.latest_runs(_stream(s, d)), "latest", "complete")
+    newest = _drain(s, live.latest_runs(_stream(s, d)), "latest", "update", ["player_id"])
     shown = newest.select("player_id", (F.col("newest.id") - (F.col("player_id") % 2 == 0).cast("int")).alias("id"))
     return live.newer_mark(newest, shown)
 
 
 def _paired(s, d):
+    """A file for every run, resets too, some of whose files meet no complete run and are handed out alone."""
     runs = _stream(s, d)
-    perfs = runs.where("kind = 'complete'").select(
-        "player_id", F.concat(F.lit("perf-"), F.col("id").cast("string")).alias("perf_stem"), F.date_trunc("second", "started_at").alias("challenge_start")
-    )
-    return _drain(s, live.pair_streams(runs.select("player_id", "id", "kind", "started_at", "written_at"), perfs), "pairs", "append").where("run_id IS NOT NULL")
+    perfs = runs.select("player_id", F.concat(F.lit("perf-"), F.col("id").cast("string")).alias("perf_stem"), F.date_trunc("second", "started_at").alias("challenge_start"))
+    return _drain(s, live.pair_streams(runs.select("player_id", "id", "kind", "started_at", "written_at"), perfs, patience="3 hours"), "pairs", "append")
 
 
 def _live_form(s, d):
-    """The last state of each key; the state needs the RocksDB provider, set for this stream only."""
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = s.conf.get(setting, None)
-    s.conf.set(setting, live.ROCKS)
-    try:
-        return _drain(s, live.live_form(_stream(s, d)), "form", "update")
-    finally:
-        if before is None:
-            s.conf.unset(setting)
-        else:
-            s.conf.set(setting, before)
+    return _drain(s, live.live_form(_stream(s, d)), "form", "update", ["player_id", "scenario_id"])
 
 
 def _stored_pace(s, d):

@@ -203,7 +203,7 @@ PERIOD = "period"
 #: Tables of a batch that are written at a time.
 WRITERS = 8
 #: Days of a period, the partition of tables that a batch looks into.
-PERIOD_DAYS = 32
+PERIOD_DAYS = 128
 
 
 def period(day: Column) -> Column:
