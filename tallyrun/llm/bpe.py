@@ -34,7 +34,7 @@ from .common import column, slices
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: States and pieces that a worker keeps, and the longest piece that it keeps.
-MOST_STATES, MOST_PIECES, LONG_PIECE = 200_000, 200_000, 64
+MOST_STATES, MOST_PIECES, LONG_PIECE = 300_000, 700_000, 64
 NEVER = 1 << 62
 #: Ids that are decoded at a time.
 CHUNK = 1 << 16
