@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,15 +102,14 @@ def buckets_of(hashes: np.ndarray, size: int) -> np.ndarray:
     return (mixed(hashes) >> np.uint64(20)).astype(np.int64) % size
 
 
-def counted(part: str, words: list[bytes], codes: np.ndarray, known: np.ndarray, step: int, shards: int, longest: int) -> Iterator[tuple[int, int, str, int]]:
-    """(words, since, phrase, n) of the phrases of a slice that are in their cycle at this step."""
-    hashes = np.r_[np.uint64(0), word_hashes(part, words)]
+def counted(part: str, words: pa.Array, codes: np.ndarray, known: np.ndarray, step: int, shards: int, longest: int) -> Iterator[pa.RecordBatch]:
+    """(part, words, since, phrase, n) of the phrases of a slice that are in their cycle at this step."""
+    hashes = np.r_[np.uint64(0), word_hashes(part, words.to_pylist())]
     if step < shards:
-        for code, n in enumerate(np.bincount(codes, minlength=len(words) + 1).tolist()):
-            if code and n:
-                yield 1, 0, words[code - 1].decode(), n
-        yield 0, 0, "", int((codes > 0).sum())
-    # places at which a phrase of the length is active, its hash, and the step its bucket is known from
+        n = np.bincount(codes, minlength=len(words) + 1)[1:]
+        yield _rows(part, 1, np.zeros(len(n), np.int64), words.cast(pa.string()), n)
+        yield _rows(part, 0, np.zeros(1, np.int64), pa.array([""]), n.sum(keepdims=True))
+    # places at which a phrase of the length is active, its hash, and the step it is known from
     place = np.flatnonzero(codes)
     at = np.full(len(codes) + 1, NEVER, np.uint8)
     word = hashes[codes]
@@ -123,28 +123,33 @@ def counted(part: str, words: list[bytes], codes: np.ndarray, known: np.ndarray,
             return
         whole = lengthened(whole, word[place + size - 1])
         now = since > step - shards
-        for first, n, began in _distinct(whole[now], place[now], since[now], codes, size):
-            yield size, began, b" ".join([words[c - 1] for c in codes[first : first + size].tolist()]).decode(), n
+        first, began, n = _distinct(whole[now], place[now], since[now], codes, size)
+        if len(first):
+            yield _rows(part, size, began, pc.binary_join_element_wise(*(words.take(pa.array(codes[first + i] - 1)) for i in range(size)), b" ").cast(pa.string()), n)
         if size < longest:
             at = np.full(len(codes) + 1, NEVER, np.uint8)
             at[place] = np.maximum(known[buckets_of(whole, len(known))], since)
 
 
-def _distinct(whole: np.ndarray, place: np.ndarray, since: np.ndarray, codes: np.ndarray, size: int) -> Iterator[tuple[int, int, int]]:
-    """(a place, number of places, since) of each phrase. Equal hashes are compared word by word."""
-    order = np.argsort(whole, kind="stable")
-    key = whole[order]
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+def _rows(part: str, size: int, since: np.ndarray, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    same = [pa.repeat(pa.scalar(part, pa.string()), len(n)), pa.repeat(pa.scalar(size, pa.int32()), len(n))]
+    return pa.RecordBatch.from_arrays([*same, pa.array(since.astype(np.int32)), phrase, pa.array(n.astype(np.int64))], ["part", "words", "since", "phrase", "n"])
+
+
+def _distinct(whole: np.ndarray, place: np.ndarray, since: np.ndarray, codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a place, since, number of places) of each phrase. Equal hashes are compared word by word."""
+    order = np.argsort(whole)
+    key, place, since = whole[order], place[order], since[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
     n = np.diff(np.r_[starts, len(key)])
-    first = place[order[starts]] if len(key) else starts
-    same, member = np.repeat(first, n), place[order]
-    if all(np.array_equal(codes[same + i], codes[member + i]) for i in range(size)):
-        yield from zip(first.tolist(), n.tolist(), since[order[starts]].tolist())
-        return
+    first = place[starts]
+    same = np.repeat(first, n)
+    if all(np.array_equal(codes[same + i], codes[place + i]) for i in range(size)):
+        return first, since[starts], n
     found: dict[bytes, list[int]] = {}
     for p, s in zip(place.tolist(), since.tolist()):
-        found.setdefault(codes[p : p + size].tobytes(), [p, 0, s])[1] += 1
-    yield from map(tuple, found.values())
+        found.setdefault(codes[p : p + size].tobytes(), [p, s, 0])[2] += 1
+    return tuple(np.array(x, np.int64) for x in zip(*found.values()))
 
 
 def scan(shard: DataFrame, known, step: int, shards: int, longest: int) -> DataFrame:
@@ -154,13 +159,8 @@ def scan(shard: DataFrame, known, step: int, shards: int, longest: int) -> DataF
         table = np.frombuffer(known.value, np.uint8)
         for batch in batches:
             for part, listed, codes in zip(*(column(batch, c).to_pylist() for c in ("part", "list", "codes"))):
-                words = listed.split(b"\n") if listed else []
-                rows = list(counted(part, words, np.frombuffer(codes, "<u4").astype(np.int64), table, step, shards, longest))
-                if rows:
-                    size, since, phrase, n = zip(*rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([part] * len(rows), pa.string()), pa.array(size, pa.int32()), pa.array(since, pa.int32()), pa.array(phrase, pa.string()), pa.array(n, pa.int64())],
-                        ["part", "words", "since", "phrase", "n"])
+                words = pa.array(listed.split(b"\n") if listed else [], pa.binary())
+                yield from counted(part, words, np.frombuffer(codes, "<u4").astype(np.int64), table, step, shards, longest)
 
     return shard.select("part", "list", "codes").mapInArrow(run, COUNTS)
 

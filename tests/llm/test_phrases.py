@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,10 +69,11 @@ def test_against_brute_force(spark, seed, threshold, shards, buckets, size):
 
 def test_each_phrase_has_one_full_cycle():
     """At every step that begins after its subphrases are known, a phrase has the same first step and is counted in its cycle."""
-    words, codes = [b"a", b"b"], np.array([1, 2, 1, 2, 0, 1, 1])
+    words, codes = pa.array([b"a", b"b"]), np.array([1, 2, 1, 2, 0, 1, 1])
     known = np.full(1 << 12, phrases.NEVER, np.uint8)
-    known[phrases.buckets_of(phrases.word_hashes("x", words), len(known))] = [2, 4]
-    seen = {step: {(p, since): n for size, since, p, n in phrases.counted("x", words, codes, known, step, 3, 5) if size == 2} for step in range(9)}
+    known[phrases.buckets_of(phrases.word_hashes("x", words.to_pylist()), len(known))] = [2, 4]
+    rows = lambda step: (r for batch in phrases.counted("x", words, codes, known, step, 3, 5) for r in batch.to_pylist())
+    seen = {step: {(r["phrase"], r["since"]): r["n"] for r in rows(step) if r["words"] == 2} for step in range(9)}
     assert seen[2] == seen[3] | {("a a", 2): 1} == {("a a", 2): 1} and ("a b", 4) not in seen[3]
     assert seen[4] == {("a a", 2): 1, ("a b", 4): 2, ("b a", 4): 1}
     assert seen[5] == seen[6] == {("a b", 4): 2, ("b a", 4): 1}
@@ -81,8 +83,8 @@ def test_each_phrase_has_one_full_cycle():
 def test_equal_hashes_are_told_apart():
     codes = np.array([1, 2, 0, 3, 4, 0, 1, 2])
     place, since = np.array([0, 3, 6]), np.array([1, 1, 1])
-    got = sorted(phrases._distinct(np.zeros(3, np.uint64), place, since, codes, 2))
-    assert got == [(0, 2, 1), (3, 1, 1)]
+    got = zip(*(x.tolist() for x in phrases._distinct(np.zeros(3, np.uint64), place, since, codes, 2)))
+    assert sorted(got) == [(0, 1, 2), (3, 1, 1)]
 
 
 def test_exact_scores(spark):
