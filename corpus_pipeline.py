@@ -27,10 +27,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.where("contaminated").select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]), "left_anti")
+    """Documents in which no window of a benchmark item occurs. Each row is judged by its own text, also among rows that
+    share an id or have none."""
+    tag = "row_" + "_".join(docs.columns)
+    rows = stored(docs.withColumn(tag, F.monotonically_increasing_id()))
+    hit = decontaminate.decontaminate(rows, table(spark, sf_dir, "benchmark"), key=tag).where("contaminated").select(tag)
+    return rows.join(hit, tag, "left_anti").select(*docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,3 +69,15 @@ def test_every_stage_stands_odd_rows(spark, corpus):
                 assert sorted((r["doc_id"] or 0) for r in out.collect()) == [0, 0, 1, 2, 3, 4, 6, 7, 9]  # rows without an id stay together
             elif name in ("secret scans", "benchmark decontamination"):
                 assert out.count() == len(rows)
+
+
+def test_rows_without_an_own_id(spark, corpus):
+    """Contaminated rows go and clean ones stay, whatever ids they share; so do repeated rows."""
+    folder, _ = corpus
+    clean, bad = "one clean text of a few words " * 3, f"before {ITEM} after"
+    rows = [(None, clean), (None, bad), (1, clean + "more"), (1, bad), (2, clean), (2, clean), (3, bad), (3, bad), (None, None), (4, "")]
+    docs = documents(spark, rows)
+    kept = corpus_pipeline.benchmark_decontamination(spark, docs, folder)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted((r for r in rows if r[1] != bad), key=str)
+    assert corpus_pipeline.benchmark_decontamination(spark, documents(spark, []), folder).count() == 0
