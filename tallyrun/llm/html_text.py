@@ -9,7 +9,11 @@ page's blocks inside a recurring subtree go. Inside an article, cells, rows, ite
 and tables without attributes are no template by themselves, since articles of a site repeat passages, only with what is
 around them. Only where much template is found are pages shuffled, by row, never by host.
 
-Defined cases: null or empty html gives an empty text; unclosed and stray tags are tolerated; equal pages are each
+Elements are listed by their tag, their role, or a class or id of which every word is listed or usual beside a listed one;
+an article or main element that stands in no other is never listed by its class.
+
+Defined cases: null or empty html gives an empty text; unclosed and stray tags are tolerated, at any number and depth; a tag
+that never ends is text; equal pages are each
 answered and counted once; a null or unreadable address has no host and no template; an empty table gives an empty
 result; other columns are not looked at.
 """
@@ -23,7 +27,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -51,9 +55,18 @@ MAIN = frozenset("article main".split())
 PARTS = frozenset("li dt dd tr td th thead tbody tfoot caption h1 h2 h3 h4 h5 h6".split())
 PROSE = frozenset("p blockquote pre ul ol dl table figure".split())
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*)>""", re.S)
-NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Words that may stand beside a listed one in a class or id, as in top-ad, site-nav or comments-area. A name with any other
+#: word (share-price, no-sidebar) is not listed.
+BESIDE = frozenset(
+    "top bottom left right center first last main inner outer area wrapper wrap container holder box block section list item items bar slot unit widget panel row form link links button buttons icon icons "
+    "site page post entry article user reader global primary secondary mobile desktop js header footer".split())
+
+START = re.compile(r"<(?:(!--)|([!?])|(/?)([A-Za-z][^\s/>]*+))")
+QUOTED = re.compile(r"""((?:[^>"']++|"[^"]*"|'[^']*')*+)>""")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 TOKEN = re.compile(r"[a-z]+")
+#: Tags of a page that may leave a quote open before quotes are no longer looked at: each costs a scan of the page.
+OPEN_QUOTES = 16
 HOST = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
 
@@ -63,45 +76,65 @@ class Element:
     attributes: str
     dropped: bool
     main: bool
-    number: int
+    counted: bool
+    start: int
     block: Element | None
     parts: list[str] = field(default_factory=list)
 
 
 class Page:
-    """Blocks (text, whether in the main part, numbers of the elements around it) and the digests of elements."""
+    """Blocks (text, whether in the main part) and subtrees (digest, first block, block after the last).
+
+    Time and memory are linear in the source: a tag is read once, depths of open elements are kept by name, and a subtree
+    knows its blocks by their numbers.
+    """
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, bool, list[int]]] = []
-        self.digests: list[int | None] = []
+        self.blocks: list[tuple[str, bool]] = []
+        self.subtrees: list[tuple[int, int, int]] = []
         self.stack: list[Element] = []
+        self.depths: dict[str, list[int]] = {}
+        self.solid: list[int] = []  # depths of elements that are not inline
         self.pending: list[str] = []
         self.has_main = False
-        at = 0
+        at, last, quotes = 0, source.rfind(">"), OPEN_QUOTES
         while at < len(source):
-            found = TAG.search(source, at)
-            if not found:
+            found = START.search(source, at)
+            tag = found and found[4]
+            if not found or (tag and found.start() > last):  # no further tag, or one that never ends
                 self._text(source[at:])
                 break
             if found.start() > at:
                 self._text(source[at : found.start()])
-            at = found.end()
-            tag = found[2] or found[5]
-            if tag:
-                tag = tag.lower()
-                if found[1] or found[4]:
-                    self._close(tag)
-                else:
-                    attributes = (found[3] if found[2] else found[6]) or ""
-                    self._open(tag, attributes)
-                    if tag in RAW and not attributes.endswith("/"):
-                        end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-                        at = end.end() if end else len(source)
-                        self._pop()
+            if not tag:
+                end = source.find("-->", found.start() + 2) if found[1] else source.find(">", found.end())
+                at = len(source) if end < 0 else end + (3 if found[1] else 1)
+                continue
+            whole = QUOTED.match(source, found.end()) if quotes else None
+            quotes -= whole is None and quotes > 0
+            at = whole.end() if whole else source.index(">", found.end()) + 1
+            tag, attributes = tag.lower(), source[found.end() : at - 1]
+            if found[3]:
+                self._close(tag)
+                continue
+            self._open(tag, attributes)
+            if tag in RAW and not attributes.endswith("/"):
+                end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(source, at)
+                at = end.end() if end else len(source)
+                self._pop()
         self._flush()
         while self.stack:
             self._pop()
 
+    def kept(self) -> tuple[list[str], list[tuple[int, int, int]]]:
+        """The blocks of the main part, or all where there is none, and the subtrees that hold any of them."""
+        place, texts = [0], []
+        for text, main in self.blocks:
+            if main or not self.has_main:
+                texts.append(text)
+            place.append(len(texts))
+        return texts, [(digest, place[i], place[j]) for digest, i, j in self.subtrees if place[i] < place[j]]
+
     def _text(self, text: str) -> None:
         if not (self.stack and self.stack[-1].dropped):
             self.pending.append(text)
@@ -114,7 +147,7 @@ class Page:
         text = " ".join(html.unescape("".join(self.pending)).split())
         self.pending = []
         if text:
-            self.blocks.append((text, any(e.main for e in self.stack), [e.number for e in self.stack if e.number >= 0]))
+            self.blocks.append((text, bool(self.stack) and self.stack[-1].main))
             if self.stack and self.stack[-1].block:
                 self.stack[-1].block.parts.append(text)
 
@@ -134,11 +167,11 @@ class Page:
         dropped = bool(above and above.dropped) or self._boilerplate(tag, attributes, inside)
         main = inside or (tag in MAIN and not dropped)
         self.has_main |= main
-        number = -1
-        if not dropped and tag not in INLINE and tag not in MAIN and tag not in ("html", "body") and not (main and (tag in PARTS or (tag in PROSE and not attributes.strip()))):
-            number = len(self.digests)
-            self.digests.append(None)
-        self.stack.append(Element(tag, attributes, dropped, main, number, above.block if above else None))
+        counted = not dropped and tag not in INLINE and tag not in MAIN and tag not in ("html", "body") and not (main and (tag in PARTS or (tag in PROSE and not attributes.strip())))
+        self.depths.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.solid.append(len(self.stack))
+        self.stack.append(Element(tag, attributes, dropped, main, counted, len(self.blocks), above.block if above else None))
         if tag not in INLINE:
             self.stack[-1].block = self.stack[-1]
 
@@ -146,74 +179,77 @@ class Page:
     def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
         if tag in DROPPED or (tag == "header" and not inside):
             return True
-        if attributes and tag not in ("html", "body"):
-            for name, *values in NAMED.findall(attributes):
-                words = TOKEN.findall("".join(values).lower())
-                if name.lower() == "role":
-                    if not ROLES.isdisjoint(words):
+        if not attributes or tag in ("html", "body") or (tag in MAIN and not inside):
+            return False
+        listed = WORDS if inside else WORDS | OUTSIDE
+        for name, *values in ATTRIBUTE.findall(attributes):
+            name = name.lower()
+            if name == "role" and not ROLES.isdisjoint("".join(values).lower().split()):
+                return True
+            if name in ("class", "id"):
+                for token in "".join(values).lower().split():
+                    words = set(TOKEN.findall(token))
+                    if not words.isdisjoint(listed) and words <= listed | BESIDE:
                         return True
-                elif not WORDS.isdisjoint(words) or (not inside and not OUTSIDE.isdisjoint(words)):
-                    return True
         return False
 
+    def _deepest(self, tags: Iterable[str]) -> int:
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=-1)
+
+    def _pop_to(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            self._pop()
+
     def _implied(self, tags: set[str], scopes: frozenset[str]) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            tag = self.stack[i].tag
-            if tag in tags:
-                while len(self.stack) > i:
-                    self._pop()
-                return
-            if tag in scopes:
-                return
+        depth = self._deepest(tags)
+        if depth >= 0 and depth >= self._deepest(scopes):
+            self._pop_to(depth)
 
     def _close(self, tag: str) -> None:
         if tag not in INLINE:
             self._flush()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i].tag == tag:
-                while len(self.stack) > i:
-                    self._pop()
-                return
-            if tag in INLINE and self.stack[i].tag not in INLINE:
-                return
+        depth = self._deepest([tag])
+        if depth >= 0 and (tag not in INLINE or not self.solid or self.solid[-1] < depth):
+            self._pop_to(depth)
 
     def _pop(self) -> None:
         if self.stack[-1].tag not in INLINE:
             self._flush()
         e = self.stack.pop()
+        self.depths[e.tag].pop()
         if e.tag in INLINE:
             return
+        self.solid.pop()
         above = self.stack[-1].block if self.stack else None
         e.block = None
         digest = xxhash.xxh3_64_intdigest("\0".join([e.tag, e.attributes.strip(), *e.parts]).encode("utf-8", "surrogatepass")) - 2**63
-        if e.number >= 0:
-            self.digests[e.number] = digest
+        if e.counted and e.start < len(self.blocks):
+            self.subtrees.append((digest, e.start, len(self.blocks)))
         if above:
             above.parts.append(f"\1{digest}")
 
 
 def parsed(pages: DataFrame, key: str, url: str, source: str) -> DataFrame:
-    """(row, key, url, host, content, subtrees, blocks): a digest of the page's text, digests of its subtrees by number, and
-    its blocks (text, numbers of the subtrees around it)."""
+    """(row, key, url, host, content, subtrees, blocks): a digest of the page's text, its subtrees as digest and range of
+    blocks, and the texts of its blocks."""
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("url"), F.col(f"`{source}`").alias("source"))
-    block = pa.struct([("text", pa.string()), ("around", pa.list_(pa.int32()))])
+    subtree = pa.struct([("subtree", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "source"):
             contents, subtrees, blocks, hosts = [], [], [], []
             for address, s in zip(column(batch, "url").to_pylist(), column(batch, "source").to_pylist()):
-                page, host = Page(s or ""), HOST.match(address or "")
+                (texts, found), host = Page(s or "").kept(), HOST.match(address or "")
                 hosts.append(host[1].lower() if host else "")
-                subtrees.append(page.digests if host else [])
-                kept = [(t, around) for t, main, around in page.blocks if main or not page.has_main]
-                contents.append(xxhash.xxh3_64_intdigest("\n".join(t for t, _ in kept).encode("utf-8", "surrogatepass")) - 2**63)
-                blocks.append([{"text": t, "around": a} for t, a in kept])
+                subtrees.append([{"subtree": d, "start": i, "end": j} for d, i, j in found] if host else [])
+                contents.append(xxhash.xxh3_64_intdigest("\n".join(texts).encode("utf-8", "surrogatepass")) - 2**63)
+                blocks.append(texts)
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "row"), column(batch, "key"), column(batch, "url"), pa.array(hosts), pa.array(contents, pa.int64()), pa.array(subtrees, pa.list_(pa.int64())), pa.array(blocks, pa.list_(block))],
+                [column(batch, "row"), column(batch, "key"), column(batch, "url"), pa.array(hosts), pa.array(contents, pa.int64()), pa.array(subtrees, pa.list_(subtree)), pa.array(blocks, pa.list_(pa.string()))],
                 ["row", "key", "url", "host", "content", "subtrees", "blocks"])
 
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("key", "url")}
-    return stored(rows.mapInArrow(run, f"row long, key {kinds['key']}, url {kinds['url']}, host string, content long, subtrees array<long>, blocks array<struct<text:string,around:array<int>>>"))
+    return stored(rows.mapInArrow(run, f"row long, key {kinds['key']}, url {kinds['url']}, host string, content long, subtrees array<struct<subtree:long,start:int,end:int>>, blocks array<string>"))
 
 
 def _least(pages: Column, min_pages: int, min_percent: int) -> Column:
@@ -228,11 +264,15 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", source:
     read = parsed(pages, key, url, source)
     hosted = read.where("host <> ''")
     on_host = hosted.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    counts = hosted.select("host", "content", F.explode("subtrees").alias("subtree")).where("subtree IS NOT NULL").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min(FEW_PAGES, min_pages))
+    counts = hosted.select("host", "content", F.explode("subtrees.subtree").alias("subtree")).distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min(FEW_PAGES, min_pages))
     template = stored(counts.join(on_host, "host").where(F.col("n") >= _least(F.col("pages"), min_pages, min_percent)).select("host", "subtree"))
     # Template and the rows that have some are written, so that their sizes are known and small ones need no shuffle of pages.
-    own = stored(hosted.select("row", "host", F.posexplode("subtrees").alias("number", "subtree")).join(template, ["host", "subtree"]).groupBy("row").agg(F.collect_set("number").alias("template")))
-    left = read.join(own, "row", "left").withColumn("template", F.coalesce("template", F.array().cast("array<int>")))
-    kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["around"], F.col("template")))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
+    found = hosted.select("row", "host", F.inline("subtrees")).join(template, ["host", "subtree"])
+    # Subtrees nest, so those that start before the end of an earlier one lie inside it: the outermost hold all blocks, once.
+    order = Window.partitionBy("row").orderBy("start", F.desc("end"))
+    outer = found.withColumn("before", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))).where("before IS NULL OR start >= before")
+    own = stored(outer.groupBy("row").agg(F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("end") - 1))).alias("gone")))
+    left = read.join(own, "row", "left")
+    places = F.array_except(F.sequence(F.lit(0), F.size("blocks") - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.array_join("blocks", "\n")).otherwise(F.array_join(F.transform(places, lambda i: F.col("blocks")[i]), "\n"))
     return left.select(F.col("key").alias(key), F.col("url").alias(url), text.alias("text"))

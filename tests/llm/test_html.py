@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import time
+
+import pytest
+
 from tallyrun.llm import html_text
 
 PAGES = "page_id long, url string, html string, host string, text string, row int, blocks string"
@@ -10,8 +14,7 @@ def pages(spark, rows):
 
 
 def text_of(source):
-    page = html_text.Page(source)
-    return "\n".join(t for t, main, _ in page.blocks if main or not page.has_main)
+    return "\n".join(html_text.Page(source).kept()[0])
 
 
 def test_article():
@@ -31,6 +34,30 @@ def test_broken_pages():
     assert text_of("<p>only</p><p>paragraphs</p>") == "only\nparagraphs"
 
 
+def test_listed_names():
+    for source in ('<article class="post has-comments">Story</article>', '<div class="content no-sidebar">Story</div>', '<article id="ad-123">Story</article>',
+                   '<article><p class="share-price">Story</p></article>', '<article><section class="related-work">Story</section></article>', '<div title="x class=ad">Story</div>',
+                   '<main class="share"><p data-x=\'id="ad"\'>Story</p></main>'):
+        assert text_of(source) == "Story", source
+    for name in ("ad", "x1 top-ad", "ad-123", "comments-area", "cookie_notice", "site-footer", "post-comments", "AdBox"):
+        assert text_of(f"<div><p>Story</p><div class='{name}'>no</div><div id={name.split()[-1]}>no</div></div>") == "Story", name
+    assert text_of('<article>Story<article class="comment">no</article><div role="search">no</div></article>') == "Story"
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div>x", "<a '", "<a \"'>", "<p><td><x1>", "<x1><hr>", "</script ", "<!--", "<b><p>x", "<", "&amp", "<ul><li>x"])
+def test_long_odd_pages(part):
+    start = time.process_time()
+    page = html_text.Page(part * (1_000_000 // len(part)) + ">")
+    assert time.process_time() - start < 20
+    assert all(0 <= i < j <= len(page.blocks) for _, i, j in page.subtrees)
+
+
+def test_nested_template(spark):
+    deep = "".join(f"<div>step {i}" for i in range(5000)) + "</div>" * 5000
+    rows = [(i, "http://a.example/p", f"<body><p>own text {i}</p>{deep}<div>end {i}</div></body>") for i in range(12)]
+    assert {r["page_id"]: r["text"] for r in html_text.main_text(pages(spark, rows)).collect()} == {i: f"own text {i}\nend {i}" for i in range(12)}
+
+
 def test_template_removal(spark):
     box = '<div class="x1"><p>Follow the site</p><p>every day</p></div>'
     rows = [(i, "http://a.example/p", f"<body>{box}<div><p>own text {i}</p><p>Said on three pages</p></div></body>" if i < 3 else f"<body>{box}<div><p>own text {i}</p></div></body>") for i in range(12)]
