@@ -5,7 +5,7 @@ repeats. A task holds one slice of texts at a time and there is no shuffle, so n
 
 Defined cases: a null or empty text has no words and fails the base rules; a text of any length is read whole; repeated
 rows are judged alike, each for itself; an empty table gives an empty result; other columns of the input are not looked
-at by ``measure`` and pass unchanged through ``kept_documents``.
+at by ``measure`` and pass unchanged through ``kept_documents``. Ids are not looked at: null and equal ones are like any other.
 """
 
 from __future__ import annotations
@@ -18,13 +18,17 @@ from pyspark.sql import DataFrame
 
 from .common import Codes, column, mixed, slices
 
-#: The most that a text may have of its characters in repeated n-grams of a length (percent), and in repeated lines.
-NGRAM_PERCENT = {5: 20, 6: 20, 7: 20, 8: 20, 9: 20, 10: 20}
+#: The most that a text may have of its characters in repeated n-grams of a length (percent), and in repeated lines. A later
+#: 10-gram lies in later 5-grams, so that only limits that fall with the length let each length decide.
+NGRAM_PERCENT = {5: 20, 6: 18, 7: 16, 8: 14, 9: 12, 10: 10}
+#: Lengths above the shortest judge texts of at least so many repeated n-grams: one line said twice is much of a short text.
+LEAST_REPEATED = 20
 LINE_CHARS_PERCENT = 20
 #: Base rules.
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
 
 SPACE = " \t\n\x0b\x0c\r"
+BLANK = dict.fromkeys(map(ord, SPACE))
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars")
 
@@ -79,6 +83,7 @@ def measured(texts: list[str | None], lengths: tuple[int, ...]) -> dict[str, np.
             out["n_repeat_words"] = np.bincount(doc[_covered(found, n, total)], minlength=len(texts)).astype(np.int64)
         if n in lengths:
             inside = _covered(later, n, total)
+            out[f"dup{n}_grams"] = np.bincount(doc[later], minlength=len(texts)).astype(np.int64)
             out[f"dup{n}_chars"] = np.bincount(doc[inside], chars[inside], len(texts)).astype(np.int64)
     return out
 
@@ -87,7 +92,7 @@ def _lines(text: str) -> tuple[int, int]:
     seen, again, chars = set(), 0, 0
     for line in text.split("\n"):
         if line in seen:
-            again, chars = again + 1, chars + len(line)
+            again, chars = again + 1, chars + len(line.translate(BLANK))
         elif line.strip(SPACE):
             seen.add(line)
     return again, chars
@@ -98,7 +103,8 @@ def judged(x: dict[str, np.ndarray], ngram_percent: dict[int, int], line_percent
     failed = (x["n_words"] < MIN_WORDS) | (100 * x["n_repeat_words"] > REPEAT_PERCENT * x["n_words"])
     kept = ~failed & (100 * x["dup_line_chars"] <= line_percent * x["word_chars"])
     for n, percent in ngram_percent.items():
-        kept &= 100 * x[f"dup{n}_chars"] <= percent * x["word_chars"]
+        few = x[f"dup{n}_grams"] < (LEAST_REPEATED if n > min(ngram_percent) else 0)
+        kept &= few | (100 * x[f"dup{n}_chars"] <= percent * x["word_chars"])
     return failed, kept
 
 
@@ -108,7 +114,7 @@ def measure(
     """One row per document: the key, all counts, ``base_failed`` and ``kept``."""
     percent = ngram_percent or NGRAM_PERCENT
     lengths = tuple(sorted(percent))
-    names = [*COUNTS, *(f"dup{n}_chars" for n in lengths)]
+    names = [*COUNTS, *(f"dup{n}_{what}" for n in lengths for what in ("chars", "grams"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):

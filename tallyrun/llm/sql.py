@@ -5,25 +5,26 @@ from __future__ import annotations
 
 def _quality() -> str:
     lengths = (5, 6, 7, 8, 9, 10)
-    percent = (20, 20, 20, 20, 20, 20)
+    percent = (20, 18, 16, 14, 12, 10)
     grams, marks, sums = [], [], []
     for n in lengths:
         gram = " || ' ' || ".join(["word", *(f"lead(word, {i}) OVER w" for i in range(1, n))])
         grams.append(f"{gram} AS g{n}")
         marks.append(f"g{n} IS NOT NULL AND row_number() OVER (PARTITION BY row_no, g{n} ORDER BY pos) > 1 AS later{n}, g{n} IS NOT NULL AND count(*) OVER (PARTITION BY row_no, g{n}) > 1 AS twice{n}")
-        sums.append(f"coalesce(sum(length(word)) FILTER (WHERE in{n}), 0) AS dup{n}_chars")
+        sums.append(f"coalesce(sum(length(word)) FILTER (WHERE in{n}), 0) AS dup{n}_chars, count(*) FILTER (WHERE later{n}) AS dup{n}_grams")
     inside = ", ".join(f"bool_or(later{n}) OVER (PARTITION BY row_no ORDER BY pos ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS in{n}" for n in lengths)
-    dup = ", ".join(f"coalesce(c.dup{n}_chars, 0)::BIGINT AS dup{n}_chars" for n in lengths)
-    verdict = " AND ".join(f"100 * dup{n}_chars <= {p} * word_chars" for n, p in zip(lengths, percent))
+    later = ", ".join(f"later{n}" for n in lengths)
+    dup = ", ".join(f"coalesce(c.dup{n}_{what}, 0)::BIGINT AS dup{n}_{what}" for n in lengths for what in ("chars", "grams"))
+    verdict = " AND ".join(f"(100 * dup{n}_chars <= {p} * word_chars{' OR dup%d_grams < 20' % n if n > 5 else ''})" for n, p in zip(lengths, percent))
     return rf"""
 WITH docs AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents),
 words AS (SELECT row_no, generate_subscripts(ws, 1) AS pos, unnest(ws) AS word FROM (SELECT row_no, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM docs)),
 grams AS (SELECT row_no, pos, word, {", ".join(grams)} FROM words WINDOW w AS (PARTITION BY row_no ORDER BY pos)),
 marks AS (SELECT row_no, pos, word, {", ".join(marks)} FROM grams),
-cover AS (SELECT row_no, word, {inside}, bool_or(twice8) OVER (PARTITION BY row_no ORDER BY pos ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS again FROM marks),
+cover AS (SELECT row_no, word, {inside}, {later}, bool_or(twice8) OVER (PARTITION BY row_no ORDER BY pos ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS again FROM marks),
 counted AS (SELECT row_no, count(*) AS n_words, sum(length(word)) AS word_chars, count(*) FILTER (WHERE again) AS n_repeat_words, {", ".join(sums)} FROM cover GROUP BY row_no),
 lines AS (SELECT row_no, line, count(*) AS times FROM (SELECT row_no, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row_no, line),
-repeated AS (SELECT row_no, sum(times - 1) AS n_dup_lines, sum((times - 1) * length(line)) AS dup_line_chars FROM lines GROUP BY row_no),
+repeated AS (SELECT row_no, sum(times - 1) AS n_dup_lines, sum((times - 1) * length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS dup_line_chars FROM lines GROUP BY row_no),
 measured AS (SELECT d.doc_id, coalesce(c.n_words, 0)::BIGINT AS n_words, coalesce(c.word_chars, 0)::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
  coalesce(r.n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(c.n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(r.dup_line_chars, 0)::BIGINT AS dup_line_chars, {dup}
  FROM docs d LEFT JOIN counted c USING (row_no) LEFT JOIN repeated r USING (row_no)),
@@ -133,7 +134,8 @@ def _phrases() -> str:
     return rf"""
 WITH texts AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 pieces AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?
--]')) AS piece FROM texts)),
+-
+]')) AS piece FROM texts)),
 grams AS ({grams}),
 f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL),
 totals AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),

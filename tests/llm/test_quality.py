@@ -19,14 +19,15 @@ def brute(text):
         if re.search("[^\x20\x09-\x0d]", line):
             if line in seen:
                 out["n_dup_lines"] += 1
-                out["dup_line_chars"] += len(line)
+                out["dup_line_chars"] += len(re.sub("[\x20\x09-\x0d]", "", line))
             seen.add(line)
     for n in (3, 8):
         grams = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
-        later, twice = set(), set()
+        later, twice, out[f"dup{n}_grams"] = set(), set(), 0
         for i, g in enumerate(grams):
             if g in grams[:i]:
                 later |= set(range(i, i + n))
+                out[f"dup{n}_grams"] += 1
             if grams.count(g) > 1:
                 twice |= set(range(i, i + n))
         out[f"dup{n}_chars"] = sum(len(words[i]) for i in later)
@@ -59,3 +60,24 @@ def test_verdict(spark):
     once = PLAIN + "\n" + " ".join(f"own{i}" for i in range(900)) + "\n" + PLAIN
     got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality.measure(documents(spark, [(1, again), (2, once), (3, "few words")])).collect()}
     assert got == {1: (True, False), 2: (False, True), 3: (True, False)}
+
+
+def repeating(n, percent):
+    """Words of five letters, of which this part lies in 30 later repeats of n words; no n + 1 words are said twice."""
+    parts = [" ".join(f"r{i:02d}{chr(97 + j)}x" for j in range(n)) for i in range(30)]
+    said = [w for i, p in enumerate(parts) for w in f"{p} a{i:04d} {p} b{i:04d}".split()]
+    return " ".join(said + [f"{i:05d}" for i in range(int(3000 * n / percent) - len(said))])
+
+
+def test_every_length_decides(spark):
+    lengths = tuple(quality.NGRAM_PERCENT)
+    for n, percent in quality.NGRAM_PERCENT.items():
+        x = quality.measured([repeating(n, percent + 0.5), repeating(n, percent - 0.5)], lengths)
+        over = [[m for m, p in quality.NGRAM_PERCENT.items() if 100 * x[f"dup{m}_chars"][i] > p * x["word_chars"][i]] for i in (0, 1)]
+        assert over == [[n], []] and x[f"dup{n}_grams"].tolist() == [30, 30]
+        failed, kept = quality.judged(x, quality.NGRAM_PERCENT, quality.LINE_CHARS_PERCENT)
+        assert failed.tolist() == [False, False] and kept.tolist() == [False, True]
+    line = "Ten words of a line that are said twice here"
+    brief = " ".join(f"o{i:02d}" for i in range(60))
+    got = quality.measure(documents(spark, [(1, f"{line}\n{brief}\n{line}")])).first()
+    assert 100 * got["dup10_chars"] > 10 * got["word_chars"] and got["kept"]
