@@ -10,7 +10,7 @@ searched where they lie, so a frequent word or a passage that many documents sha
 
 Defined cases: a null or empty text has no words and is not contaminated; an item without words has no window, one of
 fewer words than a window is one window; equal items each count; equal rows are each answered; an empty table of
-documents gives an empty result, an empty benchmark no hits; a null key is kept; other columns are not looked at.
+documents gives an empty result, an empty benchmark no hits; a null key is kept; of equally rare terms the earlier in the window is taken first; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -121,6 +121,7 @@ def search(segment: Segment, terms: np.ndarray, offsets: np.ndarray, sizes: np.n
 
 def _search(index: DataFrame, sent, slop: int) -> DataFrame:
     """(segment, ord, spans, windows, near): matches of the documents that have any."""
+    place = pa.struct([("window", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, terms, offsets, sizes, vocabulary = sent.value
@@ -132,7 +133,7 @@ def _search(index: DataFrame, sent, slop: int) -> DataFrame:
                 if not sum(len(w) for w, _, _ in found):
                     continue
                 window, start, exact = (np.concatenate(x) for x in zip(*found))
-                doc = np.searchsorted(segment.first, np.maximum(start, 0), "right") - 1
+                doc = np.searchsorted(segment.first, start + offsets[window, 0], "right") - 1  # that of the rarest term
                 out = {"ord": [], "spans": [], "windows": [], "near": []}
                 order = np.lexsort((start, doc))
                 for part in np.split(order, np.flatnonzero(np.diff(doc[order])) + 1):
@@ -140,13 +141,15 @@ def _search(index: DataFrame, sent, slop: int) -> DataFrame:
                     out["ord"].append(d)
                     out["spans"].append(_merged(start[hit] - segment.first[d], sizes[window[hit]]))
                     out["windows"].append([names[w] for w in np.unique(window[hit])])
-                    out["near"].append(len(np.setdiff1d(window[part], window[hit])))
+                    near = part[~np.isin(window[part], window[hit])]
+                    first = start[near] - segment.first[d]
+                    out["near"].append([{"window": names[w], "start": max(a, 0), "end": min(a + int(sizes[w]), int(segment.n_words[d]))} for w, a in sorted(zip(window[near].tolist(), first.tolist()))])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([column(batch, "segment")[row].as_py()] * len(out["ord"])), pa.array(out["ord"], pa.int64()), pa.array(out["spans"], pa.list_(pa.list_(pa.int64()))),
-                     pa.array(out["windows"], pa.list_(pa.string())), pa.array(out["near"], pa.int64())],
+                     pa.array(out["windows"], pa.list_(pa.string())), pa.array(out["near"], pa.list_(place))],
                     ["segment", *out])
 
-    return index.drop("keys").mapInArrow(run, "segment string, ord long, spans array<array<long>>, windows array<string>, near long")
+    return index.drop("keys").mapInArrow(run, "segment string, ord long, spans array<array<long>>, windows array<string>, near array<struct<window:string,start:long,end:long>>")
 
 
 def _merged(start: np.ndarray, size: np.ndarray) -> list[list[int]]:
@@ -163,7 +166,8 @@ def _merged(start: np.ndarray, size: np.ndarray) -> list[list[int]]:
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
                   size: int = WINDOW, slop: int = SLOP, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document: key, n_words, n_hit, spans of word places hit, items with occurring windows (sorted strings),
-    n_near (windows with proximity matches only), contaminated."""
+    n_near (windows with proximity matches only), near (such windows with all their places, ends exclusive), near_items (the
+    items of these windows), contaminated."""
     spark = docs.sparkSession
     windows = stored(item_windows(items, item, item_text, size))
     distinct = windows.select("window", "words").distinct()
@@ -187,14 +191,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
         sent = spark.sparkContext.broadcast(([r["window"] for r in listed], terms, offsets, np.array([len(t) for t in coded], np.int64), len(codes)))
         found = stored(_search(index, sent, slop))
         hits = found if hits is None else hits.unionByName(found)
-    by_item = hits.select("segment", "ord", F.explode("windows").alias("window")).join(windows.select("window", "item"), "window")
-    by_item = by_item.groupBy("segment", "ord").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    spans = hits.groupBy("segment", "ord").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.sum("near").alias("n_near"))
+    told = F.concat(F.transform("windows", lambda w: F.struct(w.alias("window"), F.lit(True).alias("exact"))), F.transform(F.array_distinct("near.window"), lambda w: F.struct(w.alias("window"), F.lit(False).alias("exact"))))
+    by_item = hits.select("segment", "ord", F.inline(told)).join(windows.select("window", "item"), "window")
+    of = lambda exact: F.sort_array(F.collect_set(F.when(F.col("exact") == exact, F.col("item"))))
+    by_item = by_item.groupBy("segment", "ord").agg(of(True).alias("items"), of(False).alias("near_items"))
+    spans = hits.groupBy("segment", "ord").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("near")).alias("near"))
     covered = F.aggregate(
         F.sort_array("spans"), F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")),
         lambda a, x: F.struct(F.greatest(a["end"], x[1]).alias("end"), (a["n"] + F.greatest(F.lit(0), x[1] - F.greatest(a["end"], x[0]))).alias("n")))["n"]
     listed = index.select("segment", F.posexplode(F.arrays_zip("keys", "n_words")).alias("ord", "x")).select("segment", F.col("ord").cast("long"), F.col("x.keys").alias(key), F.col("x.n_words").alias("n_words"))
     out = listed.join(spans.join(by_item, ["segment", "ord"], "left"), ["segment", "ord"], "left")
     n_hit = F.coalesce(covered, F.lit(0))
-    items_ = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select(F.col(f"`{key}`"), "n_words", n_hit.alias("n_hit"), F.coalesce("spans", F.array().cast("array<array<long>>")).alias("spans"), items_.alias("items"), F.coalesce("n_near", F.lit(0)).alias("n_near"), (n_hit > 0).alias("contaminated"))
+    listed_ = lambda name, kind: F.coalesce(name, F.array().cast(kind)).alias(name)
+    near = listed_("near", "array<struct<window:string,start:bigint,end:bigint>>")
+    return out.select(
+        F.col(f"`{key}`"), "n_words", n_hit.alias("n_hit"), listed_("spans", "array<array<long>>"), listed_("items", "array<string>"), F.size(F.array_distinct(near["window"])).cast("long").alias("n_near"),
+        near, listed_("near_items", "array<string>"), (n_hit > 0).alias("contaminated"))

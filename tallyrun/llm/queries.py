@@ -86,7 +86,7 @@ def rendezvous_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     digest = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated", "n_near")
 
 
 def warc_archives(spark: SparkSession, folder: str) -> DataFrame:

@@ -41,9 +41,17 @@ cut AS (SELECT DISTINCT item, least(len(ws), 10) AS size, array_to_string(ws[i :
 seen AS (SELECT row_no, pos, size, array_to_string(ws[pos : pos + size - 1], ' ') AS win FROM (SELECT row_no, ws, size, unnest(generate_series(1, len(ws) - size + 1)) AS pos FROM docs, (SELECT DISTINCT size FROM cut) WHERE len(ws) >= size)),
 hits AS (SELECT DISTINCT row_no, pos, cut.size, item FROM seen JOIN cut ON seen.win = cut.win AND seen.size = cut.size),
 places AS (SELECT row_no, count(DISTINCT place) AS n_hit FROM (SELECT row_no, unnest(generate_series(pos, pos + size - 1)) AS place FROM hits) GROUP BY row_no),
-found AS (SELECT row_no, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row_no, item FROM hits) GROUP BY row_no)
-SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM docs LEFT JOIN places USING (row_no) LEFT JOIN found USING (row_no)"""
+found AS (SELECT row_no, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row_no, item FROM hits) GROUP BY row_no),
+places_of AS (SELECT row_no, generate_subscripts(ws, 1) AS spot, unnest(ws) AS word FROM docs),
+frequency AS (SELECT word, count(*) AS n FROM places_of GROUP BY word),
+terms AS (SELECT win, j, t.word, row_number() OVER (PARTITION BY win ORDER BY coalesce(n, 0), j) AS r FROM (SELECT win, generate_subscripts(string_split(win, ' '), 1) AS j, unnest(string_split(win, ' ')) AS word FROM (SELECT DISTINCT win FROM cut)) t LEFT JOIN frequency USING (word)),
+anchors AS (SELECT win, max(word) FILTER (WHERE r = 1) AS w1, max(j) FILTER (WHERE r = 1) AS j1, max(word) FILTER (WHERE r = 2) AS w2, max(j) FILTER (WHERE r = 2) AS j2, max(word) FILTER (WHERE r = 3) AS w3, max(j) FILTER (WHERE r = 3) AS j3 FROM terms GROUP BY win),
+first_at AS (SELECT win, row_no, spot - j1 AS begins, w2, j2, w3, j3 FROM anchors JOIN places_of ON word = w1),
+second_at AS (SELECT DISTINCT f.win, f.row_no, f.begins, w3, j3 FROM first_at f LEFT JOIN places_of p ON p.row_no = f.row_no AND p.word = w2 AND abs(p.spot - f.begins - j2) <= 4 WHERE w2 IS NULL OR p.word IS NOT NULL),
+close AS (SELECT DISTINCT s.win, s.row_no FROM second_at s LEFT JOIN places_of p ON p.row_no = s.row_no AND p.word = w3 AND abs(p.spot - s.begins - j3) <= 4 WHERE w3 IS NULL OR p.word IS NOT NULL),
+near AS (SELECT row_no, count(*) AS n_near FROM close WHERE (win, row_no) NOT IN (SELECT (win, row_no) FROM (SELECT DISTINCT win, row_no FROM seen JOIN cut USING (win, size))) GROUP BY row_no)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM docs LEFT JOIN places USING (row_no) LEFT JOIN found USING (row_no) LEFT JOIN near USING (row_no)"""
 
 
 def _near_duplicates() -> str:
