@@ -4,17 +4,21 @@ Each record is a gzip member of its own. Spark's text writer puts out a column's
 member's last byte is the high byte of its length, 0 for members below 16 MiB, so that the separator is this byte; a larger
 member gets an empty one behind it. Files thus come from the commit protocol and reach any store that Spark writes to.
 
-The reader checks every member (compression, checksum), the version line, the lengths and the block's digest. After a
-failed check it looks for the next place where a member or a version line begins a record that passes all checks, goes on
-there and logs the bytes between as a quarantined gap.
+The reader checks every member (compression, checksum), the version line, the lengths and the block's digest (MD5, SHA-1 or
+SHA-256, in hex or base32). A member may hold many records. After a failed check it looks for the next place where a member
+or a version line begins a record that passes all checks, goes on there and logs the bytes between as a quarantined gap;
+inside a member it does the same and logs them by their place in what the member inflates to. A head is looked for up to the
+next version line only, so that the time is linear in the archive. What inflates beyond ``LARGEST`` bytes is a gap.
 
 Defined cases: a null payload is empty, a null address gives a record without one; records of equal payloads of at least
 ``MIN_BYTES`` refer to the one with the smallest key (null keys last, one of equal rows); an empty table gives archives
-without such records; other columns are not looked at.
+without such records; a payload of any length is written and read whole, up to what one row can hold (2 GB, and ``LARGEST``
+for the reader); other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -36,6 +40,9 @@ LEVEL = 6
 #: Bytes that the decompressor gets at a time, and of payloads that the reader gathers.
 FEED, GATHERED = 1 << 14, 1 << 23
 
+#: Bytes that one member may inflate to: a member of a few kB can hold gigabytes of one letter, and would end an executor.
+LARGEST = 1 << 30
+
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -123,90 +130,105 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
 
 @dataclass
 class Record:
+    """``inside`` is the record's place in what its member, from ``start`` to ``end``, inflates to."""
+
     start: int
     end: int
     headers: dict[str, str]
     block: bytes
+    inside: int = 0
 
 
 @dataclass
 class Gap:
+    """Quarantined bytes; ``inside`` is their range in what the member, from ``start`` to ``end``, inflates to."""
+
     start: int
     end: int
     reason: str
+    inside: tuple[int, int] | None = None
 
 
 def _inflated(data: bytes, at: int) -> tuple[bytes, int] | str:
-    packer, out, to = zlib.decompressobj(31), [], at
+    packer, out, to, size = zlib.decompressobj(31), [], at, 0
     try:
         while not packer.eof:
             if to >= len(data):
                 return "member is cut off"
             out.append(packer.decompress(data[to : to + FEED]))
-            to += FEED
+            to, size = to + FEED, size + len(out[-1])
+            if size > LARGEST:
+                return "member is too large"
     except zlib.error:
         return "member does not inflate"
     return b"".join(out), min(to, len(data)) - len(packer.unused_data)
 
 
-def _parsed(data: bytes, at: int, start: int, end: int | None) -> Record | str:
-    """The record whose version line is at ``at``; ``end`` is that of the member around it."""
-    line = re.compile(rb"WARC/1\.[01]\r\n").match(data, at)
+def _parsed(data: bytes, at: int) -> Record | str:
+    """The record whose version line is at ``at``."""
+    line = LINE.match(data, at)
     if not line:
         return "no version line"
-    stop = data.find(b"\r\n\r\n", line.end() - 2)
+    further = data.find(b"\nWARC/", line.end() - 1)
+    stop = data.find(b"\r\n\r\n", line.end() - 2, further if further >= 0 else len(data))
     if stop < 0:
         return "headers do not end"
     headers = dict(re.findall(r"^([^:\r\n]+):[ \t]*([^\r\n]*)", data[line.end() : stop].decode("utf-8", "replace"), re.M))
     headers = {k.lower(): v for k, v in headers.items()}
-    if not headers.get("content-length", "").isdigit():
+    length = headers.get("content-length", "")
+    if not re.fullmatch("[0-9]{1,18}", length):
         return "no length"
-    upto = stop + 4 + int(headers["content-length"])
+    upto = stop + 4 + int(length)
     block = data[stop + 4 : upto]
-    if data[upto : upto + 4] != b"\r\n\r\n" or (end is not None and len(data) != upto + 4):
+    if data[upto : upto + 4] != b"\r\n\r\n":
         return "length does not fit"
-    kind, _, digest = headers.get("warc-block-digest", "").partition(":")
-    if kind in ("md5", "sha256") and digest != hashlib.new(kind, block).hexdigest():
-        return "block digest does not fit"
-    return Record(start, upto + 4 if end is None else end, headers, block)
+    kind, _, stated = headers.get("warc-block-digest", "").partition(":")
+    if (kind := kind.strip().lower().replace("-", "")) in ("md5", "sha1", "sha256"):
+        digest, stated = hashlib.new(kind, block), stated.strip()
+        if stated.lower() != digest.hexdigest() and stated.upper().rstrip("=") != base64.b32encode(digest.digest()).decode().rstrip("="):
+            return "block digest does not fit"
+    return Record(at, upto + 4, headers, block)
 
 
-def _at(data: bytes, at: int) -> Record | int | str:
-    """The record at a place, the end of an empty member, or what is wrong."""
-    if data[at : at + 3] == b"\x1f\x8b\x08":
+def _at(data: bytes, at: int, packed: bool) -> tuple[list[Record | Gap], int] | str:
+    """The records at a place and where they end, or what is wrong."""
+    if packed and data[at : at + 3] == b"\x1f\x8b\x08":
         found = _inflated(data, at)
         if isinstance(found, str):
             return found
-        return _parsed(found[0], 0, at, found[1]) if found[0] else found[1]
+        whole, end = found
+        held = list(salvaged(whole, packed=False))
+        if whole and not any(isinstance(x, Record) for x in held):
+            return held[0].reason if held else "empty member"
+        return [Record(at, end, x.headers, x.block, x.start) if isinstance(x, Record) else Gap(at, end, x.reason, (x.start, x.end)) for x in held], end
     if data[at : at + 5] == b"WARC/":
-        return _parsed(data, at, at, None)
-    return "no member or version line"
+        found = _parsed(data, at)
+        return found if isinstance(found, str) else ([found], found.end)
+    return "no member or version line" if packed else "no version line"
 
 
-BEGIN = re.compile(rb"\x1f\x8b\x08|(?<=\n)WARC/1\.")
+LINE = re.compile(rb"WARC/(?:1\.[01]|0\.1[78])\r\n")
+BEGIN, BEGIN_PLAIN = re.compile(rb"\x1f\x8b\x08|(?<=\n)WARC/[01]\."), re.compile(rb"(?<=\n)WARC/[01]\.")
 
 
-def salvaged(data: bytes) -> Iterator[Record | Gap]:
-    """All records that pass their checks, and the gaps between them."""
+def salvaged(data: bytes, packed: bool = True) -> Iterator[Record | Gap]:
+    """All records that pass their checks, and the gaps between them; ``packed`` data may hold members."""
     at, gap = 0, None
     while at < len(data):
         if gap is None and data[at] == 0:  # padding after a member
             at += 1
             continue
-        found = _at(data, at)
-        if isinstance(found, str) or (isinstance(found, int) and gap):
+        found = _at(data, at, packed)
+        if isinstance(found, str) or (gap and not found[0]):
             gap = gap or Gap(at, at, found if isinstance(found, str) else "empty member")
-            again = BEGIN.search(data, at + 1)
+            again = (BEGIN if packed else BEGIN_PLAIN).search(data, at + 1)
             at = again.start() if again else len(data)
             continue
         if gap:
             yield Gap(gap.start, at, gap.reason)
             gap = None
-        if isinstance(found, int):
-            at = found
-        else:
-            yield found
-            at = found.end
+        yield from found[0]
+        at = found[1]
     if gap:
         yield Gap(gap.start, len(data), gap.reason)
 
@@ -249,11 +271,16 @@ def payloads(records: DataFrame) -> DataFrame:
 
     A revisit whose response is lost has its stated digest and no length.
     """
-    known = records.where("problem IS NULL AND record_type IN ('response', 'revisit')")
-    size, digest = F.octet_length("payload").cast("long"), F.unhex(F.sha2("payload", 256))
-    responses = known.where("record_type = 'response'").select("record_id", "key", size.alias("payload_bytes"), digest.alias("payload_digest"))
-    revisits = known.where("record_type = 'revisit'").select("key", F.col("refers_to").alias("record_id"), "stated_digest")
+    response = F.col("record_type") == "response"
+    # archives are read once: what is kept of a record is its key, short digests of the ids that join, and what it says
+    short = lambda c: F.unhex(F.md5(F.col(c).cast("binary")))
+    known = stored(records.where("problem IS NULL AND record_type IN ('response', 'revisit')").select(
+        "record_type", "key", F.when(response, short("record_id")).otherwise(short("refers_to")).alias("record_id"),
+        F.when(response, F.octet_length("payload").cast("long")).alias("payload_bytes"),
+        F.unhex(F.when(response, F.sha2("payload", 256)).otherwise(F.col("stated_digest"))).alias("payload_digest")))
+    responses = known.where("record_type = 'response'").select("record_id", "key", "payload_bytes", "payload_digest")
+    revisits = known.where("record_type = 'revisit'").select("key", "record_id", F.col("payload_digest").alias("stated_digest"))
     of = responses.select("record_id", F.col("key").alias("of"), "payload_bytes", "payload_digest")
-    told = revisits.join(of, "record_id", "left").select("key", "payload_bytes", F.coalesce("payload_digest", F.unhex("stated_digest")).alias("payload_digest"), F.lit("revisit").alias("record_type"), F.col("of").alias("refers_to"))
+    told = revisits.join(of, "record_id", "left").select("key", "payload_bytes", F.coalesce("payload_digest", "stated_digest").alias("payload_digest"), F.lit("revisit").alias("record_type"), F.col("of").alias("refers_to"))
     both = responses.select("key", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("string").alias("refers_to")).unionByName(told)
     return both.withColumn("payload_digest", F.lower(F.hex("payload_digest")))

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import random
 import tempfile
+import time
 from pathlib import Path
 
 from tallyrun.llm import warc
@@ -94,3 +96,37 @@ def test_large_members_end_in_zero():
     data = random.Random(1).randbytes(1 << 24) + b"abc"
     packed = warc.member(data) + b"\0"
     assert gzip.decompress(packed) == data
+
+
+def test_members_of_many_records():
+    plain = members(5, plain=True)
+    for parts in ([plain], [plain[:2], plain[2:3], plain[3:]]):
+        data = b"".join(warc.member(b"".join(p)) + b"\0" for p in parts)
+        assert read(data) == ([f"<{i}>" for i in range(5)], [])
+    hurt = plain[2][:-20] + bytes([plain[2][-20] ^ 1]) + plain[2][-19:]
+    found = list(warc.salvaged(warc.member(b"".join([*plain[:2], hurt, *plain[3:]])) + b"\0"))
+    assert [x.headers["warc-record-id"] for x in found if isinstance(x, warc.Record)] == ["<0>", "<1>", "<3>", "<4>"]
+    (gap,) = (x for x in found if isinstance(x, warc.Gap))
+    at = len(plain[0] + plain[1])
+    assert gap.inside == (at, at + len(hurt)) and gap.reason == "block digest does not fit"
+
+
+def test_digests_and_versions():
+    block = b"some bytes"
+    sha1, sha256 = hashlib.sha1(block), hashlib.sha256(block)
+    made = lambda stated, version=b"WARC/1.0": version + f"\r\nWARC-Record-ID: <1>\r\nWARC-Block-Digest: {stated}\r\nContent-Length: 10\r\n\r\n".encode() + block + b"\r\n\r\n"
+    for stated in ("sha1:" + base64.b32encode(sha1.digest()).decode(), "SHA-1:" + sha1.hexdigest(), "sha256:" + sha256.hexdigest().upper(), "sha256:" + base64.b32encode(sha256.digest()).decode(), "other:x"):
+        assert read(made(stated)) == (["<1>"], []) == read(made(stated, b"WARC/0.18")), stated
+        if stated[0] != "o":
+            assert read(made(stated[:10] + ("Z" if stated[10] != "Z" else "Y") + stated[11:]))[0] == []
+    assert read(made("x:y", b"WARC/2.0"))[0] == []
+
+
+def test_linear_and_bounded(monkeypatch):
+    start = time.process_time()
+    data = b"WARC/1.1\r\nWARC-Type: resource\r\n" * 100_000
+    assert read(data + b"\r\n\r\n") == ([], [(0, len(data) + 4)])
+    assert time.process_time() - start < 10
+    monkeypatch.setattr(warc, "LARGEST", 1 << 20)
+    big = gzip.compress(b"0" * (1 << 24))
+    assert read(big + members(1)[0]) == (["<0>"], [(0, len(big))])
