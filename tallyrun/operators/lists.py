@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import js_trim
+from ..session import stored
 from . import scan
 from .views import HISTORY
 
@@ -18,17 +19,26 @@ def rows_by_key(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids.select(key).distinct(), key, "left_semi")
 
 
+def page_table(complete: DataFrame) -> DataFrame:
+    """Complete runs as a stored table in the order of players' lists, in which a page reads the files and row groups up
+    to its cursor only."""
+    return stored(complete.repartitionByRange("player_id", "written_at").sortWithinPartitions("player_id", "written_at", "id"))
+
+
 def page(
-    complete: DataFrame, scenario_id: int | None = None, before: tuple | None = None, size: int = PAGE
+    complete: DataFrame, scenario_id: int | None = None, before: tuple | None = None, size: int = PAGE, player_id: int | None = None
 ) -> DataFrame:
     """The newest runs, one more than ``size`` as the sign that another page follows.
 
     ``before`` is the ``(written_at, id)`` of the last row already shown. Rows past ``size`` are marked ``ahead``.
     """
-    rows = complete if scenario_id is None else complete.where(F.col("scenario_id") == scenario_id)
+    rows = complete if player_id is None else complete.where(F.col("player_id") == player_id)
+    if scenario_id is not None:
+        rows = rows.where(F.col("scenario_id") == scenario_id)
     if before is not None:
         written, last = F.lit(before[0]), F.lit(before[1])
-        rows = rows.where(
+        # the first bound is implied, but only it reaches the scan
+        rows = rows.where(F.col("written_at") <= written).where(
             (F.col("written_at") < written) | ((F.col("written_at") == written) & (F.col("id") < last))
         )
     cut = rows.orderBy(F.col("written_at").desc(), F.col("id").desc()).limit(size + 1)
@@ -40,6 +50,12 @@ def page(
     )
 
 
+def cursor(shown: DataFrame, size: int = PAGE) -> tuple | None:
+    """The ``before`` of the page that follows a page of ``size``; None where there is none."""
+    last = shown.where(F.col("row_no") >= size).orderBy("row_no").select("row_no", "written_at", "id").take(2)
+    return (last[0]["written_at"], last[0]["id"]) if len(last) == 2 else None
+
+
 def with_history(complete: DataFrame) -> DataFrame:
     """Adds the last score that was recorded and the best one, both before each run."""
     score = F.col("score")

@@ -61,6 +61,21 @@ def _before_last(s, d):
     return lists.paged(complete(s, d)).where("row_no = 1 + player_id % 2").select("player_id", "written_at", "id")
 
 
+def _second_page(by, size=20):
+    """The page after the first in the longest list; the cursor is what a reader of the first page holds."""
+
+    def frame(s, d):
+        rows = lists.page_table(complete(s, d))
+        longest = rows.groupBy(*by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *by).first()
+        if longest is None:
+            return lists.page(rows, size=size)
+        whose = {c: longest[c] for c in by}
+        at = lists.cursor(lists.page(rows, size=size, **whose), size)
+        return lists.page(rows, size=size, before=at, **whose) if at else lists.page(rows.limit(0), size=size)
+
+    return frame
+
+
 def _pages_twice(s, d):
     pages = lists.paged(complete(s, d))
     return lists.merge_pages(pages.unionByName(pages.withColumn("page_no", F.col("page_no") + 1)))
@@ -96,6 +111,10 @@ def queries() -> list[Query]:
             FROM (SELECT *, row_number() OVER (ORDER BY written_at DESC, id DESC) AS row_no FROM ({past})) p
             JOIN m_config c USING (config_id) JOIN (SELECT player_id, id, session_first_run_id FROM m_session) s USING (player_id, id)
             WHERE row_no <= 51""")
+    for name, by in (("L1_page_by_cursor", ["player_id"]), ("L1_scenario_page_by_cursor", ["player_id", "scenario_id"])):
+        add(name, "id:i file_stem:s player_id:i scenario_id:i score:d written_at:t row_no:i ahead:b", _second_page(by),
+            f"""SELECT * EXCLUDE (row_no), row_no - 20 AS row_no, row_no > 40 AS ahead FROM (SELECT *, row_number() OVER (ORDER BY written_at DESC, id DESC) AS row_no FROM m_complete
+                JOIN (SELECT {", ".join(by)} FROM m_complete GROUP BY ALL ORDER BY count(*) DESC, {", ".join(by)} LIMIT 1) USING ({", ".join(by)})) WHERE row_no BETWEEN 21 AND 41""")
     add("L2_previous_score", "player_id:i id:i prev_score:d", lambda s, d: lists.with_history(complete(s, d)), past)
     add("L3_best_before", "player_id:i id:i pb_before:d", lambda s, d: lists.with_history(complete(s, d)), past)
     add("L4_session_name", "player_id:i id:i session_first_run_id:i", session, "SELECT * FROM m_session")
