@@ -30,14 +30,6 @@ def tick_rows(series_rows: DataFrame, metrics: list[str], key: str = "run_id") -
     return spread.select(key, "tick_no", "tick.t", *(f"tick.{m}" for m in metrics))
 
 
-def tick_rows_of_arrays(series_rows: DataFrame, metrics: list[str], key: str = "run_id") -> DataFrame:
-    """The same from one array per metric, where a null array means the metric does not apply."""
-    blank = F.array_repeat(F.lit(None).cast("double"), F.size("t"))
-    filled = series_rows.select(key, "t", *(F.coalesce(m, blank).alias(m) for m in metrics))
-    rows = filled.select(key, F.posexplode(F.arrays_zip("t", *metrics)).alias("tick_no", "tick"))
-    return rows.select(key, "tick_no", "tick.t", *(f"tick.{m}" for m in metrics))
-
-
 def kill_rows(kills: DataFrame, runs: DataFrame) -> DataFrame:
     """Kills with ratios and their offset from the run's start; the offset is not unwrapped at midnight."""
     owner = runs.select(F.col("id").alias("run_id"), "player_id", "scenario_id", "start_ms")
