@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ladder as rank
+from ..functions.faults import fault, told
 from ..functions.text import INTEGER_LIKE, family, js_trim, number, season, share_code
 
 CATEGORY = "array<struct<categoryName:string,color:string,subcategories:array<struct<subcategoryName:string,scenarioCount:double,color:string>>>>"
@@ -46,8 +47,8 @@ def rank_name_problems(rows: DataFrame) -> DataFrame:
 def require_rank_names(rows: DataFrame) -> DataFrame:
     """The same rows; reading one with an integer-like rank name fails."""
     bad = F.exists("ranks", lambda r: r.rlike(INTEGER_LIKE))
-    told = F.concat(F.lit("integer-like rank name in "), F.col("name"))
-    checked = F.when(bad, F.raise_error(told).cast("array<string>")).otherwise(F.col("ranks"))
+    found = fault("rank.reads_as_number", key=F.col("name"), value=F.array_join("ranks", ","))
+    checked = F.when(bad, F.raise_error(told(found)).cast("array<string>")).otherwise(F.col("ranks"))
     return rows.withColumn("ranks", checked)
 
 
@@ -65,7 +66,7 @@ def listed_scenarios(responses: DataFrame) -> DataFrame:
 
 
 def build(index: DataFrame, responses: DataFrame) -> dict[str, DataFrame]:
-    """``benchmark``, ``ladder``, ``tree_slot``, and what was left out: ``skipped`` and ``treeless``."""
+    """``benchmark``, ``ladder``, ``tree_slot``, and what was left out: ``skipped``, with the fault, and ``treeless``."""
     rows = require_rank_names(difficulties(index))
     flat = listed_scenarios(responses)
     # The first of equal names counts.
@@ -75,21 +76,21 @@ def build(index: DataFrame, responses: DataFrame) -> dict[str, DataFrame]:
         F.array_sort(F.collect_set(F.size("thresholds"))).alias("lengths"), F.count(F.lit(1)).alias("scenarios")
     )
     checked = rows.join(lengths, "benchmark_id", "left")
-    where = F.concat(F.col("name"), F.lit(" · "), F.col("difficulty"), F.lit(" ("), F.col("benchmark_id").cast("string"), F.lit(")"))
-    size = F.size("ranks")
-    uneven = F.concat(size.cast("string"), F.lit(" rank colours but rank_maxes of length "), F.array_join(F.transform("lengths", lambda x: x.cast("string")), "/"))
-    problem = F.when(F.coalesce("scenarios", F.lit(0)) == 0, F.lit("no scenarios")).when(
-        (F.size("lengths") != 1) | (F.get("lengths", F.lit(0)) != size), uneven
+    size, about = F.size("ranks"), ["benchmark_id", "name", "difficulty"]
+    found = F.array_join(F.transform("lengths", lambda x: x.cast("string")), ",")
+    problem = F.when(F.coalesce("scenarios", F.lit(0)) == 0, fault("benchmark.empty")).when(
+        (F.size("lengths") != 1) | (F.get("lengths", F.lit(0)) != size), fault("benchmark.uneven", key=size, value=found)
     )
-    told = checked.withColumn("where", where).withColumn("problem", problem)
-    usable = told.where("problem IS NULL").drop("problem")
-    rated = named.join(usable.select("benchmark_id", "where"), "benchmark_id").withColumn("problem", rank.ladder_problem(F.col("thresholds")))
+    judged = checked.withColumn("problem", problem)
+    usable = judged.where("problem IS NULL").drop("problem")
+    rated = named.join(usable.select(*about), "benchmark_id").withColumn("problem", rank.ladder_problem(F.col("thresholds")))
     ladder = rated.where("problem IS NULL").select("benchmark_id", "scenario_name", "pos", "thresholds")
     kept = usable.join(ladder.select("benchmark_id").distinct(), "benchmark_id", "left_semi")
     bad = rated.where("problem IS NOT NULL")
-    skipped = told.where("problem IS NOT NULL").select("benchmark_id", F.concat("where", F.lit(": "), "problem").alias("reason")).unionByName(
-        bad.select("benchmark_id", F.concat("where", F.lit(': "'), "scenario_name", F.lit('" has '), "problem").alias("reason"))
-    )
+    at = F.array_join(F.transform("thresholds", lambda t: F.coalesce(t.cast("string"), F.lit("?"))), ",")
+    skipped = judged.where("problem IS NOT NULL").select(*about, "problem.*").unionByName(
+        bad.select(*about, fault(F.col("problem"), key=F.col("scenario_name"), value=at).alias("problem")).select(*about, "problem.*")
+    ).drop("line")
     slots, treeless = tree(kept, flat)
     return {"benchmark": kept, "ladder": candidate_order(ladder, kept), "tree_slot": slots, "skipped": skipped, "treeless": treeless}
 
@@ -115,7 +116,7 @@ def tree(benchmark: DataFrame, flat: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.sum(count).alias("counted"), F.every((count >= 0) & (count == F.floor(count))).alias("whole")
     )
     size = flat.groupBy("benchmark_id").agg(F.count(F.lit(1)).alias("slots"))
-    judged = benchmark.select("benchmark_id", "where").join(fits, "benchmark_id", "left").join(size, "benchmark_id")
+    judged = benchmark.select("benchmark_id", "name", "difficulty").join(fits, "benchmark_id", "left").join(size, "benchmark_id")
     adds_up = F.coalesce(F.col("whole") & (F.col("counted") == F.col("slots")), F.lit(False))
     good = judged.where(adds_up).select("benchmark_id")
     # Each subcategory names the positions it covers, which makes the slice an equi join.
@@ -127,7 +128,7 @@ def tree(benchmark: DataFrame, flat: DataFrame) -> tuple[DataFrame, DataFrame]:
         "slot_no", (F.col("pos") - F.col("from")).cast("int")
     )
     slots = slots.select("benchmark_id", "cat_no", "sub_no", "slot_no", "category", "subcategory", "scenario_name")
-    return slots, judged.where(~adds_up).select("benchmark_id", "where")
+    return slots, judged.where(~adds_up).select("benchmark_id", "name", "difficulty", "counted", "slots")
 
 
 def content_hash(benchmark: DataFrame, ladder: DataFrame) -> DataFrame:

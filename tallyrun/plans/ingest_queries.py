@@ -116,9 +116,10 @@ def queries() -> list[Query]:
         f"""SELECT id, n AS kills, id % 5 AS deaths, hits AS hit_count, shots - hits AS miss_count, CASE WHEN id % 27 <> 0 THEN coalesce(score, 0) END AS score,
               CASE WHEN abort THEN '' ELSE 'Duel ' || scenario_id END AS scenario, CASE WHEN abort THEN '' ELSE md5(CAST(scenario_id AS VARCHAR)) END AS hash,
               '3.' || (id % 3) AS game_version, 20 + id % 4 AS horiz_sens, true AS hide_gun, 100 + id % 90 AS avg_fps FROM ({DOC})""")
-    add("I9_quarantine", "player_id:i name:s error:s", lambda s, d: stats_document.quarantine(classified(s, d), ["player_id"]),
-        f"""SELECT player_id, stem || ' Stats.csv' AS name, CASE WHEN id % 27 = 0 THEN 'missing key "Score:"' ELSE 'kill row 1: expected 13 cells' END AS error
-            FROM ({DOC}) WHERE failed""")
+    add("I9_quarantine", "player_id:i name:s code:s line:i key:s value:s error:s", lambda s, d: stats_document.quarantine(classified(s, d), ["player_id"]),
+        f"""SELECT player_id, stem || ' Stats.csv' AS name, CASE WHEN id % 27 = 0 THEN 'key.absent' ELSE 'kill.width' END AS code,
+              CASE WHEN id % 27 <> 0 THEN 2 END AS line, CASE WHEN id % 27 = 0 THEN 'Score' END AS key, CASE WHEN id % 27 <> 0 THEN '12' END AS value,
+              CASE WHEN id % 27 = 0 THEN 'key.absent key=Score' ELSE 'kill.width line=2 value=12' END AS error FROM ({DOC}) WHERE failed""")
     add("I15_classified", "id:i kind:s written_at:t started_at:t start_ms:i duration_s:d", classified,
         f"""SELECT id, CASE WHEN abort THEN 'abort' WHEN is_reset THEN 'reset' ELSE 'complete' END AS kind, written_at + INTERVAL 999 MILLISECOND AS written_at,
               CASE WHEN NOT abort AND NOT is_reset THEN started_at END AS started_at, CASE WHEN NOT abort AND NOT is_reset THEN start_ms END AS start_ms,
@@ -228,7 +229,7 @@ def queries() -> list[Query]:
     add("I10_decoded", "run_id:i scenario_name:s challenge_start_ms:i bots:i events:i", heads, head_sql)
     add("I11_absent_as_null", "run_id:i time_limit:d timescale:d lives:i", heads, head_sql)
     add("I12_unknown_events", "run_id:i error:s", lambda s, d: performance.known_only(decoded(s, d), ["run_id"])[1],
-        "SELECT DISTINCT run_id, 'unknown event type target_size' AS error FROM m_tick WHERE run_id % 17 = 0")
+        "SELECT DISTINCT run_id, 'event.unknown key=target_size' AS error FROM m_tick WHERE run_id % 17 = 0")
     add("I13_tick_pivot", "run_id:i tick_no:i t:e shots_fired:d shots_hit:d damage_done:d score:e kills:d overshots:d deaths:d", read_ticks,
         "SELECT *, NULL AS deaths FROM m_tick WHERE run_id % 17 <> 0")
     add("I14_reported", "run_id:i has_score:b has_overshots:b has_deaths:b", lambda s, d: performance.reported(read_ticks(s, d), ["run_id"]),
@@ -248,17 +249,17 @@ def queries() -> list[Query]:
     d_sql = """SELECT n.*, b.name, b.family, b.season FROM nation n JOIN m_benchmark b ON b.benchmark_id = n.n_regionkey WHERE n_regionkey <> 4"""
     add("K4_family_season", "benchmark_id:i family:s season:d", diffs, f"SELECT n_nationkey AS benchmark_id, family, season FROM ({d_sql})")
     add("K5_share_codes", "benchmark_id:i sharecode:s", diffs, f"SELECT n_nationkey AS benchmark_id, CASE WHEN n_nationkey % 2 = 0 THEN 'KovaaKsRun' || n_nationkey END AS sharecode FROM ({d_sql})")
-    problem_sql = """SELECT n_nationkey AS benchmark_id, i AS pos, CASE WHEN i = 1 AND n_nationkey % 3 = 0 THEN 'decreasing thresholds' WHEN i = 2 AND n_nationkey % 4 = 0 THEN 'non-numeric thresholds'
-                       WHEN i = 2 AND n_nationkey % 5 = 0 THEN 'all thresholds equal' END AS problem, 'Strafe ' || ((n_nationkey + i) % 7) AS scenario_name FROM nation, range(4) r(i) WHERE n_nationkey <> 11"""
+    problem_sql = """SELECT n_nationkey AS benchmark_id, i AS pos, CASE WHEN i = 1 AND n_nationkey % 3 = 0 THEN 'ladder.falls' WHEN i = 2 AND n_nationkey % 4 = 0 THEN 'ladder.not_number'
+                       WHEN i = 2 AND n_nationkey % 5 = 0 THEN 'ladder.flat' END AS problem, 'Strafe ' || ((n_nationkey + i) % 7) AS scenario_name FROM nation, range(4) r(i) WHERE n_nationkey <> 11"""
     add("K6_ladder_problems", "benchmark_id:i pos:i problem:s",
         lambda s, d: catalogue.listed_scenarios(fixtures.catalogue_responses(s, d)).withColumn("problem", rank.ladder_problem(F.col("thresholds"))), problem_sql)
     usable = f"SELECT p.* FROM ({problem_sql}) p JOIN ({d_sql}) d ON d.n_nationkey = p.benchmark_id WHERE p.benchmark_id NOT IN (7, 11) AND problem IS NULL"
     add("K7_catalogue_ladders", "benchmark_id:i scenario_name:s pos:i top:d", lambda s, d: built(s, d)["ladder"].withColumn("top", F.element_at("thresholds", -1)),
         f"SELECT *, (10 + benchmark_id + pos) * 8 AS top FROM ({usable})")
-    add("K7_catalogue_skipped", "benchmark_id:i reason:s", lambda s, d: built(s, d)["skipped"],
-        f"""SELECT benchmark_id, where_ || CASE WHEN benchmark_id = 11 THEN ': no scenarios' ELSE ': 4 rank colours but rank_maxes of length 1/4' END AS reason FROM (
-              SELECT n_nationkey AS benchmark_id, name || ' · ' || n_name || ' (' || n_nationkey || ')' AS where_ FROM ({d_sql}) WHERE n_nationkey IN (7, 11))
-            UNION ALL SELECT p.benchmark_id, d.name || ' · ' || n_name || ' (' || n_nationkey || '): "' || scenario_name || '" has ' || problem FROM ({problem_sql}) p
+    add("K7_catalogue_skipped", "benchmark_id:i name:s difficulty:s code:s key:s", lambda s, d: built(s, d)["skipped"],
+        f"""SELECT n_nationkey AS benchmark_id, name, n_name AS difficulty, CASE WHEN n_nationkey = 11 THEN 'benchmark.empty' ELSE 'benchmark.uneven' END AS code,
+              CASE WHEN n_nationkey = 7 THEN '4' END AS key FROM ({d_sql}) WHERE n_nationkey IN (7, 11)
+            UNION ALL SELECT p.benchmark_id, d.name, n_name AS difficulty, problem AS code, scenario_name AS key FROM ({problem_sql}) p
               JOIN ({d_sql}) d ON d.n_nationkey = p.benchmark_id WHERE problem IS NOT NULL AND p.benchmark_id NOT IN (7, 11)""")
     add("K7_treeless", "benchmark_id:i", lambda s, d: built(s, d)["treeless"], f"SELECT n_nationkey AS benchmark_id FROM ({d_sql}) WHERE n_nationkey % 6 = 0")
     add("K8_rank_name_problems", "benchmark_id:i rank:s",

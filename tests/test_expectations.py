@@ -219,7 +219,7 @@ def test_names(spark):
 
 def test_integer_like_rank_name_fails_the_build(spark):
     rows = spark.createDataFrame([("x", ["Iron", "10"])], "name string, ranks array<string>")
-    with pytest.raises(Exception, match="integer-like"):
+    with pytest.raises(Exception, match="rank.reads_as_number key=x value=Iron,10"):
         catalogue.require_rank_names(rows).collect()
 
 
