@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scan
@@ -40,63 +40,75 @@ def bot_rollup(kills: DataFrame) -> DataFrame:
 
 
 def percentiles_of_others(
-    df: DataFrame, keys: Sequence[str], owner: str, value: str, points: dict[str, float]
+    df: DataFrame, keys: Sequence[str], owner: str, wanted: dict[str, dict[str, float]], others: str = "others", hot: scan.Hot | None | str = "auto"
 ) -> DataFrame:
     """Per group and owner, exact percentiles over the group's values that belong to other owners.
 
-    Values are numbered once along each group. Leaving an owner's own values out moves a position by how many of them
-    lie at or below it, so each percentile is two lookups by position and no owner is paired with the others' rows.
+    ``wanted`` gives the percentiles of each value column: ``{column: {name: point}}``; ``others`` counts the others' values
+    of the first column. All columns are numbered in one pass, each along its own group. Leaving an owner's own values out
+    moves a position by how many of them lie at or below it: an own value at position a that has i own ones below it moves
+    every rank from a - i on. So a percentile is a count of these and two lookups by position; no owner is paired with the
+    others' rows, and none gathers its own.
     """
-    keys = list(keys)
-    present = df.where(F.col(value).isNotNull()).select(*keys, owner, value)
-    order = [value, owner]
-    hot = scan.hot_groups(present, keys, value)
-    placed = scan.running(present, keys, order, hot, _at=scan.position()).withColumn("_at", F.col("_at") - 1)
-    size = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    own = placed.groupBy(*keys, owner).agg(F.array_sort(F.collect_list("_at")).alias("_own"))
-    owners = df.select(*keys, owner).distinct().join(own, [*keys, owner], "left").join(size, keys)
-    asked = owners.withColumn("_own", F.coalesce("_own", F.array().cast("array<int>"))).withColumn(
-        "_m", F.col("_n") - F.size("_own")
+    keys, columns = list(keys), list(wanted)
+    long = df.select(*keys, owner, F.inline(F.array(*(F.struct(F.lit(i).alias("_of"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)))))
+    group = [*keys, "_of"]
+    if hot == "auto":
+        hot = scan.hot_groups(df, keys)
+    # Rows without a value come last in their group, so that positions count values only and every owner stays.
+    flagged = long.withColumn("_none", F.col("_v").isNull().cast("int")).withColumn("_key", F.coalesce("_v", F.lit(0.0)))
+    placed = scan.running(flagged, group, ["_none", "_key", owner], hot, _at=scan.position())
+    moved = scan.running(placed, [*group, owner], ["_at"], hot, _nth=scan.position()).withColumn("_from", F.col("_at") - F.col("_nth"))
+    # One row per owner: how many own values move each rank that a percentile reads.
+    points = [(i, name, p) for i, c in enumerate(columns) for name, p in wanted[c].items()]
+    rows = _sized(moved, group, owner, hot)
+    place = lambda p: (F.col("_n") - F.col("_own") - 1) * p
+    ends = [(i, name, p, end, at) for i, name, p in points for end, at in (("lo", F.floor), ("hi", F.ceil))]
+    ranks = rows.groupBy(*group, owner).agg(
+        F.first(F.col("_n") - F.col("_own")).alias("_m"),
+        *(F.count_if((F.col("_of") == i) & F.col("_v").isNotNull() & (F.col("_from") <= at(place(p)))).alias(f"_{name}_{end}") for i, name, p, end, at in ends),
     )
-
-    def shifted(rank):
-        return F.aggregate("_own", rank.cast("bigint"), lambda j, q: F.when(q <= j, j + 1).otherwise(j))
-
-    wanted = []
-    for name, p in points.items():
-        place = (F.col("_m") - 1) * p
-        share = place - F.floor(place)
-        wanted.append(F.struct(F.lit(name).alias("name"), (1 - share).alias("part"), shifted(F.floor(place)).alias("at")))
-        wanted.append(F.struct(F.lit(name).alias("name"), share.alias("part"), shifted(F.ceil(place)).alias("at")))
-    looked = (
-        asked.where("_m > 0")
-        .select(*keys, owner, F.col("_m").alias("others"), F.explode(F.array(*wanted)).alias("_w"))
-        .select(*keys, owner, "others", "_w.name", "_w.part", F.col("_w.at").alias("_at"))
+    at_m = lambda p: (F.col("_m") - 1) * p
+    looks = F.array(*(
+        F.struct(F.lit(i).alias("of"), F.lit(name).alias("name"),
+                 (at_m(p) - F.floor(at_m(p)) if end == "hi" else 1 - at_m(p) + F.floor(at_m(p))).alias("part"),
+                 (at(at_m(p)) + F.col(f"_{name}_{end}") + 1).alias("at"))
+        for i, name, p, end, at in ends
+    ))
+    looked = ranks.where("_m > 0").select(*group, owner, "_m", F.explode(F.filter(looks, lambda w: w["of"] == F.col("_of"))).alias("_w")).select(
+        *group, owner, "_m", "_w.name", "_w.part", F.col("_w.at").cast("bigint").alias("_at")
     )
-    found = looked.join(placed.select(*keys, F.col("_at").cast("bigint").alias("_at"), value), [*keys, "_at"])
-    mix = {n: F.sum(F.when(F.col("name") == n, F.col("part") * F.col(value))).alias(n) for n in points}
-    return found.groupBy(*keys, owner, "others").agg(*mix.values())
+    found = looked.join(placed.where("_none = 0").select(*group, F.col("_at").cast("bigint").alias("_at"), "_v"), [*group, "_at"])
+    mix = (F.sum(F.when((F.col("_of") == i) & (F.col("name") == name), F.col("part") * F.col("_v"))).alias(name) for i, name, p in points)
+    return found.groupBy(*keys, owner).agg(F.max(F.when(F.col("_of") == 0, F.col("_m"))).alias(others), *mix)
+
+
+def _sized(placed: DataFrame, group: list[str], owner: str, hot: scan.Hot | None) -> DataFrame:
+    """Adds how many values the group (``_n``) and the owner (``_own``) have; groups too large for a window are counted first."""
+    if hot is None:
+        sizes = {"_n": Window.partitionBy(*group), "_own": Window.partitionBy(*group, owner)}
+        return placed.withColumns({name: F.count("_v").over(over) for name, over in sizes.items()})
+    own = placed.groupBy(*group, owner).agg(F.count("_v").alias("_own"))
+    size = own.groupBy(*group).agg(F.sum("_own").alias("_n"))
+    return placed.join(own, [*group, owner]).join(size, group)
 
 
 def bot_breakdown(rollup: DataFrame, complete: DataFrame) -> DataFrame:
     """Each run's bots against the scenario's other runs: percentiles of the other runs' means."""
     owner = complete.select(F.col("id").alias("run_id"), *HISTORY)
     mine = rollup.join(owner, "run_id").withColumn("accuracy", F.col("hits") / F.nullif(F.col("shots"), F.lit(0)))
-    group = [*HISTORY, "bot"]
-    ttk = percentiles_of_others(
-        mine, group, "run_id", "avg_ttk", {"p50_ttk": 0.5, "p90_ttk": 0.9, "best_ttk": 0.0}
-    ).withColumnRenamed("others", "runs")
-    aim = percentiles_of_others(
-        mine, group, "run_id", "accuracy", {"p50_accuracy": 0.5, "p90_accuracy": 0.9, "best_accuracy": 1.0}
-    ).drop("others")
-    by = [*group, "run_id"]
-    shown = mine.select(*by, "kills", "avg_ttk", "accuracy")
-    return shown.join(ttk, by, "left").join(aim, by, "left")
+    by = [*HISTORY, "bot", "run_id"]
+    told = percentiles_of_others(
+        mine, by[:-1], "run_id",
+        {"avg_ttk": {"p50_ttk": 0.5, "p90_ttk": 0.9, "best_ttk": 0.0}, "accuracy": {"p50_accuracy": 0.5, "p90_accuracy": 0.9, "best_accuracy": 1.0}},
+        "runs",
+    )
+    return mine.select(*by, "kills", "avg_ttk", "accuracy").join(told, by, "left")
 
 
 def kill_breakdown(kills: DataFrame) -> DataFrame:
     """Each run's bots against single kills of the scenario's other runs."""
-    return percentiles_of_others(kills, [*HISTORY, "bot"], "run_id", "ttk", {"p50_ttk": 0.5, "p90_ttk": 0.9, "best_ttk": 0.0})
+    return percentiles_of_others(kills, [*HISTORY, "bot"], "run_id", {"ttk": {"p50_ttk": 0.5, "p90_ttk": 0.9, "best_ttk": 0.0}})
 
 
 def pb_timeline(progress: DataFrame) -> DataFrame:
