@@ -7,8 +7,6 @@ categories. "provisional" counts what was played, "strict" counts the unplayed a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +21,11 @@ STALE_DAYS = 30
 
 
 def tree(slots: DataFrame, ladder: DataFrame, flat_for: DataFrame | None = None) -> DataFrame:
-    """Slots with their ladder, null where unrated. Benchmarks in ``flat_for`` without slots get one node of all ladders."""
+    """Slots with their ladder, null where unrated. Benchmarks in ``flat_for`` without slots get one node of all ladders.
+
+    Each slot carries how many rated members its subcategory, its category and the tree have, so that nothing that is
+    worked out per player needs to look them up again.
+    """
     if flat_for is not None:
         loose = flat_for.select("benchmark_id").join(slots, "benchmark_id", "left_anti")
         stand_in = ladder.join(loose, "benchmark_id", "left_semi").select(
@@ -33,7 +35,15 @@ def tree(slots: DataFrame, ladder: DataFrame, flat_for: DataFrame | None = None)
         )
         slots = slots.unionByName(stand_in)
     rated = ladder.select("benchmark_id", "scenario_name", "thresholds")
-    return slots.join(rated, ["benchmark_id", "scenario_name"], "left").withColumn("rated", F.col("thresholds").isNotNull())
+    found = slots.join(rated, ["benchmark_id", "scenario_name"], "left").withColumn("rated", F.col("thresholds").isNotNull())
+    held = lambda c: F.when(F.col("rated"), F.col(c))
+    whole = Window.partitionBy("benchmark_id")
+    sized = found.withColumns({
+        "scenarios_in_tree": F.size(F.collect_set(held("scenario_name")).over(whole)),
+        "cats_in_tree": F.size(F.collect_set(held("cat_no")).over(whole)),
+    })
+    sized = sized.withColumn("subs_in_cat", F.size(F.collect_set(held("sub_no")).over(Window.partitionBy("benchmark_id", "cat_no"))))
+    return sized.withColumn("slots_in_sub", F.count(held("scenario_name")).over(Window.partitionBy("benchmark_id", "sub_no")))
 
 
 def node_scenarios(nodes: DataFrame) -> DataFrame:
@@ -64,37 +74,48 @@ def coverage(nodes: DataFrame, played: DataFrame) -> DataFrame:
     return mine.join(total, "benchmark_id").withColumn("is_full", F.col("scenarios_played") == F.col("scenarios"))
 
 
-def evaluate(nodes: DataFrame, ranks: DataFrame, mode: str, by: Sequence[str] = (), value: str = "r") -> DataFrame:
-    """Every node's value from ``ranks(player_id, benchmark_id, *by, scenario_name, r)``."""
-    who = [*WHO, *by]
-    slots = nodes.where("rated").select("benchmark_id", "cat_no", "sub_no", "slot_no", "scenario_name")
+def evaluate(nodes: DataFrame, ranks: DataFrame, mode: str, values: dict[str, str] | None = None) -> DataFrame:
+    """Every node's values from ``ranks(player_id, benchmark_id, scenario_name, …)``: ``{name: column of ranks}``, all of
+    them in one pass.
+
+    The slots of a player's tree are brought together once; they are no more than the tree has, so every level is worked
+    out where they lie.
+    """
+    values = values or {"value": "r"}
+    slots = nodes.where("rated").select("benchmark_id", "cat_no", "sub_no", "scenario_name")
+    mine = ranks.select(*WHO, "scenario_name", *(F.col(c).alias(n) for n, c in values.items()))
     if mode == "strict":
-        asked = ranks.select(*who).distinct().join(slots, "benchmark_id")
-        filled = asked.join(ranks.select(*who, "scenario_name", value), [*who, "scenario_name"], "left")
-        filled = filled.withColumn(value, F.coalesce(value, F.lit(0.0)))
+        asked = mine.select(*WHO).distinct().join(slots, "benchmark_id")
+        filled = asked.join(mine, [*WHO, "scenario_name"], "left").fillna(0.0, list(values))
     else:
-        filled = slots.join(ranks.select(*who, "scenario_name", value), ["benchmark_id", "scenario_name"])
-    # Each level keeps the nodes below it as an array no longer than the tree, so the levels are computed once.
-    subs = filled.groupBy(*who, "cat_no", "sub_no").agg(F.avg(value).alias("v"))
-    cats = subs.groupBy(*who, "cat_no").agg(
-        rank.shifted_mean(F.col("v")).alias("v"), F.collect_list(_node("subcategory", F.col("sub_no"), F.col("v"))).alias("below")
-    )
-    every = F.concat(F.array(_node("category", F.col("cat_no"), F.col("v"))), F.col("below"))
-    top = cats.groupBy(*who).agg(rank.shifted_mean(F.col("v")).alias("v"), F.flatten(F.collect_list(every)).alias("below"))
-    return top.select(*who, F.inline(F.concat(F.array(_node("overall", F.lit(0), F.col("v"))), F.col("below"))))
+        filled = slots.join(mine, ["benchmark_id", "scenario_name"])
 
+    def node(level: str, number: Column) -> Column:
+        return F.struct(F.lit(level).alias("level"), number.cast("int").alias("node_no"), *values)
 
-def _node(level: str, number: Column, value: Column) -> Column:
-    return F.struct(F.lit(level).alias("level"), number.cast("int").alias("node_no"), value.alias("value"))
+    # Each level keeps the nodes below it as an array no longer than the tree, so the levels are computed once.
+    means = [rank.shifted_mean(F.col(n)).alias(n) for n in values]
+    subs = filled.repartition(*WHO).groupBy(*WHO, "cat_no", "sub_no").agg(*(F.avg(n).alias(n) for n in values))
+    cats = subs.groupBy(*WHO, "cat_no").agg(*means, F.collect_list(node("subcategory", F.col("sub_no"))).alias("below"))
+    every = F.concat(F.array(node("category", F.col("cat_no"))), F.col("below"))
+    top = cats.groupBy(*WHO).agg(*means, F.flatten(F.collect_list(every)).alias("below"))
+    return top.select(*WHO, F.inline(F.concat(F.array(node("overall", F.lit(0))), F.col("below"))))
 
 
 # ---------------------------------------------------------------- the stream of rated runs
 
 
 def events(stream: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Runs of rated scenarios, once per benchmark whose tree holds the scenario."""
-    rated = nodes.where("rated").select("benchmark_id", "scenario_name", "thresholds").distinct()
-    return stream.join(rated, "scenario_name").select(*WHO, "scenario_name", "scenario_id", "id", "t", "score", "thresholds")
+    """Runs of rated scenarios, once per benchmark whose tree holds the scenario, with its places in that tree."""
+    held = ["benchmark_id", "scenario_name"]
+    sizes = ["slots_in_sub", "subs_in_cat", "cats_in_tree"]
+    places = nodes.where("rated").groupBy(*held, "cat_no", "sub_no").agg(
+        F.count(F.lit(1)).alias("w"), *(F.first(c).alias(c) for c in [*sizes, "thresholds"])
+    )
+    rated = places.groupBy(*held).agg(
+        F.first("thresholds").alias("thresholds"), F.collect_list(F.struct("cat_no", "sub_no", "w", *sizes)).alias("places")
+    )
+    return stream.join(rated, "scenario_name").select(*WHO, "scenario_name", "scenario_id", "id", "t", "score", "thresholds", "places")
 
 
 def played_stats(stream: DataFrame) -> DataFrame:
@@ -122,17 +143,18 @@ def as_of_ranks(run_events: DataFrame, window: int = FORM_WINDOW, hot: scan.Hot
     rolled = scan.rolling_median(run_events, keys, order, "score", window, "form", None, hot)
     best = scan.running(rolled, keys, order, hot, best=scan.highest(F.col("score")))
     return best.select(
-        *keys, *order,
+        *keys, *order, "places",
         rank.fractional_rank(F.col("thresholds"), F.col("best")).alias("r_pb"),
         rank.fractional_rank(F.col("thresholds"), F.col("form")).alias("r_form"),
     )
 
 
-def history(ranks: DataFrame, nodes: DataFrame, mode: str, hot: scan.Hot | None = None) -> DataFrame:
+def history(ranks: DataFrame, mode: str, hot: scan.Hot | None = None) -> DataFrame:
     """Every node's value after each run inside it.
 
     Each run changes one scenario's rank, so every level is a running sum of the changes one level below: no run is
-    combined with the other scenarios. Shifted means are averages of ``ln(1 + x)``, which also add up by changes.
+    combined with the other scenarios. Shifted means are averages of ``ln(1 + x)``, which also add up by changes. Runs
+    bring their places in the tree along, so the tree itself is not read again.
     """
     strict, order = mode == "strict", ["t", "id"]
     keys = [*WHO, "scenario_name"]
@@ -141,19 +163,12 @@ def history(ranks: DataFrame, nodes: DataFrame, mode: str, hot: scan.Hot | None
     )
     zero = F.lit(0.0)
     changes = was.select(
-        *keys, *order, (F.col("_n") == 1).cast("int").alias("first"),
+        *keys, *order, "places", (F.col("_n") == 1).cast("int").alias("first"),
         (F.col("r_pb") - F.coalesce("_pb", zero)).alias("d_pb"),
         (F.col("r_form") - F.coalesce("_form", zero)).alias("d_form"),
     )
-    rated = nodes.where("rated")
-    weights = rated.groupBy("benchmark_id", "scenario_name", "cat_no", "sub_no").agg(F.count(F.lit(1)).alias("w"))
-    size = {
-        "sub_no": rated.groupBy("benchmark_id", "sub_no").agg(F.count(F.lit(1)).alias("size")),
-        "cat_no": rated.groupBy("benchmark_id", "cat_no").agg(F.count_distinct("sub_no").alias("size")),
-        "all": rated.groupBy("benchmark_id").agg(F.count_distinct("cat_no").alias("size")),
-    }
-
-    def climb(rows: DataFrame, node: list[str], sizes: DataFrame) -> DataFrame:
+
+    def climb(rows: DataFrame, node: list[str], size: str) -> DataFrame:
         """Running means of changes ``d_pb, d_form`` with ``add`` members joining."""
         group = [*WHO, *node]
         summed = scan.running(
@@ -162,7 +177,7 @@ def history(ranks: DataFrame, nodes: DataFrame, mode: str, hot: scan.Hot | None
             members=scan.total(F.col("add")), played=scan.total(F.col("first")),
         )
         if strict:
-            summed = summed.join(sizes, ["benchmark_id", *node[-1:]]).withColumn("members", F.col("size")).drop("size")
+            summed = summed.withColumn("members", F.col(size))
         valued = summed.withColumn("m_pb", F.col("s_pb") / F.col("members")).withColumn(
             "m_form", F.col("s_form") / F.col("members")
         )
@@ -181,6 +196,7 @@ def history(ranks: DataFrame, nodes: DataFrame, mode: str, hot: scan.Hot | None
         return moved.groupBy(*WHO, *up, *order).agg(
             F.max("first").alias("first"), F.sum("add").alias("add"), F.sum("d_pb").alias("d_pb"),
             F.sum("d_form").alias("d_form"), F.flatten(F.collect_list("nodes")).alias("below"),
+            F.first("subs_in_cat").alias("subs_in_cat"), F.first("cats_in_tree").alias("cats_in_tree"),
         )
 
     def shown(df: DataFrame, level: str, number: Column, terms: bool) -> DataFrame:
@@ -193,14 +209,15 @@ def history(ranks: DataFrame, nodes: DataFrame, mode: str, hot: scan.Hot | None
         )
         return df.withColumn("nodes", F.concat(own, F.col("below")) if "below" in df.columns else own)
 
-    placed = changes.join(weights, ["benchmark_id", "scenario_name"]).select(
+    placed = changes.select(*WHO, *order, "first", "d_pb", "d_form", F.inline("places")).select(
         *WHO, "cat_no", "sub_no", *order, "first", (F.col("first") * F.col("w")).alias("add"),
         (F.col("d_pb") * F.col("w")).alias("d_pb"), (F.col("d_form") * F.col("w")).alias("d_form"),
+        "slots_in_sub", "subs_in_cat", "cats_in_tree",
     )
     sub, cat = ["cat_no", "sub_no"], ["cat_no"]
-    subs = shown(climb(placed, sub, size["sub_no"]), "subcategory", F.col("sub_no"), False)
-    cats = shown(climb(lift(subs, sub, cat, True), cat, size["cat_no"]), "category", F.col("cat_no"), True)
-    top = shown(climb(lift(cats, cat, [], False), [], size["all"]), "overall", F.lit(0), True)
+    subs = shown(climb(placed, sub, "slots_in_sub"), "subcategory", F.col("sub_no"), False)
+    cats = shown(climb(lift(subs, sub, cat, True), cat, "subs_in_cat"), "category", F.col("cat_no"), True)
+    top = shown(climb(lift(cats, cat, [], False), [], "cats_in_tree"), "overall", F.lit(0), True)
     return top.select(*WHO, *order, F.inline("nodes"))
 
 
@@ -238,11 +255,7 @@ def spread(run_events: DataFrame, window: int = FORM_WINDOW) -> DataFrame:
 
 def tree_spread(spreads: DataFrame, nodes: DataFrame, mode: str) -> DataFrame:
     """Each statistic taken through the tree on its own."""
-    long = spreads.select(
-        *WHO, "scenario_name", F.inline(F.array(*(F.struct(F.lit(s).alias("stat"), F.col(f"r_{s}").alias("r")) for s in STATS)))
-    )
-    valued = evaluate(nodes, long, mode, ["stat"])
-    return valued.groupBy(*WHO, "level", "node_no").pivot("stat", STATS).agg(F.first("value"))
+    return evaluate(nodes, spreads, mode, {s: f"r_{s}" for s in STATS})
 
 
 def sheet(nodes: DataFrame, played: DataFrame, spreads: DataFrame, node_spreads: DataFrame, now) -> DataFrame:
@@ -339,21 +352,32 @@ def index(nodes: DataFrame, bests: DataFrame, benchmark: DataFrame, mode: str) -
 
     Difficulties a player has not touched are in ``untouched``, once for everybody.
     """
-    seen = bests.join(nodes, "scenario_name")
-    last = seen.groupBy(*WHO).agg(F.max("last").alias("last"))
-    ranks = seen.where("rated").select(
-        *WHO, "scenario_name", rank.fractional_rank(F.col("thresholds"), F.col("pb")).alias("r")
-    ).distinct()
-    overall = evaluate(nodes, ranks, mode).where("level = 'overall'").select(*WHO, F.col("value").alias("r"))
-    counts = coverage(nodes, bests).select(*WHO, F.col("scenarios_played").alias("played"), F.col("scenarios").alias("total"))
-    totals = untouched(nodes, benchmark).select("benchmark_id", "name", "difficulty", "position", F.col("total").alias("_total"))
-    rows = last.join(counts, WHO, "left").join(overall, WHO, "left").join(totals, "benchmark_id")
-    return (
-        rows.withColumn("played", F.coalesce("played", F.lit(0)))
-        .withColumn("total", F.col("_total"))
-        .drop("_total")
-        .withColumn("share", F.when(F.col("total") > 0, F.col("played") / F.col("total")).otherwise(F.lit(0.0)))
+    about = ["name", "difficulty", "position", "scenarios_in_tree", "cats_in_tree"]
+    named = nodes.join(benchmark.select("benchmark_id", "name", "difficulty", "position"), "benchmark_id")
+    seen = bests.join(named, "scenario_name").withColumn("r", F.when(F.col("rated"), rank.fractional_rank(F.col("thresholds"), F.col("pb"))))
+    carried = [F.first(c).alias(c) for c in about]
+
+    def mean(column: str, size: str, shifted: bool) -> Column:
+        """Over what was played or, strictly, over all members: unplayed ones add 0 to either sum."""
+        term = F.log(F.col(column) + 1) if shifted else F.col(column)
+        found = F.avg(term) if mode == "provisional" else F.sum(term) / F.first(size)
+        return (F.exp(found) - 1 if shifted else found).alias("r")
+
+    # A player's part of a tree is brought together once; sets and rows are no more than the tree has slots.
+    subs = seen.repartition(*WHO).groupBy(*WHO, "cat_no", "sub_no").agg(
+        mean("r", "slots_in_sub", False), F.max("last").alias("last"), F.collect_set(F.when(F.col("rated"), F.col("scenario_name"))).alias("played"),
+        F.first("subs_in_cat").alias("subs_in_cat"), *carried,
+    )
+    cats = subs.groupBy(*WHO, "cat_no").agg(
+        mean("r", "subs_in_cat", True), F.max("last").alias("last"), F.flatten(F.collect_list("played")).alias("played"), *carried
+    )
+    top = cats.groupBy(*WHO).agg(
+        mean("r", "cats_in_tree", True), F.max("last").alias("last"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("played")))).alias("played"), *carried,
     )
+    total = F.col("scenarios_in_tree")
+    share = F.when(total > 0, F.col("played") / total).otherwise(F.lit(0.0))
+    return top.select(*WHO, "name", "difficulty", "position", "played", total.alias("total"), "r", "last", share.alias("share"))
 
 
 def untouched(nodes: DataFrame, benchmark: DataFrame) -> DataFrame:

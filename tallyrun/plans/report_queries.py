@@ -42,7 +42,7 @@ PICKED = """SELECT * FROM (SELECT l.*, row_number() OVER (PARTITION BY scenario_
             WHERE NOT p.is_none OR l.benchmark_id = {0}) WHERE n = 1"""
 
 
-@b.once
+@b.kept_table
 def nodes(s, d):
     return composite.tree(b.tree_slot(s, d), b.ladder(s, d))
 
@@ -69,7 +69,7 @@ def as_of(s, d):
 
 @b.once
 def values(s, d, mode):
-    return composite.history(as_of(s, d), nodes(s, d), mode, hot(s, d))
+    return composite.history(as_of(s, d), mode, hot(s, d))
 
 
 @b.once

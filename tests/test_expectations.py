@@ -107,9 +107,9 @@ def test_history_equals_evaluation_and_does_not_depend_on_splitting(spark, small
     stream = spark.createDataFrame(rows, "player_id int, scenario_name string, scenario_id int, id int, t timestamp_ntz, score double").cache()
     runs = composite.events(stream, small_tree)
     ranks = composite.as_of_ranks(runs, 5)
-    plain = composite.history(ranks, small_tree, mode).cache()
+    plain = composite.history(ranks, mode).cache()
     hot = scan._measure(stream, ("player_id",), 40)
-    split = composite.history(composite.as_of_ranks(runs, 5, hot), small_tree, mode, hot)
+    split = composite.history(composite.as_of_ranks(runs, 5, hot), mode, hot)
     key = lambda r: (r["level"], r["node_no"], r["id"])
     a = {key(r): (r["pb"], r["form"], r["played"]) for r in plain.collect()}
     b = {key(r): (r["pb"], r["form"], r["played"]) for r in split.collect()}
