@@ -78,17 +78,19 @@ def evaluate(nodes: DataFrame, ranks: DataFrame, mode: str, values: dict[str, st
     """Every node's values from ``ranks(player_id, benchmark_id, scenario_name, …)``: ``{name: column of ranks}``, all of
     them in one pass.
 
-    The slots of a player's tree are brought together once; they are no more than the tree has, so every level is worked
-    out where they lie.
+    A player's ranks in a tree become a map and meet the tree's slots as one array, neither larger than the tree has
+    slots; so ``ranks`` is read once, and every level is worked out where they lie. A scenario has one row of ranks.
     """
     values = values or {"value": "r"}
-    slots = nodes.where("rated").select("benchmark_id", "cat_no", "sub_no", "scenario_name")
-    mine = ranks.select(*WHO, "scenario_name", *(F.col(c).alias(n) for n, c in values.items()))
-    if mode == "strict":
-        asked = mine.select(*WHO).distinct().join(slots, "benchmark_id")
-        filled = asked.join(mine, [*WHO, "scenario_name"], "left").fillna(0.0, list(values))
-    else:
-        filled = slots.join(mine, ["benchmark_id", "scenario_name"])
+    slots = nodes.where("rated").groupBy("benchmark_id").agg(F.collect_list(F.struct("cat_no", "sub_no", "scenario_name")).alias("_slots"))
+    one = F.struct("scenario_name", F.struct(*(F.col(c).alias(n) for n, c in values.items())))
+    mine = ranks.groupBy(*WHO).agg(F.map_from_entries(F.collect_list(one)).alias("_mine"))
+    filled = mine.join(slots, "benchmark_id").select(*WHO, "_mine", F.inline("_slots"))
+    if mode != "strict":
+        filled = filled.where(F.map_contains_key("_mine", F.col("scenario_name")))
+    found = F.try_element_at("_mine", F.col("scenario_name"))
+    unplayed = F.lit(0.0 if mode == "strict" else None)
+    filled = filled.select(*WHO, "cat_no", "sub_no", *(F.coalesce(found[n], unplayed).alias(n) for n in values))
 
     def node(level: str, number: Column) -> Column:
         return F.struct(F.lit(level).alias("level"), number.cast("int").alias("node_no"), *values)
