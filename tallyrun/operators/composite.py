@@ -266,49 +266,50 @@ def sheet(nodes: DataFrame, played: DataFrame, spreads: DataFrame, node_spreads:
     Scenario rows carry state, spread, whether the window is long enough for a body, age when stale, and the next rank
     above the best; the other levels carry the tree's spread and played counts.
     """
-    inside = node_scenarios(nodes)
-    owners = played.select("player_id", "scenario_name").join(
-        nodes.select("benchmark_id", "scenario_name").distinct(), "scenario_name"
-    )
-    who = owners.select(*WHO).distinct()
-    total = inside.groupBy("benchmark_id", "level", "node_no").agg(F.count(F.lit(1)).alias("total"))
-    mine = owners.join(inside, ["benchmark_id", "scenario_name"]).groupBy(*WHO, "level", "node_no").agg(
-        F.count(F.lit(1)).alias("played")
-    )
-    places = nodes.select("benchmark_id", "cat_no", "sub_no").distinct()
-    several = places.groupBy("benchmark_id").agg((F.count_distinct("cat_no") > 1).alias("several"))
     minus = F.lit(-1)
 
-    def shape(df: DataFrame, level: str, number, cat, sub) -> DataFrame:
-        return df.select(
-            "benchmark_id", F.lit(level).alias("level"), number.cast("int").alias("node_no"),
-            cat.cast("int").alias("cat_no"), sub.cast("int").alias("sub_no"),
-        ).distinct()
+    def entry(level: str, number: Column, cat: Column, sub: Column) -> Column:
+        named = {"node_no": number, "cat_no": cat, "sub_no": sub}
+        return F.struct(F.lit(level).alias("level"), *(c.cast("int").alias(n) for n, c in named.items()))
 
+    cat, sub = F.col("cat_no"), F.col("sub_no")
+    levels = F.array(entry("overall", F.lit(0), minus, minus), entry("category", cat, cat, minus), entry("subcategory", sub, cat, sub))
+    several = (F.size(F.collect_set("cat_no").over(Window.partitionBy("benchmark_id"))) > 1).alias("_several")
     listed = (
-        shape(places, "overall", F.lit(0), minus, minus)
-        .unionByName(shape(places.join(several.where("several"), "benchmark_id"), "category", F.col("cat_no"), F.col("cat_no"), minus))
-        .unionByName(shape(places, "subcategory", F.col("sub_no"), F.col("cat_no"), F.col("sub_no")))
+        nodes.select("benchmark_id", several, F.when(F.col("rated"), F.col("scenario_name")).alias("_held"), levels.alias("_levels"))
+        .select("benchmark_id", "_several", "_held", F.inline("_levels"))
+        .where("level <> 'category' OR _several")
+        .groupBy("benchmark_id", "level", "node_no", "cat_no", "sub_no")
+        .agg(F.size(F.collect_set("_held")).alias("total"))
+    )
+    # A player's scenarios of a tree, as a map and with their rated places: neither is larger than the tree.
+    held = nodes.groupBy("benchmark_id", "scenario_name").agg(
+        F.collect_set(F.when(F.col("rated"), F.struct("cat_no", "sub_no"))).alias("_places")
     )
+    fact = F.struct(F.col("pb").alias("pb_score"), F.col("runs").alias("all_runs"), F.col("last").alias("last_played"), "top_hash")
+    mine = played.join(held, "scenario_name").groupBy(*WHO).agg(
+        F.map_from_entries(F.collect_list(F.struct("scenario_name", fact))).alias("_facts"), F.collect_list("_places").alias("_places")
+    )
+
+    def inside(place: Column) -> Column:
+        return (F.col("level") == "overall") | ((F.col("level") == "category") & (place["cat_no"] == cat)) | (place["sub_no"] == sub)
+
     node = [*WHO, "level", "node_no"]
     upper = (
-        who.join(listed, "benchmark_id")
+        mine.select(*WHO, "_places").join(listed, "benchmark_id")
+        .withColumn("played", F.size(F.filter("_places", lambda at: F.exists(at, inside))))
         .join(node_spreads, node, "left")
-        .join(mine, node, "left")
-        .join(total, ["benchmark_id", "level", "node_no"], "left")
         .select(
             *WHO, "level", "cat_no", "sub_no", minus.alias("slot_no"), F.lit(None).cast("string").alias("scenario_name"),
             F.when(F.col("pb").isNotNull(), "played").otherwise("unplayed").alias("state"),
-            *(F.col(s).alias(f"r_{s}") for s in STATS), F.col("pb").isNotNull().alias("body"),
-            F.coalesce("played", F.lit(0)).alias("played"), F.coalesce("total", F.lit(0)).alias("total"),
+            *(F.col(s).alias(f"r_{s}") for s in STATS), F.col("pb").isNotNull().alias("body"), "played", "total",
         )
     )
-    facts = played.select("player_id", "scenario_name", F.col("pb").alias("pb_score"), F.col("runs").alias("all_runs"),
-                          F.col("last").alias("last_played"), "top_hash")
     candles = spreads.select(*WHO, "scenario_name", "runs", "last", *(f"r_{s}" for s in STATS))
     slots = (
-        who.join(nodes, "benchmark_id")
-        .join(facts, ["player_id", "scenario_name"], "left")
+        mine.select(*WHO, "_facts").join(nodes, "benchmark_id")
+        .withColumn("_fact", F.try_element_at("_facts", F.col("scenario_name")))
+        .select(*WHO, *(c for c in nodes.columns if c != "benchmark_id"), "_fact.*")
         .join(candles, [*WHO, "scenario_name"], "left")
     )
     reach = rank.rank_on(F.col("thresholds"), F.coalesce("pb_score", F.lit(float("-inf"))))
