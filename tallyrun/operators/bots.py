@@ -104,9 +104,13 @@ def points_by_bot(engaged: DataFrame, points: DataFrame) -> DataFrame:
     ids = clocks.where("idx = 0").select("run_id", "duration_s")
     own = engaged.join(ids, "run_id")
     ends = F.array(F.struct(F.lit(-1.0).alias("sign"), F.col("start").alias("t")), F.struct(F.lit(1.0).alias("sign"), F.col("end").alias("t")))
-    probes = own.select("run_id", "slot", F.inline(ends))
-    gained = at_time(clocks, probes).groupBy("run_id", "slot").agg(F.sum(F.col("sign") * F.col("u")).alias("points"))
-    return own.join(gained, ["run_id", "slot"])
+    # Probes bring their engagement along: a join by run and slot would shuffle all of them once more.
+    rest = F.struct(*(c for c in own.columns if c not in ("run_id", "slot")))
+    probes = own.select("run_id", "slot", rest.alias("_own"), F.inline(ends))
+    gained = at_time(clocks, probes).groupBy("run_id", "slot").agg(
+        F.sum(F.col("sign") * F.col("u")).alias("points"), F.collect_list(F.when(F.col("sign") > 0, F.col("_own"))).alias("_owns")
+    )
+    return gained.select("run_id", "slot", "points", F.inline("_owns")).select(*own.columns, "points")
 
 
 def clock_table(engaged: DataFrame, points: DataFrame, pairs: DataFrame) -> DataFrame:
